@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros, path_key, repo_key
-from repolith.llm import cooccurrence, leaks
+from repolith.llm import cooccurrence, leaks, mixing, spans
 from repolith.llm.nearest import nearest_in_time
 from repolith.session import cut, table
 
@@ -59,6 +59,34 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", "text")
+    return mixing.mix(mixing.token_counts(docs), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents and how often each is used."""
+    return _mixed(spark, d)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixed(spark, d)[1]
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(_texts(spark, d)).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Per document how many of its characters lie in spans that another one has too."""
+    return spans.shared_characters(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
 P2_SQL = """
 with pr as (select distinct id, regexp_replace(regexp_replace(lower(repo),'\\s+','','g'),'\\.git$','') r, epoch_us(merged_at) t from pull_requests where merged_at is not null),
 dp as (select distinct id, regexp_replace(regexp_replace(lower(repo),'\\s+','','g'),'\\.git$','') r, epoch_us(created_at) t from deployments where created_at is not null),
@@ -84,11 +112,22 @@ dw as (select doc_id, string_split(trim(w),' ') w from d),
 dg as (select doc_id, array_to_string(w[k+1:k+12],' ') s from dw join w on k+12<=len(w)),
 f as (select distinct doc_id, item_id from dg join iw using (s))
 """
-QUERIES = {"p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items}
+P10_SQL = """
+with w as (select doc_id, k, md5(substr(text, k+1, 400)) h from (select doc_id, text, unnest(range(0, length(text)-399)) k from documents where length(text) >= 400))
+"""
+P10_SHARED = """
+, m as (select h from w group by h having count(distinct doc_id) > 1),
+s as (select doc_id, least(400, coalesce(lead(k) over (partition by doc_id order by k) - k, 400)) g from w where h in (select h from m)),
+t as (select doc_id, sum(g) g from s group by 1)
+select doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(g, 0)::bigint shared_chars from documents left join t using (doc_id)
+"""
+QUERIES = {"p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p2_found": P2_SQL + "select anchor_id, matched_id from f",
     "p2_distance": P2_SQL + "select k pair_kind, count(*) pairs, sum(d)::bigint distance_us, max(d) farthest_us from f group by 1",
     "p7_found": P7_SQL,
     "p8_found": P8_SQL + "select * from f",
+    "p10_found": P10_SQL + "select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from w a join w b on a.h = b.h and a.doc_id < b.doc_id",
+    "p10_shared": P10_SQL + P10_SHARED,
     "p8_items": P8_SQL + "select item_id, count(*) docs from f group by 1",
 }
