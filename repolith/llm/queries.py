@@ -6,13 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros, path_key, repo_key
-from repolith.llm import cooccurrence, leaks, mixing, spans
+from repolith.llm import cooccurrence, leaks, mixing, sourcefiles, spans
 from repolith.llm.nearest import nearest_in_time
 from repolith.session import cut, table
 
 MINUTE = 60_000_000
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    v = sourcefiles.verdicts(table(spark, d, "files"))
+    return v.filter(F.col("verdict").isin("wrong_extension", "corrupt")).select("file_id").distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of files that do not parse per repository and language."""
+    v = sourcefiles.verdicts(table(spark, d, "files"))
+    return sourcefiles.bad_rates(v.withColumn("repo", repo_key("repo")))
+
+
+def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with the languages it parses as."""
+    return sourcefiles.verdicts(table(spark, d, "files")).withColumn("repo", repo_key("repo")).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sourcefiles.documented(table(spark, d, "files")).filter("meaningful").select("file_id", "symbol_name", "line")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description pairs, trivial ones dropped."""
+    return sourcefiles.documented(table(spark, d, "files")).filter("meaningful").drop("meaningful")
+
+
 def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     pr = table(spark, d, "pull_requests").select(F.col("id").alias("matched_id"), repo_key("repo").alias("entity"), micros("merged_at").alias("t"))
     dep = table(spark, d, "deployments").select(F.col("id").alias("anchor_id"), repo_key("repo").alias("entity"), micros("created_at").alias("t"))
@@ -121,7 +146,7 @@ s as (select doc_id, least(400, coalesce(lead(k) over (partition by doc_id order
 t as (select doc_id, sum(g) g from s group by 1)
 select doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(g, 0)::bigint shared_chars from documents left join t using (doc_id)
 """
-QUERIES = {"p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p2_found": P2_SQL + "select anchor_id, matched_id from f",
     "p2_distance": P2_SQL + "select k pair_kind, count(*) pairs, sum(d)::bigint distance_us, max(d) farthest_us from f group by 1",
