@@ -45,7 +45,7 @@ def _python(text: str) -> bool:
 
 
 #: How a text that isn't empty can begin, comments aside; what begins otherwise fails at its first token.
-_LINES = r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*"
+_LINES = r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
 _NAMES = r"[^\W\d]\w*(?:\.[^\W\d]\w*)*"
 _BEGIN = {
     "go": re.compile(_LINES + r"package[ \t]+[^\W\d]\w*[ \t]*(?:;|\n|//|/\*|\Z)"),
