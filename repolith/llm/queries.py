@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros, path_key, repo_key
-from repolith.llm import cooccurrence, leaks, mixing, sourcefiles, spans
+from repolith.llm import cooccurrence, leaks, mixing, sourcefiles, spans, vectors
 from repolith.llm.nearest import nearest_in_time
 from repolith.session import cut, table
 
@@ -29,6 +29,20 @@ def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return sourcefiles.verdicts(table(spark, d, "files")).withColumn("repo", repo_key("repo")).distinct()
 
 
+def _p3(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar(vectors.usable(table(spark, d, "semantic_documents"), "id", "vector", 96))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _p3(spark, d).filter("similarity >= 0.9")
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar documents of every usable one."""
+    return _p3(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sourcefiles.documented(table(spark, d, "files")).filter("meaningful").select("file_id", "symbol_name", "line")
 
@@ -146,7 +160,7 @@ s as (select doc_id, least(400, coalesce(lead(k) over (partition by doc_id order
 t as (select doc_id, sum(g) g from s group by 1)
 select doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(g, 0)::bigint shared_chars from documents left join t using (doc_id)
 """
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p2_found": P2_SQL + "select anchor_id, matched_id from f",
     "p2_distance": P2_SQL + "select k pair_kind, count(*) pairs, sum(d)::bigint distance_us, max(d) farthest_us from f group by 1",
