@@ -1 +1,5 @@
-"""See the package README."""
+"""Named queries, each with the SQL that checks it."""
+
+from repolith.plans import data, graphs, reports
+
+ALL = [data, reports, graphs]
