@@ -4,6 +4,7 @@
 ~count(x, 'p')  number of matches            ~get(x, 'p')       first group of the first match
 ~r0 ~r1 ~r2 ~r4 (x)  rounding half up        ~div(a, b)         a / b, 0 where b is 0 or null
 ~day(x) ~hour(x)     whole days, hours       ~clamp(x)          into 0..100
+~chr(n)              the character of that number
 NOW                  the reports' present: 2025-12-01T00:00Z
 """
 
@@ -42,8 +43,8 @@ _BOTH = {
     "r0": lambda x: f"cast(floor(({x})+0.5e0) as bigint)", "r1": _rounded(1), "r2": _rounded(2), "r4": _rounded(4), "div": lambda a, b: f"coalesce(({a})*1e0/nullif({b},0),0e0)",
     "day": lambda x: f"cast(floor(({x})/8.64e10) as bigint)", "hour": lambda x: f"cast(floor(({x})/3.6e9) as bigint)", "clamp": lambda x: f"greatest(0e0,least(100e0,{x}))",
 }
-_SPARK = {"match": lambda x, p: f"regexp_like({x}, r{p})", "sub": lambda x, p, r: f"regexp_replace({x}, r{p}, {r})", "count": lambda x, p: f"cast(regexp_count({x}, r{p}) as bigint)", "get": lambda x, p: f"regexp_extract({x}, r{p}, 1)"}
-_DUCK = {"match": lambda x, p: f"regexp_matches({x}, {p})", "sub": lambda x, p, r: f"regexp_replace({x}, {p}, {r}, 'g')", "count": lambda x, p: f"len(regexp_extract_all({x}, {p}))", "get": lambda x, p: f"regexp_extract({x}, {p}, 1)"}
+_SPARK = {"chr": lambda x: f"char({x})", "match": lambda x, p: f"regexp_like({x}, r{p})", "sub": lambda x, p, r: f"regexp_replace({x}, r{p}, {r})", "count": lambda x, p: f"cast(regexp_count({x}, r{p}) as bigint)", "get": lambda x, p: f"regexp_extract({x}, r{p}, 1)"}
+_DUCK = {"chr": lambda x: f"chr({x})", "match": lambda x, p: f"regexp_matches({x}, {p})", "sub": lambda x, p, r: f"regexp_replace({x}, {p}, {r}, 'g')", "count": lambda x, p: f"len(regexp_extract_all({x}, {p}))", "get": lambda x, p: f"regexp_extract({x}, {p}, 1)"}
 
 
 def _expand(s: str, macros: dict) -> str:

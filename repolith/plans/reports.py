@@ -16,6 +16,7 @@ _KIND = (
     "case when ~match(lower(title),'\\b(fix|bug|hotfix|patch)') then 'bugfix' when ~match(lower(title),'\\b(add|feat|implement|introduce)') then 'feature'"
     " when ~match(lower(title),'\\b(refactor|rename|move|clean)') then 'refactor' when ~match(lower(title),'\\b(chore|docs?|test|ci|build)') then 'chore' else 'unknown' end"
 )
+_BRACES = "(select file_id, n, line, d, sum(d) over (partition by file_id order by n rows unbounded preceding) as total from (select file_id, n, line, length(replace(line, ~chr(125), '')) - length(replace(line, ~chr(123), '')) as d from {source_lines} where ext <> 'py') a)"
 _DAYS = "(select repo, path, count(*) n, count(distinct author) authors, min(ts) first_at, max(ts) last_at, sum(additions+deletions) churned from {commit_files} group by repo, path)"
 
 STATEMENTS: dict[str, str] = {
@@ -133,6 +134,9 @@ STATEMENTS: dict[str, str] = {
     # --- complexity
     "cpx_01_line_metrics": "select file_id, count(*) as lines, count(case when trim(line) = '' then 1 end) as blank, count(case when ~match(line, '^ *(//|#|/\\*|\\*)') then 1 end) as comments, count(case when ~match(line, '\\breturn\\b') then 1 end) as returns from {source_lines} group by file_id",
     "cpx_03_cyclomatic": "select file_id, 1 + ~count(text, '\\bif\\b') + ~count(text, '\\bfor\\b') + ~count(text, '\\bwhile\\b') + ~count(text, '\\bcase\\b') + ~count(text, '&&') + ~count(text, '\\bcatch\\b') as cyclomatic from {sources}",
+    "cpx_02_extents": f"select y.file_id, y.name, y.line, coalesce(min(case when l.n > y.line and l.total <= s.total - s.d then l.n end), y.line) as end_line from {{symbols_}} y join {_BRACES} s on s.file_id = y.file_id and s.n = y.line join {_BRACES} l on l.file_id = y.file_id and l.n >= y.line where s.d > 0 group by y.file_id, y.name, y.line",
+    # the nesting never falls below 0: a running sum less its running minimum
+    "cpx_04_cognitive": f"select file_id, sum(case when ~match(line, '\\b(if|else|for|while|switch|try|catch|case|when|match|loop)\\b') then 1 + before_n - least(0, low) else 0 end + case when ~match(line, '\\b(this|self)\\.\\w+\\(') then 1 else 0 end) * 1 as cognitive from (select *, min(before_n) over (partition by file_id order by n rows unbounded preceding) as low from (select *, total - d as before_n from {_BRACES} b) c) e group by file_id",
     "cpx_05_file_score": "select file_id, ~r2(~clamp(171 - 5.2e0 * ln(chars + 1) - 0.23e0 * cyclo - 16.2e0 * ln(lines + 1))) as maintainability from (select file_id, chars, lines, 1 + ~count(text, '\\bif\\b') + ~count(text, '\\bfor\\b') as cyclo from {sources}) x",
     "cpx_06_coupling": "select n.id, least(100, 5 * (coalesce(i.n, 0) + coalesce(o.n, 0))) as coupling, ~r4(~div(coalesce(o.n, 0), coalesce(i.n, 0) + coalesce(o.n, 0))) as instability from {nodes} n left join (select dst, count(*) as n from {edges} group by dst) i on i.dst = n.id left join (select src, count(*) as n from {edges} group by src) o on o.src = n.id",
     "cpx_07_signals": "select file_id, 'long-file' as rule from {sources} where lines > 150 union all select file_id, 'deep-branching' from {sources} where ~count(text, '\\bif\\b') > 8 union all select file_id, 'empty' from {sources} where chars = 0",
