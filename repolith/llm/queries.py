@@ -29,12 +29,12 @@ def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return sourcefiles.verdicts(table(spark, d, "files")).withColumn("repo", repo_key("repo")).distinct()
 
 
-def _p3(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.similar(vectors.usable(table(spark, d, "semantic_documents"), "id", "vector", 96))
+def _p3(spark: SparkSession, d: str, at_least: float | None = None) -> DataFrame:
+    return vectors.similar(vectors.usable(table(spark, d, "semantic_documents"), "id", "vector", 96), at_least=at_least)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = _p3(spark, d).filter("similarity >= 0.9")
+    near = _p3(spark, d, at_least=0.9)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 

@@ -21,17 +21,13 @@ SAMPLE, SPREAD, PARTS_OVER = 20_000, 12, 4
 
 
 def usable(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(id, v): distinct ids with ``dims`` finite entries that aren't all zero.
+    """(id, v): rows with ``dims`` finite entries that aren't all zero.
 
-    Null ids, null vectors, other lengths, NaN or infinite entries are left out. Of several
-    vectors under one id the smallest counts.
+    Null ids, null vectors, other lengths, NaN or infinite entries are left out. Rows may repeat.
     """
-    v = F.col(vector)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    d = rows.select(F.col(key).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
-    d = d.filter(finite.eqNullSafe(F.lit(True)) & F.exists("v", lambda x: x != 0))
-    # by the hash first: the vectors themselves need not travel for repeated rows
-    return d.groupBy("id").agg(F.min("v").alias("v"))
+    d = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
+    top, low = F.array_max("v"), F.array_min("v")
+    return d.filter((top < float("inf")) & (low > float("-inf")) & ((top > 0) | (low < 0)) & F.forall("v", lambda x: x.isNotNull()))
 
 
 def _fit(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -53,47 +49,58 @@ def _unit(v: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
 
 
-def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degree: int = 16) -> DataFrame:
+def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degree: int = 16, at_least: float | None = None) -> DataFrame:
     """The k most similar other vectors of each one.
 
-    ``vectors``: id (string or long, unique), v. Gives id, other, similarity (cosine), rank
-    from 1; ties go to the smaller id. Ids with equal vectors are kept once in the graphs;
-    each of them lists its equals first. An empty table gives no rows.
+    ``vectors``: id (string or long), v, as from ``usable``. Gives id, other, similarity
+    (cosine), rank from 1; ties go to the smaller id, and only those not below ``at_least``
+    are listed if it is given. Repeated rows count once; an id with several different
+    vectors gets a list for each. Ids with equal vectors are kept once in the graphs; each
+    of them lists its equals first. An empty table gives no rows.
+
+    Members travel in single, queries in half precision, so a similarity across shards is
+    off by some 1e-5.
     """
-    d = vectors.select(F.col("id"), F.col("v"), F.xxhash64("id").alias("key"), F.xxhash64("v").alias("same"))
+    names = vectors.select("id", F.xxhash64("v").alias("same"))
     # copies: the k + 1 smallest ids of a vector are all that anyone's list can need
-    few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    one = d.groupBy("same", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt")).agg(few(F.collect_set("id")).alias("ids"), F.min_by("v", "id").alias("v"))
-    reps = cut(one.groupBy("same").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"), F.min_by("v", F.col("ids")[0]).alias("v")))
+    few = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
+    d = cut(names.distinct())
+    one = d.groupBy("same", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(few(F.collect_set("id")).alias("ids"))
+    reps = cut(one.groupBy("same").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")))
     n = reps.count()
-    spark = vectors.sparkSession
+    if not n:
+        return d.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     shards = max(1, math.ceil(math.sqrt(n) / SPREAD))
-    step = max(1, n // SAMPLE)
-    sample = reps.filter(F.pmod("same", F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas() if n else None
-    centres = _fit(_unit(sample["v"]), shards) if n and len(sample) else np.zeros((1, 1), "f4")
+    step = max(1, n // SAMPLE) if n >= 1000 else 1
+    sample = _unit(vectors.filter(F.pmod(F.xxhash64("v"), F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas()["v"])
+    centres = _fit(sample, shards)
     shards = len(centres)
-    send = spark.sparkContext.broadcast(centres)
+    # how often shards are home and asked, as the sample has it: large ones are split
+    near = np.argsort(-(sample @ centres.T), 1, "stable")[:, :probes]
+    scale = n / max(1, len(near))
+    limit = max(1000, PARTS_OVER * math.ceil(n / shards))
+    parts = {int(c): math.ceil(m * scale / limit) for c, m in zip(*np.unique(near[:, 0], return_counts=True))}
+    chunks = {int(c): math.ceil(m * scale / (4 * limit)) for c, m in zip(*np.unique(near, return_counts=True))}
+    send = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
-        c = send.value
+        c, had = send.value, set()
         for b in batches:
+            # a vector that this task had is dropped here, so copies of a hot one stay few
+            fresh = [s not in had and not had.add(s) for s in b["same"]]
+            b = b[fresh]
             if not len(b):
                 continue
             x = _unit(b["v"])
-            near = np.argsort(-(x @ c.T), 1, "stable")[:, :probes] if c.shape[1] == x.shape[1] else np.zeros((len(b), 1), int)
-            m = near.shape[1]
+            m = min(probes, len(c))
+            near = np.argsort(-(x @ c.T), 1, "stable")[:, :m]
+            full, half = [r.tobytes() for r in x], [r.tobytes() for r in x.astype("f2")]
             yield pd.DataFrame({
                 "same": np.repeat(b["same"].to_numpy(), m), "shard": near.ravel().astype("i4"), "home": np.tile(np.arange(m) == 0, len(b)),
-                "x": [r.tobytes() for r in np.repeat(x, m, axis=0)],
+                "x": [f if j == 0 else h for f, h in zip(full, half) for j in range(m)],
             })
 
-    placed = reps.select("same", "v").mapInPandas(assign, "same long, shard int, home boolean, x binary")
-    limit = max(1000, PARTS_OVER * math.ceil(n / shards))
-    # sizes: one row a shard
-    count = lambda bs: (t[["shard", "home"]] for t in assign(bs))
-    sizes = reps.select("same", "v").mapInPandas(count, "shard int, home boolean").groupBy("shard").agg(F.count_if("home").alias("m"), F.count_if(~F.col("home")).alias("q")).collect() if n else []
-    parts = {r["shard"]: math.ceil(r["m"] / limit) for r in sizes}
-    chunks = {r["shard"]: math.ceil((r["q"] + r["m"] * (parts[r["shard"]] > 1)) / (4 * limit)) for r in sizes}
+    placed = vectors.select(F.xxhash64("v").alias("same"), "v").mapInPandas(assign, "same long, shard int, home boolean, x binary")
 
     def per_shard(m: dict[int, int]):
         large = [F.lit(x) for shard, p in m.items() if p > 1 for x in (shard, p)]
@@ -107,31 +114,40 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degre
     asking = F.transform(F.filter(up_to("parts"), lambda p: ~F.col("home") | (p != F.col("mine"))), lambda p: F.struct(p.alias("part"), F.col("turn").alias("chunk"), F.lit(False).alias("member"), F.lit(True).alias("ask")))
     own = placed.select("same", "shard", "x", F.explode(F.concat(F.when(F.col("home"), member).otherwise(F.array()), asking)).alias("to")).select("same", "shard", "x", "to.*")
 
+    # what is below isn't listed, and can't move what is above: it needn't travel
+    floor = -2.0 if at_least is None else at_least
+    nothing = pd.DataFrame({"same": np.empty(0, "i8"), "near": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
+
     def search(g: pd.DataFrame) -> pd.DataFrame:
         from repolith.llm.hnsw import Graph
 
-        g = g.sort_values("same", kind="stable")  # hashes: a random order, the same on every attempt
-        x = np.frombuffer(b"".join(g["x"]), "f4").reshape(len(g), -1)
+        g = g.sort_values("same", kind="stable").drop_duplicates("same")  # hashes: a random order, the same on every attempt
+        width = 4 * send.value.shape[1]
+        x = np.array([np.frombuffer(r, "f4" if len(r) == width else "f2") for r in g["x"]], "f4")
         home, ask, same = g["member"].to_numpy(bool), g["ask"].to_numpy(bool), g["same"].to_numpy()
         members, mine = np.ascontiguousarray(x[home]), same[home]
         x, same = x[ask], same[ask]
         if not len(members):
-            return pd.DataFrame({"same": [], "near": [], "sims": []})
+            return nothing
         ids, s = Graph.build(members, degree, 2 * ef).search(x, k + 1, ef)
         rows_near, rows_s = [], []
+        some = np.flatnonzero(((s >= floor) & (mine[ids] != same[:, None])).any(1))
+        if not len(some):
+            return nothing
+        same, ids, s = same[some], ids[some], s[some]
         for i, (a, b) in enumerate(zip(ids, s)):
-            ok = (a >= 0) & (mine[a] != same[i])
+            ok = (a >= 0) & (mine[a] != same[i]) & (b >= floor)
             rows_near.append(mine[a[ok]][:k].tolist())
             rows_s.append(b[ok][:k].tolist())
         return pd.DataFrame({"same": same, "near": rows_near, "sims": rows_s})
 
     found = own.groupBy("shard", "part", "chunk").applyInPandas(search, "same long, near array<long>, sims array<float>")
-    pairs = found.select("same", F.explode(F.arrays_zip("sims", "near")).alias("p"))
+    pairs = found.filter(F.size("near") > 0).select("same", F.explode(F.arrays_zip("sims", "near")).alias("p"))
     best = pairs.groupBy("same").agg(F.slice(F.reverse(F.array_sort(F.collect_set("p"))), 1, k).alias("p"))
     best = best.select("same", F.explode("p").alias("p")).select("same", F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))
-    names = reps.select("same", "ids")
-    other = best.join(names.withColumnsRenamed({"same": "near", "ids": "others"}), "near").select("same", "similarity", F.explode(F.slice("others", 1, k)).alias("other"))
-    equal = names.filter(F.size("ids") > 1).select("same", F.lit(1.0).alias("similarity"), F.explode("ids").alias("other"))
+    best = best if at_least is None else best.filter(F.col("similarity") >= at_least)
+    other = best.join(reps.withColumnsRenamed({"same": "near", "ids": "others"}), "near").select("same", "similarity", F.explode(F.slice("others", 1, k)).alias("other"))
+    equal = reps.filter(F.size("ids") > 1).select("same", F.lit(1.0).alias("similarity"), F.explode("ids").alias("other"))
     lists = other.unionByName(equal).groupBy("same").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other")))).alias("l"))
-    out = d.select("id", "same").join(lists, "same").select("id", F.posexplode(F.slice(F.filter("l", lambda x: x["other"] != F.col("id")), 1, k)).alias("r", "p"))
+    out = d.join(lists, "same").select("id", F.posexplode(F.slice(F.filter("l", lambda x: x["other"] != F.col("id")), 1, k)).alias("r", "p"))
     return out.select("id", F.col("p.other").alias("other"), (-F.col("p.s")).alias("similarity"), (F.col("r") + 1).alias("rank"))
