@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.session import cut
+
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from repolith.llm.syntax import EXTENSIONS, LANGUAGES, parses, ranking
@@ -130,31 +132,32 @@ def documented(files: DataFrame) -> DataFrame:
     ``def`` head, found with lag.
     """
     valid = files.select("file_id", "path", "file_text").mapInPandas(_valid_texts, "file_id long, language string, file_text string")
-    t = valid.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_text", F.regexp_replace("file_text", "\r\n?", "\n")).repartition("uid")
-    tok = t.select("uid", "file_id", "language", F.posexplode(_lexed(F.col("file_text"))).alias("pos", "tok"))
+    t = valid.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_text", F.regexp_replace("file_text", "\r\n?", "\n"))
+    t = cut(t.repartition("uid"))  # read twice below, parsed once
     w = Window.partitionBy("uid").orderBy("pos")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     c, py = F.col("tok"), F.col("language") == "python"
     starts = lambda s: F.startswith(c, F.lit(s))
-    script, go, rust = F.col("language").isin("typescript", "javascript", "java"), F.col("language") == "go", F.col("language") == "rust"
-    is_doc = ~py & ((script & starts("/**") & (F.length("tok") > 4)) | (script & (c == "/**/") & F.lit(False)) | (go & starts("//")) | (rust & starts("///") & ~starts("////")))
-    is_comment = F.when(py, starts("#")).otherwise(starts("//") | starts("/*"))
-    is_string = (starts('"') | starts("'") | starts("`")) & (F.length("tok") > 1) | (rust & c.rlike(r'^r#*"'))
-    code = ~is_comment & ~is_string
+    lexed = lambda d: d.select("uid", "file_id", "language", F.posexplode(_lexed(F.col("file_text"))).alias("pos", "tok"))
     lines = F.length("tok") - F.length(F.replace("tok", F.lit("\n")))
-    parens = F.when(code, F.length(F.regexp_replace("tok", r"[^(]", "")) - F.length(F.regexp_replace("tok", r"[^)]", ""))).otherwise(0)
+    line = F.lit(1) + F.coalesce(F.sum(lines).over(before), F.lit(0))
+    is_string = (starts('"') | starts("'") | starts("`")) & (F.length("tok") > 1)
+    script, go, rust = F.col("language").isin("typescript", "javascript", "java"), F.col("language") == "go", F.col("language") == "rust"
+    # documentation above: the tokens of the island that begins with it, up to and with the closing brace
+    is_doc = (script & starts("/**") & (F.length("tok") > 4)) | (go & starts("//")) | (rust & starts("///") & ~starts("////"))
+    is_comment = starts("//") | starts("/*")
+    quoted = is_string | (rust & c.rlike(r'^r#*"'))
     brace = (c == "{") | (c == "}")
+    # of a string only its lines are needed, of other code its parentheses too
+    tok = lexed(t.filter(~py)).withColumns({"is_doc": is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")})
+    paren = F.length(F.replace("tok", F.lit(")"))) - F.length(F.replace("tok", F.lit("(")))
     tok = tok.withColumns({
-        "line": F.lit(1) + F.coalesce(F.sum(lines).over(before), F.lit(0)), "parens": F.sum(parens).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
-        "head": F.when(py, F.lag("tok").over(w)), "then": F.when(py, F.lead("tok").over(w)), "is_doc": is_doc,
-        "class": F.when(is_comment, "c").when(is_string, "s").when(brace, "b").otherwise("w"),
+        "line": line, "parens": F.sum(F.when(F.col("class") == "w", paren).otherwise(0)).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
     })
     tok = tok.withColumn("doc", F.last(F.when(F.col("is_doc"), F.struct("pos", "parens")), ignorenulls=True).over(upto))
     closing = (F.col("class") == "b") & (F.col("parens") == F.col("doc.parens"))
-    tok = tok.withColumn("closed", F.max(F.when(closing, F.col("pos"))).over(upto))
-    # documentation above: the tokens of the island that begins with it, up to and with the closing brace
-    open_ = F.col("doc").isNotNull() & (F.coalesce("closed", F.lit(-1)) < F.col("doc.pos")) | (closing & (F.coalesce(F.max(F.when(closing, F.col("pos"))).over(before), F.lit(-1)) < F.col("doc.pos")))
-    isle = tok.filter(~py).withColumn("open", open_).filter("open")
+    tok = tok.withColumn("closed", F.coalesce(F.max(F.when(closing, F.col("pos"))).over(before), F.lit(-1)))
+    isle = tok.filter(F.col("doc").isNotNull() & (F.col("closed") < F.col("doc.pos")))
     text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).otherwise(c)
     parts = F.array_sort(F.collect_list(F.when(~F.col("is_doc"), F.struct("pos", text.alias("x")))))
     isle = isle.groupBy("uid", "file_id", "language", F.col("doc.pos").alias("at")).agg(
@@ -175,10 +178,11 @@ def documented(files: DataFrame) -> DataFrame:
     text_of = F.when(go, F.regexp_replace("raw", r"(?m)^[ \t]*// ?", "")).when(rust, F.regexp_replace("raw", r"(?m)^[ \t]*/// ?", "")).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^/\*\*+|\*+/$", ""), r"(?m)^[ \t]*\*+(?!/) ?", ""), r"^[ \t]+", ""))
     above = isle.select("file_id", "language", name.alias("symbol_name"), kind.alias("kind"), (F.col("doc_end") + lead_lines + skipped).cast("long").alias("line"), text_of.alias("text"))
     # documentation inside: a string right after a def head that nothing is done with
+    inside = lexed(t.filter(py)).withColumns({"line": line, "head": F.lag("tok").over(w), "then": F.lead("tok").over(w)})
     is_def = F.col("head").rlike(r"^(?:async[ \t]+)?def[ \t]")
     ends = F.col("then").isNull() | F.col("then").rlike(r"^[ \t]*(?:\n|;|#|$)")
     quotes = r"^(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')$"
-    inner = tok.filter(py & (F.col("class") == "s") & is_def & ends)
+    inner = inside.filter(is_string & is_def & ends)
     head_lines = F.length("head") - F.length(F.replace("head", F.lit("\n")))
     inner = inner.select(
         "file_id", "language", F.regexp_extract("head", r"def[ \t]+(\w+)", 1).alias("symbol_name"), F.when(F.col("head").rlike(r"\(\s*(?:self|cls)\b"), "method").otherwise("function").alias("kind"),
