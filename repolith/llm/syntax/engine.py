@@ -34,6 +34,22 @@ class _Classes(dict):
         return c
 
 
+class _Run:
+    """Patterns of one part of a run, followed by more or the last one, and what they said."""
+
+    def __init__(self, inner, last):
+        self.inner, self.last, self.known = inner, last, {}
+
+    def is_part(self, c: str, final: bool) -> bool:
+        key = (c, final)
+        ok = self.known.get(key)
+        if ok is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            ok = self.known[key] = (self.last.fullmatch(c) if final else self.inner.fullmatch(c + ERROR)) is not None
+        return ok
+
+
 class Grammar:
     """A language given by its lexer, its rules and the roles of its brackets.
 
@@ -41,7 +57,7 @@ class Grammar:
     that role or a named set of tokens; blanks don't count.
     """
 
-    def __init__(self, lexer: str, tokens: dict[str, str], sets: dict[str, str], roles: dict[str, list[tuple[str, str]]], rules: dict[str, str], top: str, classify, prepare=None, flat: str = ""):
+    def __init__(self, lexer: str, tokens: dict[str, str], sets: dict[str, str], roles: dict[str, list[tuple[str, str]]], rules: dict[str, str], top: str, classify, prepare=None, flat: str = "", parts: dict[str, tuple[str, str]] | None = None, stops: str = ";", glue: str = ""):
         self.lexer, self.prepare, self.flat = re.compile(lexer), prepare, set(flat.split())
         self.classes, self.known, self.tops = _Classes(classify), {}, {}
         self.names = dict(sets)
@@ -54,6 +70,12 @@ class Grammar:
         comp = lambda p: regex.compile(f"(?(DEFINE){used})(?:{self._expand(p)})", regex.V0)
         self.roles = {kind: [(1 << bit, name in self.flat, comp(p)) for bit, (name, p) in enumerate(own)] for kind, own in roles.items()}
         self.top = comp(top)
+        # runs of statements: each is looked up by itself, the whole pattern decides what is left
+        self.stop, self.glue = re.compile(f"[{re.escape(stops)}\ue200-\ue2ff]"), set(glue)
+        run = lambda name: name in parts and _Run(comp(f"(?:{parts[name][0]})\0"), comp(parts[name][1] or parts[name][0]))
+        parts = parts or {}
+        self.runs = {(kind, 1 << bit): run(name) for kind, own in roles.items() for bit, (name, _) in enumerate(own) if name in parts}
+        self.top_run = run("TOP") or None
 
     def _expand(self, p: str) -> str:
         p = re.sub(r"@([A-Z]\w*)", lambda m: "[" + re.escape(self.names[m[1]]) + "]", p)
@@ -61,6 +83,24 @@ class Grammar:
         p = re.sub(r"'([^']+)'", lambda m: re.escape(self.tokens.get(m[1], m[1])), p)
         return re.sub(r"<(\w+)>", r"(?&\1)", p)
 
+    def _in_parts(self, s: str, run: _Run) -> bool:
+        """Is s a row of parts? False says only that looking at parts didn't show it."""
+        ends = [m.end() for m in self.stop.finditer(s)]
+        if not ends or ends[-1] < len(s):
+            ends.append(len(s))
+        i, at = 0, 0
+        while i < len(s):
+            for k in range(at, min(at + 6, len(ends))):
+                e = ends[k]
+                if e < len(s) and s[e] in self.glue:
+                    continue
+                if run.is_part(s[i:e], e == len(s)):
+                    i, at = e, k + 1
+                    break
+            else:
+                return False
+        return True
+
     def _group(self, m: re.Match) -> str:
         s = m[0]
         c = self.known.get(s)
@@ -70,7 +110,10 @@ class Grammar:
             mask, inner = 0, s[1:-1]
             bare = inner.replace("\n", "")
             for bit, flat, p in self.roles[s[0]]:
-                if p.fullmatch(bare if flat else inner):
+                if flat and s[0] == "{" and ";" in inner:
+                    continue  # lists in braces part with commas
+                run = self.runs.get((s[0], bit))
+                if run and self._in_parts(inner, run) or p.fullmatch(bare if flat else inner):
                     mask |= bit
             c = self.known[s] = chr(_KINDS[s[0]] + mask)
         return c
@@ -97,7 +140,7 @@ class Grammar:
         if ok is None:
             if len(self.tops) >= KEPT:
                 self.tops.clear()
-            ok = self.tops[s] = self.top.fullmatch(s) is not None
+            ok = self.tops[s] = bool(self.top_run and self._in_parts(s, self.top_run)) or self.top.fullmatch(s) is not None
         return ok
 
 

@@ -105,4 +105,4 @@ _ROLES = {
         ("IFACE", r"(?: (?: i @PARAMS <result>? | <term> ) (?:; (?: i @PARAMS <result>? | <term> ))* ;? )?"),
     ],
 }
-GO = Grammar(LEXER, TOKENS, {}, _ROLES, _RULES, r";* 'package' i (?: ;+ 'import' (?:<ispec>|@TYPES) )* (?: ;+ (?:<item>)?+ )*+", _classify, _prepare)
+GO = Grammar(LEXER, TOKENS, {}, _ROLES, _RULES, r";* 'package' i (?: ;+ 'import' (?:<ispec>|@TYPES) )* (?: ;+ (?:<item>)?+ )*+", _classify, _prepare, parts={"BLOCK": ("(?:<stmt>)?+ ;", "(?:<stmt>)?+ ;?")})

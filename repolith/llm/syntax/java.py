@@ -102,4 +102,4 @@ _ROLES = {
     ],
 }
 _SETS["RPATTERN"] = ""
-JAVA = Grammar(LEXER, TOKENS, _SETS | {"RPATTERN": "".join(chr(0xE000 + m) for m in range(256) if m >> 7 & 1)}, _ROLES, _RULES, r"(?: <annot>* 'package' <qname> ; )? (?: ; | 'import' 'static'? <qname> (?:\.\*)? ; )* (?: ; | <typedecl> )*+", _classify)
+JAVA = Grammar(LEXER, TOKENS, _SETS | {"RPATTERN": "".join(chr(0xE000 + m) for m in range(256) if m >> 7 & 1)}, _ROLES, _RULES, r"(?: <annot>* 'package' <qname> ; )? (?: ; | 'import' 'static'? <qname> (?:\.\*)? ; )* (?: ; | <typedecl> )*+", _classify, parts={"BLOCK": ("<stmt>", ""), "CLASS": ("<member>", "")}, glue="".join(TOKENS[w] for w in ("else", "catch", "finally", "while")))

@@ -55,6 +55,7 @@ _BEGIN = {
 #: Two plain names in a row can't begin a script, unless the first is a word of the language.
 _TWO = re.compile(_LINES + r"(?!(?:as|async|await|case|class|const|declare|default|delete|do|else|enum|export|extends|function|get|if|import|in|instanceof|interface|abstract|let|module|namespace|new|of|return|set|static|throw|type|typeof|var|void|while|with|yield)\b)[A-Za-z_$][\w$]*[ \t]+(?!(?:as|in|instanceof|of|satisfies)\b)[A-Za-z_$]")
 
+_NOT_PYTHON = re.compile(r"(?:\s++|#[^\n]*+)*+(?:/|import\s*[{*\"']|(?:package|use|pub|fn|func|mod|export|const|let|var|function|interface|public|private|protected|struct|enum|impl)[ \t]+\w)")
 _ONLY_COMMENTS = re.compile(_LINES)
 _BOM, _SHEBANG = "﻿", re.compile(r"\A#!(?!\[).*")
 
@@ -68,7 +69,7 @@ def parses(text: str, language: str, shapes: dict | None = None) -> bool:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = text[1:] if text.startswith(_BOM) else text
     if language == "python":
-        return _python(text)
+        return not _NOT_PYTHON.match(text) and _python(text)
     g = _GRAMMARS[language]
     if language in ("javascript", "typescript"):
         text = _SHEBANG.sub("", text)

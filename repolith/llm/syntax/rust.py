@@ -114,6 +114,6 @@ _ROLES = {
 }
 # a module's body is what an impl's is to the parser: a run of items
 _ITEMS = "".join(chr(0xE200 + m) for m in range(256) if m >> 5 & 1)
-RUST = Grammar(LEXER, TOKENS, _SETS | {"ITEMS": _ITEMS}, _ROLES, _RULES, r"(?: \# ! @ANYA )* (?>(?:<item> | ;))*+", _classify)
+RUST = Grammar(LEXER, TOKENS, _SETS | {"ITEMS": _ITEMS}, _ROLES, _RULES, r"(?: \# ! @ANYA )* (?>(?:<item> | ;))*+", _classify, parts={"BLOCK": ("<stmt>", "(?: <stmt> | <attrs> <expr> )"), "IMPL": ("<item>", ""), "TOP": ("(?: <item> | ; )", "")}, glue="".join(TOKENS[w] for w in ("else", "as")) + ".?;")
 _lex = RUST.lexer.findall
 RUST.shape = lambda text: "".join(map(RUST.classes.__getitem__, [t[0] for t in _lex(text)]))

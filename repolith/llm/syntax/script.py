@@ -21,9 +21,10 @@ _TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_E2}\}})*`"
 _REGEX = r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 LEXER = (
     r"[ \t\f\v\xa0﻿]*("
-    r"[A-Za-z_$#][\w$]*|[^\W\d][\w$]*"
+    rf"(?:return|case|typeof|throw|yield|await|else)(?![\w$])\s*{_REGEX}"
+    r"|[A-Za-z_$#][\w$]*|[^\W\d][\w$]*"
     rf"|\n|//[^\n]*|/\*[\s\S]*?\*/|/\*|{_STRING}|{_TEMPLATE}"
-    rf"|(?:=>|=|\(|,|:|;|!|&&|\|\||\?|\{{|\}}|\[|return(?![\w$]))\s*{_REGEX}"
+    rf"|(?:=>|=|\(|,|:|;|!|&&|\|\||\?|\{{|\}}|\[)\s*{_REGEX}"
     r"|(?:0[xXbBoO])?[\d][\w.]*(?:(?<=[eE])[+-]\d+)?|\.\d\w*"
     r"|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|\.\.\.|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\*\*|<<|[-+*/%&|^]=|[^\s])"
 )
@@ -46,8 +47,8 @@ def _classify(t: str) -> str:
     if t in _OPS:
         return _OPS[t]
     if c.isalpha() or c in "_$#":
-        if "/" in t:  # return before a regular expression
-            return TOKENS["return"] + "L"
+        if "/" in t:  # a word before a regular expression
+            return TOKENS[re.match(r"\w+", t)[0]] + "L"
         return "i" if t != "#" else ERROR
     if c.isdigit() or c in "\"'" and len(t) > 1 or c == "." and len(t) > 1:
         return "L"
@@ -113,6 +114,7 @@ def _grammar(typed: bool) -> Grammar:
         r" | 'export' (?: 'default' (?: 'async'? 'function' \*? @ID? <tparams>? @PARAMS <ann>? @BLOCK | " + t(r"'abstract'?") + r" <cls> | <assign> <end>) | " + t(r"'type'?") + r" @SPEC <from>? <end> | \* (?:'as' @NAME)? <from> <end> | (?=" + "|".join(f"'{w}'" for w in ("const", "let", "var", "function", "async", "class", *(("interface", "type", "enum", "abstract", "declare", "namespace", "module") if typed else ()))) + r"|@AT) <stmt>)"
         r" | <deco>+ 'export' 'default'? <stmt> | <stmt> )",
         "key": r"(?:@NAME | L | @INDEX)",
+        "member": r"(?> [;\n] | <deco>* @MOD* \n? (?: 'static' @BLOCK | \*? <key> \?? <tparams>? @PARAMS <ann>? (?:@BLOCK" + t(r"|<end>") + r") | <key> " + t(r"[?v]? <ann>?") + r" (?:=<assign>)? <end> " + t(r"| @SIG <ann> <end>") + r"))",
         "tmember": r"(?: 'readonly'? (?: <key> \?? (?:<tparams>? @PARAMS <ann>? | <ann>?) | @SIG \?? <ann>) | 'new'? <tparams>? @PARAMS <ann>? | (?:'get'|'set') <key> @PARAMS <ann>?)" if typed else r"(?!)",
     }
     roles = {
@@ -131,10 +133,11 @@ def _grammar(typed: bool) -> Grammar:
             ("SIG", r"@ID (?:<ann> | 'in' <type> (?:'as' <type>)?)"),
         ],
         "{": [
-            ("BLOCK", r"(?:<stmt>)*+"),
+            # a module declaration's body begins with an export
+            ("BLOCK", r"(?:<stmt>)*+" + t(r"(?:\Z) | (?=\n?'export') (?: 'export' 'const' <decl> <end> | 'export'? <stmt> )*+")),
             ("OBJ", r"(?: (?: E<assign> | (?:'async'|'get'|'set'|\*)* <key> @PARAMS <ann>? @BLOCK | <key> : <assign> | @ID (?:=<assign>)?) (?:, (?: E<assign> | (?:'async'|'get'|'set'|\*)* <key> @PARAMS <ann>? @BLOCK | <key> : <assign> | @ID (?:=<assign>)?))* ,?)?"),
             ("OPAT", r"(?: (?: E@ID | <key> : <target> (?:=<assign>)? | @ID (?:=<assign>)?) (?:, (?: E@ID | <key> : <target> (?:=<assign>)? | @ID (?:=<assign>)?))* ,?)?"),
-            ("CLASS", r"(?> [;\n] | <deco>* @MOD* \n? (?: 'static' @BLOCK | \*? <key> \?? <tparams>? @PARAMS <ann>? (?:@BLOCK" + t(r"|<end>") + r") | <key> " + t(r"[?v]? <ann>?") + r" (?:=<assign>)? <end> " + t(r"| @SIG <ann> <end>") + r"))*+"),
+            ("CLASS", r"(?:<member>)*+"),
             ("SPEC", r"(?: " + t(r"'type'?") + r" @NAME (?:'as' @NAME)? (?:, " + t(r"'type'?") + r" @NAME (?:'as' @NAME)?)* ,?)?"),
             ("TOBJ", r"\n? (?: <tmember> (?:[,;\n]+ <tmember>)* [,;\n]*)?"),
             ("ENUM", r"(?: @NAMEL (?:=<assign>)? (?:, @NAMEL (?:=<assign>)?)* ,?)?"),
@@ -142,7 +145,7 @@ def _grammar(typed: bool) -> Grammar:
         ],
     }
     sets |= {"AT": "@", "NAMEL": sets["NAME"] + "L"}
-    return Grammar(LEXER, TOKENS, sets, roles, rules, r"(?:<item>)*+", _classify, _prepare, flat="PEXPR ARGS PARAMS FOR TPAREN AEXPR INDEX APAT TARR SIG OBJ OPAT SPEC ENUM")
+    return Grammar(LEXER, TOKENS, sets, roles, rules, r"(?:<item>)*+", _classify, _prepare, flat="PEXPR ARGS PARAMS FOR TPAREN AEXPR INDEX APAT TARR SIG OBJ OPAT SPEC ENUM", parts={"BLOCK": ("<stmt>", ""), "CLASS": ("<member>", ""), "TOP": ("<item>", "")}, stops=";\n", glue="".join(TOKENS[w] for w in ("else", "catch", "finally", "while")))
 
 
 JAVASCRIPT, TYPESCRIPT = _grammar(False), _grammar(True)
