@@ -17,7 +17,7 @@ def sem_01_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def sem_02_vectors(s: SparkSession, d: str) -> DataFrame:
-    return search.hashed_vectors(rel.docs(s, d), "doc_id", "text").select("doc_id", "idx", F.round("value", 6).alias("value"))
+    return search.hashed_vectors(rel.docs(s, d), "doc_id", "text").select("doc_id", "idx", F.round("value", 4).alias("value"))
 
 
 def sem_03_lexical(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ SQL = {
         "sem_01_tokens": f"with {_TOK} select doc_id, len(w) terms, len(list_distinct(w)) distinct_terms from t",
         "sem_02_vectors": f"with {_TOK}, x as (select doc_id, unnest(w) token from t), c as (select doc_id, token, count(*) n from x group by 1,2), f as (select token, count(*) df from c group by 1), "
         f"k as (select token, df, {_HASH} h from f), v as (select doc_id, abs(h)%96 idx, sum((ln(n)+1)*(ln(((select count(*) from {{docs}})+1)/(df+1))+1)*(case when h%2=0 then 1 else -1 end)) v from c join k using (token) group by 1,2), "
-        "z as (select doc_id, idx, v/sqrt(sum(v*v) over (partition by doc_id)) v from v) select doc_id, idx, round(v,6) as value from z where v <> 0",
+        "z as (select doc_id, idx, v/sqrt(sum(v*v) over (partition by doc_id)) v from v) select doc_id, idx, round(v,4) as value from z where v <> 0",
         "sem_03_lexical": _lex(),
         "sem_05_cosine": "select vec_id, round(greatest(0.0, coalesce(list_cosine_similarity(e.embedding::double[], f.w::double[]),0)),4) similarity from embeddings e join (select label, min_by(embedding, vec_id) w from embeddings group by 1) f using (label)",
         "sem_07_excerpts": "select doc_id, substr(trim(regexp_replace(text,'\\s+',' ','g')),1,320) excerpt from {docs}",
