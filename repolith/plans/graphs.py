@@ -100,7 +100,16 @@ def ref_01_waves(s: SparkSession, d: str) -> DataFrame:
     return w.withColumn("so_far", F.sum("modules").over(Window.partitionBy(F.lit(0)).orderBy("hop")))  # one row a hop
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in ("gr_", "imp", "ref") and callable(v)}
+def jn_06_hunk_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Symbols that a commit's changed lines touch; a file's hunk is taken from its line counts."""
+    from repolith.operators.ranges import overlap_join
+
+    h = rel.commit_files(s, d).select("repo", "path", "sha", (F.col("deletions") + 1).alias("from_line"), (F.col("deletions") + 1 + F.col("additions")).alias("to_line"))
+    y = rel.symbols(s, d).select("repo", "path", "name", "line", F.coalesce("end_line", "line").alias("end_line"))
+    return overlap_join(h, y, ["repo", "path"], ("from_line", "to_line"), ("line", "end_line")).select("sha", "path", "name", "line")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in ("gr_", "imp", "ref", "jn_") and callable(v)}
 
 _SEEDS = "(values " + ",".join(f"({i})" for i in SEEDS) + ")"
 
@@ -127,6 +136,7 @@ _raw = {
     "gr_21_paths": _walk(_FWD, "(values (1000),(1455),(1999))", 3) + "select start, node from m",
     "gr_20_ad_hoc": "select n.path, h.n from (select dst, count(*) n from {edges} group by dst) h join {nodes} n on n.id = h.dst where h.n >= 3",
     "gr_22_subgraph": _walk(_ANY, "(values (12))", 2) + ", k as (select node from m union select 12) select e.src, e.dst, n.size from {edges} e join {nodes} n on n.id = e.dst where e.src in (select node from k) and e.dst in (select node from k) order by n.size desc, e.src, e.dst limit 10",
+    "jn_06_hunk_overlap": "select c.sha, c.path, y.name, y.line from {commit_files} c join {symbols_} y on y.repo = c.repo and y.path = c.path and c.deletions + 1 <= coalesce(y.end_line, y.line) and y.line <= c.deletions + 1 + c.additions where y.line <= coalesce(y.end_line, y.line)",
     "imp_01_change_impact": _walk(_REV, "(values (30),(31))", 10) + "select start, layer, count(*) modules, sum(size)::bigint size from m join {nodes} n on n.id = m.node group by 1, 2",
     "ref_01_waves": _walk(_REV, "(values (7))", 6) + ", f as (" + _FIRST.replace("{v}", "(values (7))") + ") select hop, count(*) modules, sum(count(*)) over (order by hop)::bigint so_far from f group by hop",
 }

@@ -103,7 +103,7 @@ STATEMENTS: dict[str, str] = {
     "agg_23_max_per_key": "select id, max(w) as load from (select src as id, size as w from {edges} e join {nodes} n on n.id = e.dst union all select dst, size from {edges} e join {nodes} n on n.id = e.src) x group by id",
     "agg_24_version_mismatch": "select name, count(distinct file_id) as users, count(distinct kind) as kinds from {symbols_} group by name having count(distinct file_id) > 1",
     "agg_25_document_frequency": "select repo, source, count(*) as docs, sum(n_chars) * 1 as chars from {docs} group by cube(repo, source)",
-    "agg_27_running_mean": "select user_id, event_id, ~r2(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding)) as mean from {events_}",
+    "agg_27_running_mean": "select user_id, event_id, sum(~r0(value * 100)) over (partition by user_id order by ts, event_id rows unbounded preceding) / (count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) * 1e2) as mean from {events_}",
     "agg_grouping_sets": "select event_type, k, count(*) as n from {events_} group by grouping sets ((event_type), (k), ())",
     # --- windows
     "win_01_rank": "select repo, author, n, row_number() over (partition by repo order by n desc, author) as place, rank() over (partition by repo order by n desc) as tied, dense_rank() over (partition by repo order by n desc) as dense from (select repo, author, count(*) as n from {commits} where author is not null group by repo, author) x",
