@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.session import cut
-
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from repolith.llm.syntax import EXTENSIONS, LANGUAGES, parses, ranking
@@ -132,8 +130,7 @@ def documented(files: DataFrame) -> DataFrame:
     ``def`` head, found with lag.
     """
     valid = files.select("file_id", "path", "file_text").mapInPandas(_valid_texts, "file_id long, language string, file_text string")
-    t = valid.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_text", F.regexp_replace("file_text", "\r\n?", "\n"))
-    t = cut(t.repartition("uid"))  # read twice below, parsed once
+    t = valid.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_text", F.regexp_replace("file_text", "\r\n?", "\n")).repartition("uid")
     w = Window.partitionBy("uid").orderBy("pos")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     c, py = F.col("tok"), F.col("language") == "python"
@@ -149,21 +146,26 @@ def documented(files: DataFrame) -> DataFrame:
     quoted = is_string | (rust & c.rlike(r'^r#*"'))
     brace = (c == "{") | (c == "}")
     # of a string only its lines are needed, of other code its parentheses too
-    tok = lexed(t.filter(~py)).withColumns({"is_doc": is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")})
+    tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")})
     paren = F.length(F.replace("tok", F.lit(")"))) - F.length(F.replace("tok", F.lit("(")))
     tok = tok.withColumns({
         "line": line, "parens": F.sum(F.when(F.col("class") == "w", paren).otherwise(0)).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
+        "head": F.when(py, F.lag("tok").over(w)), "then": F.when(py, F.lead("tok").over(w)),
     })
     tok = tok.withColumn("doc", F.last(F.when(F.col("is_doc"), F.struct("pos", "parens")), ignorenulls=True).over(upto))
     closing = (F.col("class") == "b") & (F.col("parens") == F.col("doc.parens"))
     tok = tok.withColumn("closed", F.coalesce(F.max(F.when(closing, F.col("pos"))).over(before), F.lit(-1)))
-    isle = tok.filter(F.col("doc").isNotNull() & (F.col("closed") < F.col("doc.pos")))
+    # documentation inside: a string right after a def head that nothing is done with
+    is_def = F.col("head").rlike(r"^(?:async[ \t]+)?def[ \t]")
+    ends = F.col("then").isNull() | F.col("then").rlike(r"^[ \t]*(?:\n|;|#|$)")
+    isle = tok.filter(F.when(py, is_string & is_def & ends).otherwise(F.col("doc").isNotNull() & (F.col("closed") < F.col("doc.pos"))))
+    is_text = F.col("is_doc") | py
     text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).otherwise(c)
-    parts = F.array_sort(F.collect_list(F.when(~F.col("is_doc"), F.struct("pos", text.alias("x")))))
-    isle = isle.groupBy("uid", "file_id", "language", F.col("doc.pos").alias("at")).agg(
-        F.max(F.when(F.col("is_doc"), c)).alias("raw"), F.max(F.when(F.col("is_doc"), F.col("line") + lines)).alias("doc_end"), F.max(F.when(F.col("is_doc"), F.col("depth"))).alias("depth"), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
+    parts = F.array_sort(F.collect_list(F.when(~is_text, F.struct("pos", text.alias("x")))))
+    isle = isle.groupBy("uid", "file_id", "language", F.when(py, F.col("pos")).otherwise(F.col("doc.pos")).alias("at")).agg(
+        F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + lines)).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
     )
-    isle = isle.filter(F.col("rest").rlike(r"^[ \t]*\n[ \t]*[^\s\x01]") | (script & F.col("rest").rlike(r"^[ \t]*[^\s\x01]")))
+    isle = isle.filter(py | F.col("rest").rlike(r"^[ \t]*\n[ \t]*[^\s\x01]") | (script & F.col("rest").rlike(r"^[ \t]*[^\s\x01]")))
     isle = isle.withColumns({"body": F.regexp_replace(F.regexp_replace("rest", r"^\s+", ""), r"[{}]$", ""), "brace": F.substring("rest", -1, 1)})
     by = lambda k, i: F.regexp_extract(F.col("decl") if i else F.col("body"), _HEADS[k][i], 1)
     per = lambda f: F.when(F.col("language").isin("typescript", "javascript"), f("script")).when(go, f("go")).when(F.col("language") == "java", f("java")).otherwise(f("rust"))
@@ -176,19 +178,14 @@ def documented(files: DataFrame) -> DataFrame:
     skipped = F.length("skip") - F.length(F.replace("skip", F.lit("\n")))
     kind = F.when(js, F.when(func != "", "function").when(arrow != "", "arrow").otherwise("method")).when(go, F.when(F.col("decl").rlike(r"^func\s*\("), "method").otherwise("function")).when(F.col("language") == "java", "method").otherwise(F.when(F.col("depth") > 0, "method").otherwise("function"))
     text_of = F.when(go, F.regexp_replace("raw", r"(?m)^[ \t]*// ?", "")).when(rust, F.regexp_replace("raw", r"(?m)^[ \t]*/// ?", "")).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^/\*\*+|\*+/$", ""), r"(?m)^[ \t]*\*+(?!/) ?", ""), r"^[ \t]+", ""))
-    above = isle.select("file_id", "language", name.alias("symbol_name"), kind.alias("kind"), (F.col("doc_end") + lead_lines + skipped).cast("long").alias("line"), text_of.alias("text"))
-    # documentation inside: a string right after a def head that nothing is done with
-    inside = lexed(t.filter(py)).withColumns({"line": line, "head": F.lag("tok").over(w), "then": F.lead("tok").over(w)})
-    is_def = F.col("head").rlike(r"^(?:async[ \t]+)?def[ \t]")
-    ends = F.col("then").isNull() | F.col("then").rlike(r"^[ \t]*(?:\n|;|#|$)")
     quotes = r"^(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')$"
-    inner = inside.filter(is_string & is_def & ends)
     head_lines = F.length("head") - F.length(F.replace("head", F.lit("\n")))
-    inner = inner.select(
-        "file_id", "language", F.regexp_extract("head", r"def[ \t]+(\w+)", 1).alias("symbol_name"), F.when(F.col("head").rlike(r"\(\s*(?:self|cls)\b"), "method").otherwise("function").alias("kind"),
-        (F.col("line") - head_lines).cast("long").alias("line"), F.regexp_replace("tok", quotes, "").alias("text"),
-    )
-    out = above.unionByName(inner).filter("symbol_name <> ''")
+    out = isle.select(
+        "file_id", "language", F.when(py, F.regexp_extract("head", r"def[ \t]+(\w+)", 1)).otherwise(name).alias("symbol_name"),
+        F.when(py, F.when(F.col("head").rlike(r"\(\s*(?:self|cls)\b"), "method").otherwise("function")).otherwise(kind).alias("kind"),
+        F.when(py, F.col("doc_line") - head_lines).otherwise(F.col("doc_end") + lead_lines + skipped).cast("long").alias("line"),
+        F.when(py, F.regexp_replace("raw", quotes, "")).otherwise(text_of).alias("text"),
+    ).filter("symbol_name <> ''")
     out = out.withColumn("description", F.trim(F.regexp_replace(F.regexp_replace("text", _SECTION, ""), r"\s+", " "))).drop("text")
     return out.withColumn("meaningful", meaningful(F.col("description"), F.col("symbol_name"))).distinct()
 
