@@ -6,6 +6,8 @@ lineage, so plans stay short and a lost executor costs a round. Nothing is colle
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(reversed_edges(edges)).distinct()
 
 
+def sources(edges: DataFrame) -> DataFrame:
+    """(node): nodes with a way out and none in."""
+    return edges.select(F.col("src").alias("node")).dropna().distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+
+
+def sinks(edges: DataFrame) -> DataFrame:
+    """(node): nodes with a way in and none out."""
+    return sources(reversed_edges(edges))
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
     """(start, node, depth): nodes reached from each start along edges, at their first depth.
 
@@ -124,17 +136,18 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return out.unionByName(done.join(out.select("node"), "node", "left_anti"))
 
 
-def traced_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, max_depth: int = 10) -> DataFrame:
+def traced_paths(edges: DataFrame, entries: DataFrame, exits: DataFrame, max_depth: int | None = 10) -> DataFrame:
     """(entry, path): from each entry the shortest path to an exit, the smallest among equals.
 
     ``entries``: (start), ``exits``: (node). Without an exit in reach, there is no row.
+    A ``max_depth`` of None goes on until nothing new is reached.
     """
     e = cut(edges.select("src", "dst").dropna().distinct())
     x = exits.select(F.col("node")).distinct()
     front = entries.select(F.col("start").alias("entry"), F.col("start").alias("node"), F.array("start").alias("path"))
     seen = front.select("entry", "node")
     found = None
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         step = front.join(e, front["node"] == e["src"]).select("entry", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen, ["entry", "node"], "left_anti").groupBy("entry", "node").agg(F.min("path").alias("path"))
         front = cut(step)
