@@ -198,5 +198,11 @@ STATEMENTS: dict[str, str] = {
     "str_01_last_per_path": "select path, max_by(status, ts) as status, max(ts) as ts from (select path, ts, max(status) as status from {commit_files} group by path, ts) x group by path",
 }
 
-QUERIES = {k: partial(relations.run, sql=spark_sql(v)) for k, v in STATEMENTS.items()}
+#: Queries whose statement above answers a part of the question only; it stays as their SQL.
+WHOLE: dict[str, str] = {
+    "jn_11_containing_symbol": "select l.file_id, l.n, max_by(y.name, struct(y.line, y.name, y.kind)) as name from {source_lines} l join {symbols_} y on y.file_id = l.file_id and y.line <= l.n group by l.file_id, l.n",
+    "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",
+}
+
+QUERIES = {k: partial(relations.run, sql=spark_sql(v)) for k, v in (STATEMENTS | WHOLE).items()}
 SQL = {k: relations.oracle(duck_sql(v)) for k, v in STATEMENTS.items()}

@@ -1,6 +1,6 @@
 """Queries over small tables whose right rows a cut of the input would lose."""
 
-from repolith.plans import graphs
+from repolith.plans import graphs, reports
 
 
 def parts(spark, tmp_path, brands):
@@ -18,3 +18,15 @@ def test_hot_paths_from_every_entry(spark, tmp_path):
     far = [2**k for k in range(13, -1, -1)] + [0]
     want = [(3, 0, 3, "3>1>0"), (5, 0, 3, "5>1>0"), (8192, 0, 15, ">".join(map(str, far)))]
     assert sorted(map(tuple, graphs.gr_10_hot_paths(spark, d).collect())) == want
+
+
+def test_package_used_by_an_odd_module(spark, tmp_path):
+    d = parts(spark, tmp_path, {1: "B", 3: "A"})  # 3 -> 1
+    assert [r.layer for r in reports.QUERIES["mon_01_unused_packages"](spark, d).collect()] == ["a"]
+
+
+def test_every_line_has_its_symbol(spark, tmp_path):
+    rows = [(1, "r", "a.py", "x = 1\ny = 2\n\nz = 3", [("f", "function", 2, 2), ("g", "class", 2, 2), ("g", "function", 2, 2), ("h", "function", 4, 4)])]
+    kinds = "file_id long, repo string, path string, file_text string, symbols array<struct<name: string, kind: string, line: int, end_line: int, exported: boolean, documentation: string>>"
+    spark.createDataFrame([(*r[:4], [(*y, True, None) for y in r[4]]) for r in rows], kinds).write.parquet(str(tmp_path / "files.parquet"))
+    assert sorted(map(tuple, reports.QUERIES["jn_11_containing_symbol"](spark, str(tmp_path)).collect())) == [(1, 2, "g"), (1, 3, "g"), (1, 4, "h")]
