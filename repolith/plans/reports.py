@@ -18,6 +18,8 @@ _KIND = (
 )
 _BRACES = "(select file_id, n, line, d, sum(d) over (partition by file_id order by n rows unbounded preceding) as total from (select file_id, n, line, length(replace(line, ~chr(125), '')) - length(replace(line, ~chr(123), '')) as d from {source_lines} where ext <> 'py') a)"
 _DAYS = "(select repo, path, count(*) n, count(distinct author) authors, min(ts) first_at, max(ts) last_at, sum(additions+deletions) churned from {commit_files} group by repo, path)"
+#: Files of three commits or more, whatever else these hold: no others can change together three times.
+_SEVERAL = "(select repo, sha, path, n from (select repo, sha, path, count(*) over (partition by repo, path) as n from {commit_files}) f where n >= 3)"
 
 STATEMENTS: dict[str, str] = {
     # --- filters and projections
@@ -200,6 +202,8 @@ STATEMENTS: dict[str, str] = {
 
 #: Queries whose statement above answers a part of the question only; it stays as their SQL.
 WHOLE: dict[str, str] = {
+    "jn_17_co_change": f"select a.repo, a.path as path_a, b.path as path_b, count(*) as shared from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) > 2",
+    "cog_04_implicit_coupling": f"select a.repo, a.path as path_a, b.path as path_b, ~r1(least(100e0, 35e-2 * count(*) + 100e0 * count(*) / least(max(a.n), max(b.n)))) as score from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) >= 3 order by score desc, a.repo, path_a, path_b limit 80",
     "jn_11_containing_symbol": "select l.file_id, l.n, max_by(y.name, struct(y.line, y.name, y.kind)) as name from {source_lines} l join {symbols_} y on y.file_id = l.file_id and y.line <= l.n group by l.file_id, l.n",
     "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",
 }

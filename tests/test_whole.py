@@ -1,6 +1,8 @@
 """Queries over small tables whose right rows a cut of the input would lose."""
 
-from repolith.plans import graphs, reports
+from datetime import datetime
+
+from repolith.plans import graphs, reports, search
 
 
 def parts(spark, tmp_path, brands):
@@ -30,3 +32,17 @@ def test_every_line_has_its_symbol(spark, tmp_path):
     kinds = "file_id long, repo string, path string, file_text string, symbols array<struct<name: string, kind: string, line: int, end_line: int, exported: boolean, documentation: string>>"
     spark.createDataFrame([(*r[:4], [(*y, True, None) for y in r[4]]) for r in rows], kinds).write.parquet(str(tmp_path / "files.parquet"))
     assert sorted(map(tuple, reports.QUERIES["jn_11_containing_symbol"](spark, str(tmp_path)).collect())) == [(1, 2, "g"), (1, 3, "g"), (1, 4, "h")]
+
+
+def commits(spark, tmp_path, rows):
+    kinds = "repo string, sha string, path string, additions long, deletions long, author string, committed_at timestamp, is_merge boolean, status string"
+    spark.createDataFrame([("r", sha, path, 1, 0, "x", at, False, "m") for sha, path, at in rows], kinds).write.parquet(str(tmp_path / "commit_changes.parquet"))
+    return str(tmp_path)
+
+
+def test_large_commits_count(spark, tmp_path):
+    at = datetime(2025, 1, 1)
+    d = commits(spark, tmp_path, [(f"s{k}", p, at) for k in range(4) for p in ["a", "b", *(f"{k}/{i}" for i in range(25))]])
+    assert [tuple(r) for r in reports.QUERIES["jn_17_co_change"](spark, d).collect()] == [("r", "a", "b", 4)]
+    assert [tuple(r) for r in reports.QUERIES["cog_04_implicit_coupling"](spark, d).collect()] == [("r", "a", "b", 100.0)]
+    assert [tuple(r) for r in search.tmp_04_clusters(spark, d).collect()] == [("r", "a", "b")]
