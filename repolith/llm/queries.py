@@ -81,10 +81,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_surprise(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs with count, ratio, lift, and the p and q value under the configuration null."""
+    """All pairs that change together with count, ratio, lift, and the p and q value under the configuration null."""
     rows = _commits(spark, d)
     inc = cut(cooccurrence.incidence(rows, "repo", "sha", "path"))
-    out = cooccurrence.surprise(inc, cut(cooccurrence.pair_counts(inc)))
+    out = cooccurrence.surprise(inc, cut(cooccurrence.all_pairs(inc)))
     ratio, lift = F.col("c") / F.col("n_i"), F.col("c") * F.col("total") / (F.col("n_i") * F.col("n_j"))
     return cooccurrence.names(rows, out.withColumns({"ratio": ratio, "lift": lift}), "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift", "p_value", "q_value")
 
