@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector: one HNSW graph a shard, shard results merged.
 
 Vectors go to the shard of their nearest centroid and are searched for in the ``probes``
-nearest ones. Centroids are fitted on a sample of at most SAMPLE rows; every row is indexed.
+nearest ones, by default in a fixed share of all shards, so that growth does not narrow the search. Centroids are fitted on a sample of at most SAMPLE rows; every row is indexed.
 There are about sqrt(rows) / SPREAD shards, and one that outgrows PARTS_OVER times the mean
 is split, all its parts being searched.
 """
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from repolith.session import cut
 
 SAMPLE, SPREAD, PARTS_OVER = 20_000, 12, 4
+#: Shards of all that are searched for a vector, and no fewer than LEAST_PROBES.
+SHARE, LEAST_PROBES = 0.27, 3
+#: By how much half precision can move a cosine, and more.
+HALF = 0.002
 
 
 def usable(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -49,7 +53,22 @@ def _unit(v: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
 
 
-def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degree: int = 16, at_least: float | None = None) -> DataFrame:
+def exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Add the cosine in double precision to pairs (same, near) of ``vectors``: same, v."""
+
+    def score(batches):
+        for b in batches:
+            x, y = (np.array(b[c].tolist(), "f8").reshape(len(b), -1) for c in ("v", "w"))
+            if len(b):
+                x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
+                s = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+                yield b[["same", "near"]].assign(similarity=s)
+
+    d = pairs.join(vectors, "same").join(vectors.withColumnsRenamed({"same": "near", "v": "w"}), "near")
+    return d.select("same", "near", "v", "w").mapInPandas(score, "same long, near long, similarity double")
+
+
+def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int = 16, degree: int = 16, at_least: float | None = None) -> DataFrame:
     """The k most similar other vectors of each one.
 
     ``vectors``: id (string or long), v, as from ``usable``. Gives id, other, similarity
@@ -58,8 +77,8 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degre
     vectors gets a list for each. Ids with equal vectors are kept once in the graphs; each
     of them lists its equals first. An empty table gives no rows.
 
-    Members travel in single, queries in half precision, so a similarity across shards is
-    off by some 1e-5.
+    Members travel in single, queries in half precision; what is found is scored again in
+    full precision, from the stored vectors, before it is ranked and held against ``at_least``.
     """
     names = vectors.select("id", F.xxhash64("v").alias("same"))
     # copies: the k + 1 smallest ids of a vector are all that anyone's list can need
@@ -75,6 +94,7 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degre
     sample = _unit(vectors.filter(F.pmod(F.xxhash64("v"), F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas()["v"])
     centres = _fit(sample, shards)
     shards = len(centres)
+    probes = max(LEAST_PROBES, math.ceil(SHARE * shards)) if probes is None else probes
     # how often shards are home and asked, as the sample has it: large ones are split
     near = np.argsort(-(sample @ centres.T), 1, "stable")[:, :probes]
     scale = n / max(1, len(near))
@@ -115,7 +135,7 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degre
     own = placed.select("same", "shard", "x", F.explode(F.concat(F.when(F.col("home"), member).otherwise(F.array()), asking)).alias("to")).select("same", "shard", "x", "to.*")
 
     # what is below isn't listed, and can't move what is above: it needn't travel
-    floor = -2.0 if at_least is None else at_least
+    floor = -2.0 if at_least is None else at_least - HALF
     nothing = pd.DataFrame({"same": np.empty(0, "i8"), "near": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
@@ -143,8 +163,9 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 3, ef: int = 16, degre
 
     found = own.groupBy("shard", "part", "chunk").applyInPandas(search, "same long, near array<long>, sims array<float>")
     pairs = found.filter(F.size("near") > 0).select("same", F.explode(F.arrays_zip("sims", "near")).alias("p"))
-    best = pairs.groupBy("same").agg(F.slice(F.reverse(F.array_sort(F.collect_set("p"))), 1, k).alias("p"))
-    best = best.select("same", F.explode("p").alias("p")).select("same", F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))
+    best = pairs.groupBy("same").agg(F.slice(F.reverse(F.array_sort(F.collect_set("p"))), 1, 2 * k).alias("p"))
+    best = best.select("same", F.explode("p").alias("p")).select("same", F.col("p.near").alias("near"))
+    best = exact(best, vectors.groupBy(F.xxhash64("v").alias("same")).agg(F.first("v").alias("v")))
     best = best if at_least is None else best.filter(F.col("similarity") >= at_least)
     other = best.join(reps.withColumnsRenamed({"same": "near", "ids": "others"}), "near").select("same", "similarity", F.explode(F.slice("others", 1, k)).alias("other"))
     equal = reps.filter(F.size("ids") > 1).select("same", F.lit(1.0).alias("similarity"), F.explode("ids").alias("other"))
