@@ -202,6 +202,7 @@ STATEMENTS: dict[str, str] = {
 
 #: Queries whose statement above answers a part of the question only; it stays as their SQL.
 WHOLE: dict[str, str] = {
+    "drf_03_trajectory": "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, ~r1(~clamp(n_files * 2 + additions / 20e0)) as score from {commits}) x",
     "jn_17_co_change": f"select a.repo, a.path as path_a, b.path as path_b, count(*) as shared from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) > 2",
     "cog_04_implicit_coupling": f"select a.repo, a.path as path_a, b.path as path_b, ~r1(least(100e0, 35e-2 * count(*) + 100e0 * count(*) / least(max(a.n), max(b.n)))) as score from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) >= 3 order by score desc, a.repo, path_a, path_b limit 80",
     "jn_11_containing_symbol": "select l.file_id, l.n, max_by(y.name, struct(y.line, y.name, y.kind)) as name from {source_lines} l join {symbols_} y on y.file_id = l.file_id and y.line <= l.n group by l.file_id, l.n",

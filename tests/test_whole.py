@@ -1,6 +1,6 @@
 """Queries over small tables whose right rows a cut of the input would lose."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from repolith.plans import graphs, reports, search
 
@@ -46,3 +46,8 @@ def test_large_commits_count(spark, tmp_path):
     assert [tuple(r) for r in reports.QUERIES["jn_17_co_change"](spark, d).collect()] == [("r", "a", "b", 4)]
     assert [tuple(r) for r in reports.QUERIES["cog_04_implicit_coupling"](spark, d).collect()] == [("r", "a", "b", 100.0)]
     assert [tuple(r) for r in search.tmp_04_clusters(spark, d).collect()] == [("r", "a", "b")]
+
+
+def test_trajectory_to_the_last_commit(spark, tmp_path):
+    d = commits(spark, tmp_path, [(f"s{k:02d}", "a", datetime(2025, 1, 1) + timedelta(days=k)) for k in range(40)])
+    assert sorted((r.k, r.sha) for r in reports.QUERIES["drf_03_trajectory"](spark, d).collect()) == [(k + 1, f"s{k:02d}") for k in range(40)]
