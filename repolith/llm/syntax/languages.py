@@ -46,11 +46,13 @@ def _python(text: str) -> bool:
 
 #: How a text that isn't empty can begin, comments aside; what begins otherwise fails at its first token.
 _LINES = r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
+_FLAT = r"(?:\s++|//[^\n]*+|/\*(?:[^/*]|\*(?!/)|/(?!\*))*+\*/)*+"
 _NAMES = r"[^\W\d]\w*(?:\.[^\W\d]\w*)*"
 _BEGIN = {
     "go": re.compile(_LINES + r"package[ \t]+[^\W\d]\w*[ \t]*(?:;|\n|//|/\*|\Z)"),
     "java": re.compile(_LINES + rf"(?:\Z|;|@|(?:package|import(?:\s+static)?)\s+{_NAMES}(?:\.\*)?\s*;|(?:public|private|protected|static|final|abstract|strictfp|sealed|non|class|interface|enum|record)\s)"),
-    "rust": re.compile(_LINES + r"(?:\Z|\#|::|(?:pub|fn|struct|enum|union|impl|trait|mod|use|const|static|type|extern|unsafe|async|auto)\b(?!\s*[=.{:])|\w+(?:::\w+)*!)"),
+    # a comment with another one inside is left to the lexer, and so is all that may be an item
+    "rust": re.compile(_FLAT + r"(?:\Z|/\*|;|\#|::|(?:use|extern|impl)\b|(?:pub|fn|struct|enum|union|trait|mod|const|static|type|unsafe|async|auto)\b(?!\s*[=.{:])|\w+(?:\s*::\s*\w+)*\s*!)"),
 }
 #: Two plain names in a row can't begin a script, unless the first is a word of the language.
 _TWO = re.compile(_LINES + r"(?!(?:as|async|await|case|class|const|declare|default|delete|do|else|enum|export|extends|function|get|if|import|in|instanceof|interface|abstract|let|module|namespace|new|of|return|set|static|throw|type|typeof|var|void|while|with|yield)\b)[A-Za-z_$][\w$]*[ \t]+(?!(?:as|in|instanceof|of|satisfies)\b)[A-Za-z_$]")
