@@ -87,7 +87,7 @@ _HEADS = {
         r"^(?:export\s+)?const\s+([\w$]+)\s*(?::(?:[^=]|=>)*?)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?::(?:[^=]|=(?!>))+?)?|[\w$]+)\s*=>",
         r"^(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set|accessor)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|return|function|new|await|super|typeof|with|import|throw|yield)\b)(#?[\w$]+)\s*\??\s*(?:<[^(]*>)?\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?::[\s\S]+)?$",
     ),
-    "go": (r"^()", r"^func\s*(?:\([^)]*\)\s*)?([\w]+)\s*(?:\[[^\]]*\]\s*)?\("),
+    "go": (r"^()", r"^func\s*(?:\([\s\S]*?\)\s*)??(\w+)\s*[\[(]"),
     "java": (
         rf"^((?:{_ANNOTATION})*)",
         r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+|" + _ANNOTATION + r")*(?:<[^(]*?>\s*)?(?!(?:return|new|else|throw|package|import|case|assert|yield)\b)[\w$.]+(?:\s*<[^()]*>)?(?:\s*\[\s*\])*(?:\.\.\.)?\s+([\w$]+)\s*\(",
@@ -124,7 +124,7 @@ def documented(files: DataFrame) -> DataFrame:
     repeated file counts once.
 
     The text is lexed into coarse tokens (comments, strings, braces, the code between),
-    one row each. Running sums give a token's line, its brace and its parenthesis depth.
+    one row each. Running sums give a token's line, its brace and its parenthesis (of Go, bracket too) depth.
     Documentation opens an island that ends at the next brace outside parentheses; its
     tokens make up the declaration's head. A docstring is the string right after a
     ``def`` head, found with lag.
@@ -148,6 +148,9 @@ def documented(files: DataFrame) -> DataFrame:
     # of a string only its lines are needed, of other code its parentheses too
     tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")})
     paren = F.length(F.replace("tok", F.lit(")"))) - F.length(F.replace("tok", F.lit("(")))
+    # of Go, brackets too: a constraint may hold braces
+    square = F.length(F.replace("tok", F.lit("]"))) - F.length(F.replace("tok", F.lit("[")))
+    paren = paren + F.when(go, square).otherwise(0)
     tok = tok.withColumns({
         "line": line, "parens": F.sum(F.when(F.col("class") == "w", paren).otherwise(0)).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
         "head": F.when(py, F.lag("tok").over(w)), "then": F.when(py, F.lead("tok").over(w)),
