@@ -1,14 +1,22 @@
 """The k most similar vectors of every vector: one HNSW graph a shard, shard results merged.
 
-Vectors go to the shard of their nearest centroid and are searched for in the ``probes``
-nearest ones, by default in a fixed share of all shards, so that growth does not narrow the search. Centroids are fitted on a sample of at most SAMPLE rows; every row is indexed.
-There are about sqrt(rows) / SPREAD shards, and one that outgrows PARTS_OVER times the mean
-is split, all its parts being searched.
+Vectors go to the shard of their nearest centroid. They are searched for there and
+
+* with a least similarity t, in every shard that may be the home of a vector so similar: one
+  at t from q has q's component t along q and the rest in a random direction, so the difference of
+  its cosines to two centroids a and b deviates by sqrt(1 - t^2) |a - b| / sqrt(dims); shards
+  further behind than SIGMAS such deviations are left out, whatever their number;
+* without one, in a fixed share of all shards, so that growth does not narrow the search.
+
+Centroids are fitted on a sample of at most SAMPLE rows; every row is indexed. There are
+about sqrt(rows) / SPREAD shards. A task holds at most about MEMBERS rows of a shard, all
+parts of which are searched, and ASKING queries.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,11 +25,12 @@ from pyspark.sql import functions as F
 
 from repolith.session import cut
 
-SAMPLE, SPREAD, PARTS_OVER = 20_000, 12, 4
-#: Shards of all that are searched for a vector, and no fewer than LEAST_PROBES.
+SAMPLE, SPREAD, MEMBERS, ASKING = 20_000, 8, 20_000, 50_000
+#: Shards of all that are searched for a vector without a least similarity, and no fewer than LEAST_PROBES.
 SHARE, LEAST_PROBES = 0.27, 3
-#: By how much half precision can move a cosine, and more.
-HALF = 0.002
+SIGMAS = 2.0
+#: By how much single precision can move a cosine, and more; candidates that a shard gives beyond k.
+SINGLE, SPARE = 1e-6, 3
 
 
 def usable(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -47,28 +56,77 @@ def _fit(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     return c
 
 
-def _unit(v: pd.Series) -> np.ndarray:
-    x = np.array(v.tolist(), "f8")
-    x /= np.abs(x).max(1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add the cosine in double precision to pairs (same, near) of ``vectors``: same, v."""
-
-    def score(batches):
-        for b in batches:
-            x, y = (np.array(b[c].tolist(), "f8").reshape(len(b), -1) for c in ("v", "w"))
-            if len(b):
-                x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-                s = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
-                yield b[["same", "near"]].assign(similarity=s)
+#: Kinds of packed rows: whole numbers over a power of ten, or floats.
+_POWERS, _F4, _F8 = 10, 254, 255
 
-    d = pairs.join(vectors, "same").join(vectors.withColumnsRenamed({"same": "near", "v": "w"}), "near")
-    return d.select("same", "near", "v", "w").mapInPandas(score, "same long, near long, similarity double")
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows of doubles in the fewest bytes an entry that give them back exactly.
 
-def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int = 16, degree: int = 16, at_least: float | None = None) -> DataFrame:
+    Decimals of up to nine places become whole numbers of two or four bytes, what single
+    precision holds takes four, the rest eight. The first byte says which.
+    """
+    out: list[bytes] = [b""] * len(x)
+    left = np.arange(len(x))
+
+    def done(ok: np.ndarray, values: np.ndarray, kind: int, to: str) -> None:
+        nonlocal left
+        for i, r in zip(left[ok], values[ok].astype(to)):
+            out[i] = bytes([kind]) + r.tobytes()
+        left = left[~ok]
+
+    for e in range(_POWERS):
+        with np.errstate(over="ignore", invalid="ignore"):
+            m = np.rint(x[left] * 10.0**e)
+            same, top = (m / 10.0**e == x[left]).all(1), np.abs(m).max(1, initial=0)
+        short = same & (top < 2**15)
+        done(short, m, e, "<i2")
+        m, same, top = m[~short], same[~short], top[~short]
+        done(same & (top < 2**31), m, _POWERS + e, "<i4")
+        if not len(left):
+            return out
+    with np.errstate(over="ignore"):
+        f = x[left].astype("f4")
+    done((f == x[left]).all(1), f, _F4, "<f4")
+    done(np.ones(len(left), bool), x[left], _F8, "<f8")
+    return out
+
+
+def unpack(rows: Sequence[bytes]) -> np.ndarray:
+    kinds = np.array([r[0] for r in rows], "u1")
+    out = None
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        to = {_F4: "<f4", _F8: "<f8"}.get(int(kind), "<i2" if kind < _POWERS else "<i4")
+        x = np.frombuffer(b"".join(rows[i][1:] for i in at), to).reshape(len(at), -1).astype("f8")
+        if kind < _F4:
+            x = x / 10.0 ** (int(kind) % _POWERS)
+        out = np.empty((len(rows), x.shape[1])) if out is None else out
+        out[at] = x
+    return np.empty((0, 0)) if out is None else out
+
+
+def _routes(x: np.ndarray, centres: np.ndarray, probes: int | None, at_least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home shard of each row; (row, shard) to search: ``probes`` nearest, else those that ``at_least`` leaves possible."""
+    s = x @ centres.T
+    home = np.argmax(s, 1)
+    if probes is not None:
+        m = min(probes, len(centres))
+        near = np.argsort(-s, 1, "stable")[:, :m]
+        return home, np.repeat(np.arange(len(x)), m), near.ravel()
+    t = min(1.0, max(1e-6, at_least))
+    apart = np.sqrt(np.maximum(0, (centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T))
+    slack = SIGMAS * math.sqrt(1 - t * t) / t / math.sqrt(x.shape[1]) * apart[home]
+    row, shard = np.nonzero(s >= s[np.arange(len(x)), home][:, None] - slack)
+    return home, row, shard
+
+
+def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int = 16, degree: int = 16, at_least: float | None = None, shards: int | None = None) -> DataFrame:
     """The k most similar other vectors of each one.
 
     ``vectors``: id (string or long), v, as from ``usable``. Gives id, other, similarity
@@ -77,8 +135,9 @@ def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int =
     vectors gets a list for each. Ids with equal vectors are kept once in the graphs; each
     of them lists its equals first. An empty table gives no rows.
 
-    Members travel in single, queries in half precision; what is found is scored again in
-    full precision, from the stored vectors, before it is ranked and held against ``at_least``.
+    Vectors travel without loss (``pack``), are searched for in single precision, and what a
+    shard finds is scored again in double precision before it is ranked or held against
+    ``at_least``. ``shards`` and ``probes`` override the numbers described above.
     """
     names = vectors.select("id", F.xxhash64("v").alias("same"))
     # copies: the k + 1 smallest ids of a vector are all that anyone's list can need
@@ -89,18 +148,19 @@ def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int =
     n = reps.count()
     if not n:
         return d.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    shards = max(1, math.ceil(math.sqrt(n) / SPREAD))
+    shards = shards or max(1, math.ceil(math.sqrt(n) / SPREAD))
     step = max(1, n // SAMPLE) if n >= 1000 else 1
-    sample = _unit(vectors.filter(F.pmod(F.xxhash64("v"), F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas()["v"])
+    sample = vectors.filter(F.pmod(F.xxhash64("v"), F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas()["v"]
+    sample = _unit(np.array(sample.tolist(), "f8")).astype("f4")
     centres = _fit(sample, shards)
     shards = len(centres)
-    probes = max(LEAST_PROBES, math.ceil(SHARE * shards)) if probes is None else probes
+    if probes is None and at_least is None:
+        probes = max(LEAST_PROBES, math.ceil(SHARE * shards))
     # how often shards are home and asked, as the sample has it: large ones are split
-    near = np.argsort(-(sample @ centres.T), 1, "stable")[:, :probes]
-    scale = n / max(1, len(near))
-    limit = max(1000, PARTS_OVER * math.ceil(n / shards))
-    parts = {int(c): math.ceil(m * scale / limit) for c, m in zip(*np.unique(near[:, 0], return_counts=True))}
-    chunks = {int(c): math.ceil(m * scale / (4 * limit)) for c, m in zip(*np.unique(near, return_counts=True))}
+    home, _, asked = _routes(sample, centres, probes, at_least)
+    scale = n / max(1, len(sample))
+    parts = {int(c): math.ceil(m * scale / MEMBERS) for c, m in zip(*np.unique(home, return_counts=True))}
+    chunks = {int(c): math.ceil(m * scale / ASKING) for c, m in zip(*np.unique(asked, return_counts=True))}
     send = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
@@ -111,14 +171,10 @@ def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int =
             b = b[fresh]
             if not len(b):
                 continue
-            x = _unit(b["v"])
-            m = min(probes, len(c))
-            near = np.argsort(-(x @ c.T), 1, "stable")[:, :m]
-            full, half = [r.tobytes() for r in x], [r.tobytes() for r in x.astype("f2")]
-            yield pd.DataFrame({
-                "same": np.repeat(b["same"].to_numpy(), m), "shard": near.ravel().astype("i4"), "home": np.tile(np.arange(m) == 0, len(b)),
-                "x": [f if j == 0 else h for f, h in zip(full, half) for j in range(m)],
-            })
+            x = np.array(b["v"].tolist(), "f8")
+            home, row, shard = _routes(_unit(x).astype("f4"), c, probes, at_least)
+            raw = pack(x)
+            yield pd.DataFrame({"same": b["same"].to_numpy()[row], "shard": shard.astype("i4"), "home": shard == home[row], "x": [raw[i] for i in row]})
 
     placed = vectors.select(F.xxhash64("v").alias("same"), "v").mapInPandas(assign, "same long, shard int, home boolean, x binary")
 
@@ -135,37 +191,35 @@ def similar(vectors: DataFrame, k: int = 5, probes: int | None = None, ef: int =
     own = placed.select("same", "shard", "x", F.explode(F.concat(F.when(F.col("home"), member).otherwise(F.array()), asking)).alias("to")).select("same", "shard", "x", "to.*")
 
     # what is below isn't listed, and can't move what is above: it needn't travel
-    floor = -2.0 if at_least is None else at_least - HALF
+    floor = -2.0 if at_least is None else at_least - SINGLE
     nothing = pd.DataFrame({"same": np.empty(0, "i8"), "near": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         from repolith.llm.hnsw import Graph
 
         g = g.sort_values("same", kind="stable").drop_duplicates("same")  # hashes: a random order, the same on every attempt
-        width = 4 * send.value.shape[1]
-        x = np.array([np.frombuffer(r, "f4" if len(r) == width else "f2") for r in g["x"]], "f4")
+        x = _unit(unpack(g["x"].tolist()))
         home, ask, same = g["member"].to_numpy(bool), g["ask"].to_numpy(bool), g["same"].to_numpy()
-        members, mine = np.ascontiguousarray(x[home]), same[home]
-        x, same = x[ask], same[ask]
-        if not len(members):
+        if not home.any() or not ask.any():
             return nothing
-        ids, s = Graph.build(members, degree, 2 * ef).search(x, k + 1, ef)
+        full, mine = x[home], same[home]
+        x, same = x[ask], same[ask]
+        ids, s = Graph.build(full.astype("f4"), degree, 2 * ef).search(x.astype("f4"), k + 1 + SPARE, ef)
+        ok = (ids >= 0) & (s >= floor) & (mine[ids] != same[:, None])
+        some = np.flatnonzero(ok.any(1))
         rows_near, rows_s = [], []
-        some = np.flatnonzero(((s >= floor) & (mine[ids] != same[:, None])).any(1))
-        if not len(some):
-            return nothing
-        same, ids, s = same[some], ids[some], s[some]
-        for i, (a, b) in enumerate(zip(ids, s)):
-            ok = (a >= 0) & (mine[a] != same[i]) & (b >= floor)
-            rows_near.append(mine[a[ok]][:k].tolist())
-            rows_s.append(b[ok][:k].tolist())
-        return pd.DataFrame({"same": same, "near": rows_near, "sims": rows_s})
-
-    found = own.groupBy("shard", "part", "chunk").applyInPandas(search, "same long, near array<long>, sims array<float>")
+        for i in range(0, len(some), 4096):
+            at = some[i : i + 4096]
+            exact = np.einsum("ij,ikj->ik", x[at], full[ids[at]])
+            for near, sims, keep in zip(mine[ids[at]], exact, ok[at]):
+                rows_near.append(near[keep].tolist())
+                rows_s.append(sims[keep].tolist())
+        return pd.DataFrame({"same": same[some], "near": rows_near, "sims": rows_s}) if len(some) else nothing
+
+    found = own.groupBy("shard", "part", "chunk").applyInPandas(search, "same long, near array<long>, sims array<double>")
     pairs = found.filter(F.size("near") > 0).select("same", F.explode(F.arrays_zip("sims", "near")).alias("p"))
     best = pairs.groupBy("same").agg(F.slice(F.reverse(F.array_sort(F.collect_set("p"))), 1, 2 * k).alias("p"))
-    best = best.select("same", F.explode("p").alias("p")).select("same", F.col("p.near").alias("near"))
-    best = exact(best, vectors.groupBy(F.xxhash64("v").alias("same")).agg(F.first("v").alias("v")))
+    best = best.select("same", F.explode("p").alias("p")).select("same", F.col("p.near").alias("near"), F.col("p.sims").alias("similarity"))
     best = best if at_least is None else best.filter(F.col("similarity") >= at_least)
     other = best.join(reps.withColumnsRenamed({"same": "near", "ids": "others"}), "near").select("same", "similarity", F.explode(F.slice("others", 1, k)).alias("other"))
     equal = reps.filter(F.size("ids") > 1).select("same", F.lit(1.0).alias("similarity"), F.explode("ids").alias("other"))
