@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from repolith.llm.syntax.engine import ERROR, Grammar, letters
 
 _HARD = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while"
-_SOFT = "record sealed permits yield non"
+_SOFT = "record sealed permits yield non module open requires exports opens uses provides to with transitive"
 TOKENS = letters(_HARD + " " + _SOFT)
 _OPS = {
     "->": "A", "::": "M", "...": "E", "++": "P", "--": "P", "==": "b", "!=": "b", "<=": "b", "&&": "b", "||": "b", "<<": "b", "/": "b", "%": "b", "^": "b", "+": "p", "-": "p", "!": "u", "~": "u",
@@ -18,6 +20,10 @@ LEXER = (
 )
 
 
+#: A whole number that begins with 0 has octal digits only.
+_OCTAL = re.compile(r"0[\d_]*[89][\d_]*[lL]?")
+
+
 def _classify(t: str) -> str:
     c = t[0]
     if t in TOKENS:
@@ -31,7 +37,7 @@ def _classify(t: str) -> str:
     if c.isalpha() or c in "_$":
         return "i"
     if c.isdigit() or len(t) > 1 and c in "'.\"":
-        return "L"
+        return ERROR if _OCTAL.fullmatch(t) else "L"
     if t.startswith("//"):
         return ""
     if t.startswith("/*"):
@@ -79,6 +85,8 @@ _RULES = {
     r" | @AT? 'interface' @ID <tparams>? (?:'extends' <type> (?:,<type>)*)? (?:'permits' <type> (?:,<type>)*)? @CLASS"
     r" | 'enum' @ID (?:'implements' <type> (?:,<type>)*)? @ENUM | 'record' @ID <tparams>? @PARAMS (?:'implements' <type> (?:,<type>)*)? @CLASS )",
     "member": r"(?> ; | 'static'? @BLOCK | <typedecl> | <mods> (?: <tparams>? @ID @PARAMS <throws>? @BLOCK | @ID @BLOCK | <tparams>? <annot>* (?:<type>|'void') @ID @PARAMS (?:@EMPTYB)* <throws>? (?: @BLOCK | ; | 'default' <init> ; ) | <type> <vars> ; ) )",
+    # methods and fields outside of a class, which the compiler wraps in one
+    "loose": r"<mods> (?: <tparams>? <annot>* (?:<type>|'void') @ID @PARAMS (?:@EMPTYB)* <throws>? @BLOCK | <type> <vars> ; )",
     "const": r"<annot>* @ID @ARGS? @CLASS?",
 }
 _ROLES = {
@@ -98,8 +106,9 @@ _ROLES = {
         ("CLASS", r"(?:<member>)*+"),
         ("ARRAY", r"(?: (?:<init>|<annot>) (?:, (?:<init>|<annot>))* )? ,?"),
         ("ENUM", r"(?: <const> (?:, <const>)* )? ,? (?: ; (?:<member>)*+ )?"),
+        ("MODULE", r"(?: (?: 'requires' (?:'transitive'|'static')* <qname> | (?:'exports'|'opens') <qname> (?:'to' <qname> (?:,<qname>)*)? | 'uses' <qname> | 'provides' <qname> 'with' <qname> (?:,<qname>)* ) ; )*"),
         ("SWITCH", r"(?: (?: <case> : (?:<stmt>)*+ )* | (?: <case> A (?: @BLOCK | 'throw' <expr> ; | <expr> ; ) )* )"),
     ],
 }
 _SETS["RPATTERN"] = ""
-JAVA = Grammar(LEXER, TOKENS, _SETS | {"RPATTERN": "".join(chr(0xE000 + m) for m in range(256) if m >> 7 & 1)}, _ROLES, _RULES, r"(?: <annot>* 'package' <qname> ; )? (?: ; | 'import' 'static'? <qname> (?:\.\*)? ; )* (?: ; | <typedecl> )*+", _classify, parts={"BLOCK": ("<stmt>", ""), "CLASS": ("<member>", "")}, glue="".join(TOKENS[w] for w in ("else", "catch", "finally", "while")))
+JAVA = Grammar(LEXER, TOKENS, _SETS | {"RPATTERN": "".join(chr(0xE000 + m) for m in range(256) if m >> 7 & 1)}, _ROLES, _RULES, r"(?: <annot>* 'package' <qname> ; )? (?: ; | 'import' (?:'static'|'module')? <qname> (?:\.\*)? ; )* (?: <annot>* 'open'? 'module' <qname> @MODULE | (?: ; | <typedecl> | <loose> )*+ )", _classify, parts={"BLOCK": ("<stmt>", ""), "CLASS": ("<member>", "")}, glue="".join(TOKENS[w] for w in ("else", "catch", "finally", "while")))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import warnings
+from collections import Counter
 
+from repolith.llm.syntax import golang, java, rust, script
 from repolith.llm.syntax.golang import GO
 from repolith.llm.syntax.java import JAVA
 from repolith.llm.syntax.rust import RUST
@@ -15,22 +18,34 @@ LANGUAGES = ["typescript", "javascript", "python", "go", "java", "rust"]
 EXTENSIONS = {"ts": "typescript", "js": "javascript", "py": "python", "go": "go", "java": "java", "rs": "rust"}
 _GRAMMARS = {"typescript": TYPESCRIPT, "javascript": JAVASCRIPT, "go": GO, "java": JAVA, "rust": RUST}
 
-#: Words and operators that speak for a language, each with its weight.
-_MARKS = {
-    "typescript": {"interface": 1, "readonly": 2, ": string": 3, ": number": 3, "=>": 1, "const ": 1, "export ": 1},
-    "javascript": {"function ": 1, "const ": 1, "=>": 1, "export ": 1, "let ": 1, "===": 1},
-    "python": {"def ": 3, "self": 1, "elif ": 3, "None": 1, "    return": 1, "):\n": 2},
-    "go": {"func ": 3, ":=": 3, "package ": 2, "nil": 1},
-    "java": {"public ": 2, "private ": 1, "void ": 1, "import java": 3, "String ": 1, "package ": 1},
-    "rust": {"fn ": 3, "let mut": 2, "impl ": 2, "pub ": 2, "::": 1, "&str": 2, "use ": 1},
-}
-_ALL = sorted({m for marks in _MARKS.values() for m in marks}, key=len, reverse=True)
+#: Comments and literals, which say nothing of the language, and the tokens that may.
+_TOKENS = re.compile(r"//[^\n]*|\#(?![\[!])[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|([^\W\d]\w*|:=|::|->|=>|===|!==)")
+_OPERATORS = {":=": ["go", "python"], "::": ["rust", "java"], "->": ["rust", "java", "python"], "=>": ["typescript", "javascript", "rust"], "===": ["typescript", "javascript"], "!==": ["typescript", "javascript"]}
+
+
+def _weights() -> dict[str, dict[str, float]]:
+    """Token to the languages that reserve it; one that few do says more."""
+    typed = {"interface", "implements", "declare", "abstract", "public", "private", "protected", "readonly", "namespace", "module", "satisfies", "is", "keyof", "infer", "asserts", "unique", "override", "type", "enum"}
+    words = {"typescript": set(script.TOKENS), "javascript": set(script.TOKENS) - typed, "python": {*keyword.kwlist}, "go": set(golang.TOKENS), "java": set(java.TOKENS), "rust": set(rust.TOKENS)}
+    out: dict[str, dict[str, float]] = {}
+    for t in {t for w in words.values() for t in w} | set(_OPERATORS):
+        own = _OPERATORS.get(t) or [k for k in LANGUAGES if t in words[k]]
+        out[t] = {k: 1 / len(own) for k in own}
+    return out
+
+
+_WEIGHTS = _weights()
 
 
 def ranking(text: str) -> list[str]:
-    """The languages, the likeliest first: marks found, weighted; ties in the order of LANGUAGES."""
-    n = {m: text.count(m) for m in _ALL}
-    score = {k: sum(w * n[m] for m, w in marks.items()) for k, marks in _MARKS.items()}
+    """The languages, the likeliest first, by their reserved words and operators outside of comments and literals.
+
+    A token that n languages reserve counts 1 / n for each; ties in the order of LANGUAGES.
+    """
+    score = dict.fromkeys(LANGUAGES, 0.0)
+    for t, n in Counter(_TOKENS.findall(text)).items():
+        for k, w in _WEIGHTS.get(t, {}).items():
+            score[k] += w * n
     return sorted(LANGUAGES, key=lambda k: -score[k])
 
 
@@ -47,17 +62,20 @@ def _python(text: str) -> bool:
 #: How a text that isn't empty can begin, comments aside; what begins otherwise fails at its first token.
 _LINES = r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
 _FLAT = r"(?:\s++|//[^\n]*+|/\*(?:[^/*]|\*(?!/)|/(?!\*))*+\*/)*+"
-_NAMES = r"[^\W\d]\w*(?:\.[^\W\d]\w*)*"
+_NAME = r"[^\W\d][\w$]*"
+_NAMES = rf"{_NAME}(?:{_LINES}\.{_LINES}(?:{_NAME}|\*))*"
+#: A type and a name, as a method or a field begins that no class encloses.
+_LOOSE = rf"(?!(?:const|import|package|return|throw|if|for|while|do|else|new|case|goto)\b){_NAMES}{_LINES}(?:<[^;{{}}()]*>)?(?:{_LINES}\[{_LINES}\])*{_LINES}{_NAME}{_LINES}[(=;,\[]"
 _BEGIN = {
-    "go": re.compile(_LINES + r"package[ \t]+[^\W\d]\w*[ \t]*(?:;|\n|//|/\*|\Z)"),
-    "java": re.compile(_LINES + rf"(?:\Z|;|@|(?:package|import(?:\s+static)?)\s+{_NAMES}(?:\.\*)?\s*;|(?:public|private|protected|static|final|abstract|strictfp|sealed|non|class|interface|enum|record)\s)"),
+    "go": re.compile(_LINES + rf"package(?=[\s/]){_LINES}{_NAME}[ \t]*(?:;|\n|//|/\*|\Z)"),
+    "java": re.compile(_LINES + rf"(?:\Z|;|@|<|(?:package|import(?:\s+(?:static|module))?){_LINES}{_NAMES}{_LINES};|(?:public|private|protected|static|final|abstract|strictfp|sealed|non|class|interface|enum|record|module|open|synchronized|native|transient|volatile|default)\b|{_LOOSE})"),
     # a comment with another one inside is left to the lexer, and so is all that may be an item
     "rust": re.compile(_FLAT + r"(?:\Z|/\*|;|\#|::|(?:use|extern|impl)\b|(?:pub|fn|struct|enum|union|trait|mod|const|static|type|unsafe|async|auto)\b(?!\s*[=.{:])|\w+(?:\s*::\s*\w+)*\s*!)"),
 }
 #: Two plain names in a row can't begin a script, unless the first is a word of the language.
-_TWO = re.compile(_LINES + r"(?!(?:as|async|await|case|class|const|declare|default|delete|do|else|enum|export|extends|function|get|if|import|in|instanceof|interface|abstract|let|module|namespace|new|of|return|set|static|throw|type|typeof|var|void|while|with|yield)\b)[A-Za-z_$][\w$]*[ \t]+(?!(?:as|in|instanceof|of|satisfies)\b)[A-Za-z_$]")
+_TWO = re.compile(_LINES + r"(?!(?:as|async|await|case|class|const|declare|default|delete|do|else|enum|export|extends|function|get|if|import|in|instanceof|interface|abstract|let|module|namespace|new|of|return|set|static|throw|type|typeof|using|var|void|while|with|yield)\b)[A-Za-z_$][\w$]*[ \t]+(?!(?:as|in|instanceof|of|satisfies)\b)[A-Za-z_$]")
 
-_NOT_PYTHON = re.compile(r"(?:\s++|#[^\n]*+)*+(?:/|import\s*[{*\"']|(?:package|use|pub|fn|func|mod|export|const|let|var|function|interface|public|private|protected|struct|enum|impl)[ \t]+\w)")
+_NOT_PYTHON = re.compile(r"(?:\s++|#[^\n]*+)*+(?:/|import\s*[{*\"']|(?:package|use|pub|fn|func|mod|export|const|let|var|function|interface|public|private|protected|struct|enum|impl)[ \t]+(?!(?:if|in|is|and|or|not)\b)\w)")
 _ONLY_COMMENTS = re.compile(_LINES)
 _BOM, _SHEBANG = "﻿", re.compile(r"\A#!(?!\[).*")
 

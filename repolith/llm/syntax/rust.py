@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from repolith.llm.syntax.engine import ERROR, Grammar, letters
 
 _HARD = "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while"
@@ -18,6 +20,9 @@ LEXER = (
 ).replace("(?P<h>#+)", "(#+)").replace("(?P=h)", r"\2")
 
 
+_NUMBER = re.compile(r"(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|\d[\d_]*(?:\.\d[\d_]*)*(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f(?:16|32|64|128))?")
+
+
 def _classify(t: str) -> str:
     c = t[0]
     if t in TOKENS:
@@ -32,7 +37,9 @@ def _classify(t: str) -> str:
         return _OPS[t]
     if c == "'" and len(t) > 1:
         return "L" if t[-1] == "'" and len(t) > 2 else "l"
-    if c in "bcr" and t[-1] in "\"'#" and len(t) > 2 or c == '"' and len(t) > 1 or c.isdigit():
+    if c.isdigit():
+        return "L" if _NUMBER.fullmatch(t) else ERROR
+    if c in "bcr" and t[-1] in "\"'#" and len(t) > 2 or c == '"' and len(t) > 1:
         return "L"
     if c.isalpha() or c == "_":
         return "i"

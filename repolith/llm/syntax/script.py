@@ -7,7 +7,7 @@ import re
 from repolith.llm.syntax.engine import ERROR, Grammar, letters
 
 _STRICT = "if else for while do switch case default break continue return throw try catch finally function class extends new delete typeof void in instanceof var const import export with debugger yield await enum this super"
-_SOFT = "let static async of get set from as type interface implements declare abstract public private protected readonly namespace module satisfies is keyof infer asserts unique override accessor"
+_SOFT = "let static async of get set from as type interface implements declare abstract public private protected readonly namespace module satisfies is keyof infer asserts unique override accessor using"
 TOKENS = letters(_STRICT + " " + _SOFT)
 _SOFTS = "".join(TOKENS[w] for w in _SOFT.split())
 _WORDS = "".join(TOKENS.values())
@@ -90,7 +90,7 @@ def _grammar(typed: bool) -> Grammar:
         "cls": r"'class' @ID? <tparams>? (?:'extends' <postfix> <targs>?)? " + t(r"(?:'implements' <type> (?:,<type>)*)?") + r" @CLASS",
         "prim": r"(?: <arrow> | <func> | <cls> | @ID | [Lt] | 'this' | 'super' | @PEXPR | @AEXPR | @OBJ | 'import' (?:@ARGS | \.@NAME))",
         "postfix": r"<prim> (?: \.@NAME | o (?:@NAME|@ARGS|@INDEX) | @INDEX | " + t(r"<targs>?") + r" @ARGS | t " + t(r"| v") + r")* P?",
-        "unary": r"(?:[puvP] | 'await' | 'typeof' | 'void' | 'delete' | 'new')* <postfix>",
+        "unary": r"(?:[puvP] | 'await' | 'typeof' | 'void' | 'delete' | 'new'" + t(r"| (?!<arrow>) \< (?:'const' | <type>) >") + r")* <postfix>",
         "binary": r"<unary> (?: (?:b|p|\*|\||&|\<|>{1,3}=?|'in'|'instanceof') <unary> " + t(r"| 'as' (?:'const'|<type>) | 'satisfies' <type>") + r")*",
         "assign": r"(?: 'yield' \*? <assign>? | <binary> (?:\? <assign> : <assign>)? (?:[=a] <assign>)?)",
         "exprs": r"<assign> (?:,<assign>)*",
@@ -100,7 +100,7 @@ def _grammar(typed: bool) -> Grammar:
         "param": r"<deco>* (?:" + t(r"'public'|'private'|'protected'|'readonly'|'override'|") + r"(?!))* E? (?:<target>" + t(r"|'this'") + r") " + t(r"\?? <ann>?") + r" (?:=<assign>)?",
         "body": r"\n? <stmt>",
         "stmt": r"(?>"
-        r" @BLOCK | [;\n] | (?:'let'|'var') <decl> (?:,<decl>)* <end> | 'const' <must> (?:,<must>)* <end>"
+        r" @BLOCK | [;\n] | (?:'let'|'var') <decl> (?:,<decl>)* <end> | 'const' <must> (?:,<must>)* <end> | 'await'? 'using' (?!'of') @ID <ann>? =<assign> (?:, @ID <ann>? =<assign>)* <end>"
         r" | 'async'? 'function' \*? @ID <tparams>? @PARAMS <ann>? (?:@BLOCK" + t(r"|<end>") + r")"
         r" | <deco>* " + t(r"'abstract'?") + r" 'class' (?=@ID) @ID <tparams>? (?:'extends' <postfix> <targs>?)? " + t(r"(?:'implements' <type> (?:,<type>)*)?") + r" @CLASS"
         r" | 'if' @PEXPR <body> (?:\n? 'else' <body>)? | 'for' 'await'? @FOR <body> | 'while' @PEXPR <body> | 'do' <body> \n? 'while' @PEXPR ;?"
@@ -122,7 +122,7 @@ def _grammar(typed: bool) -> Grammar:
             ("PEXPR", r"<exprs>"),
             ("ARGS", r"(?: E?<assign> (?:, E?<assign>)* ,?)?"),
             ("PARAMS", r"(?: <param> (?:, <param>)* ,?)?"),
-            ("FOR", r"(?: (?:(?:'const'|'let'|'var') <decl> (?:,<decl>)* | <exprs>)? ; <exprs>? ; <exprs>? | (?:(?:'const'|'let'|'var') <target> | <postfix>) (?:'of' <assign> | 'in' <exprs>) )"),
+            ("FOR", r"(?: (?:(?:'const'|'let'|'var') <decl> (?:,<decl>)* | <exprs>)? ; <exprs>? ; <exprs>? | (?:(?:'const'|'let'|'var'|'await'?'using') <target> | <postfix>) (?:'of' <assign> | 'in' <exprs>) )"),
             ("TPAREN", r"<type>"),
         ],
         "[": [
