@@ -6,6 +6,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,29 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
     return out
 
 
+def _drawn(blocks: DataFrame, per_shard: DataFrame, quota: dict[str, tuple[int, int]], block_tokens: int, seed: int) -> DataFrame:
+    """(source, shard, block, tokens, repeats) of the blocks that ``quota`` (source: seats, most repeats) draws."""
+    given = blocks.sparkSession.createDataFrame([(s, q, m) for s, (q, m) in quota.items()], "source string, quota long, cap long")
+
+    def to_shards(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("shard")
+        cap = [int(t) * int(m) // block_tokens + 1 for t, m in zip(p["total"], p["cap"])]
+        q = sainte_lague([float(x) for x in p["total"]], cap, int(p["quota"].iloc[0]))
+        most = (p["total"] * p["cap"]).to_numpy()
+        return pd.DataFrame({"source": p["source"], "shard": p["shard"], "total": p["total"], "long": p["long"], "cap": p["cap"], "goal": np.minimum(np.array(q, "i8") * block_tokens, most)})
+
+    goals = per_shard.join(given, "source").select("source", "shard", "total", "long", "quota", "cap").groupBy("source").applyInPandas(to_shards, "source string, shard int, total long, long long, cap long, goal long")
+    d = blocks.join(goals, ["source", "shard"]).filter("goal > 0").withColumns({"is_long": F.col("tokens") >= 2 * block_tokens, "whole": F.floor(F.col("goal") / F.col("total")), "left": F.col("goal") % F.col("total")})
+    order = Window.partitionBy("source", "shard", "is_long").orderBy(F.xxhash64("block", "shard", F.lit(seed + 2)), "block").rowsBetween(Window.unboundedPreceding, 0)
+    # a block is taken if its middle lies before the goal
+    d = d.withColumn("middle", F.sum("tokens").over(order) - F.col("tokens") / 2)
+    d = d.withColumn("long_taken", F.col("is_long") & (F.col("middle") <= F.col("left") * (F.col("long") / F.col("total"))))
+    rest = F.col("left") - F.sum(F.when(F.col("long_taken"), F.col("tokens")).otherwise(0)).over(Window.partitionBy("source", "shard"))
+    more = F.when(F.col("is_long"), F.col("long_taken")).otherwise(F.col("middle") <= F.col("rest"))
+    d = d.withColumn("rest", rest).withColumn("repeats", F.least(F.col("cap"), F.col("whole") + more.cast("long")))
+    return d.filter("repeats > 0").select("source", "shard", "block", "tokens", "repeats")
+
+
 def mix(counts: DataFrame, targets: DataFrame, block_tokens: int = 2048, shard_tokens: int = 4_000_000, total_tokens: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Draw documents so that sources reach their target shares.
 
@@ -81,8 +105,12 @@ def mix(counts: DataFrame, targets: DataFrame, block_tokens: int = 2048, shard_t
     sources hold. Sources without target or with a weight or cap that is null or not
     positive draw nothing; documents without source or tokens aren't drawn.
 
-    Documents are spread over shards, ordered by a seeded hash and cut into blocks of about
-    equal tokens. Blocks go to sources, then to each source's shards, by highest quotients.
+    Documents are spread over shards and ordered by a seeded hash; a seat is worth
+    ``block_tokens``, and a document of many blocks counts as so many. Seats go to sources,
+    then to each source's shards, by highest quotients; a shard gives the blocks that come
+    nearest to its seats, long documents first in their share, so that short ones even out
+    what these leave. The source with the longest block is drawn first, and the total follows what
+    whole documents of it can reach, so that shares hold for heavy tails too.
     """
     docs = cut(counts.filter("source is not null and doc is not null and tokens > 0"))
     goal = targets.filter("source is not null").groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
@@ -91,38 +119,34 @@ def mix(counts: DataFrame, targets: DataFrame, block_tokens: int = 2048, shard_t
     w = Window.partitionBy("source", "shard").orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, -1)
     d = cut(d.withColumn("block", F.floor(F.coalesce(F.sum("tokens").over(w), F.lit(0)) / block_tokens)))
     blocks = cut(d.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("tokens")))
-    per_shard = blocks.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("blocks"), F.sum("tokens").alias("tokens"))
+    per_shard = cut(blocks.groupBy("source", "shard").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("longest"), F.sum(F.when(F.col("tokens") >= 2 * block_tokens, F.col("tokens")).otherwise(0)).alias("long")))
     # one row a source: as many as there are targets, however large the corpus
-    rows = sorted(goal.join(per_shard.groupBy("source").agg(F.sum("blocks").alias("blocks"), F.sum("tokens").alias("tokens")), "source").collect(), key=lambda r: r["source"])
-    weights = [float(r["target_weight"] or 0) for r in rows]
-    caps = [int(r["blocks"]) * max(0, int(r["max_repeats"] or 0)) for r in rows]
-    held = sum(r["tokens"] for r, x in zip(rows, weights) if x > 0)
-    # blocks of a source differ in mean size; weights are per token, so they are turned into blocks
-    mean = [r["tokens"] / r["blocks"] for r in rows]
-    total = held if total_tokens is None else total_tokens
-    share = [x / m for x, m in zip(weights, mean)]
-    whole = sum(s * m for s, m in zip(share, mean)) or 1.0
-    quota = sainte_lague(share, caps, int(total * sum(share) / whole))
-    spark = docs.sparkSession
-    given = spark.createDataFrame([(r["source"], q, int(r["max_repeats"] or 0)) for r, q in zip(rows, quota)], "source string, quota long, cap long")
-
-    def to_shards(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("shard")
-        q = sainte_lague([float(x) for x in p["blocks"]], [int(b) * int(c) for b, c in zip(p["blocks"], p["cap"])], int(p["quota"].iloc[0]))
-        return pd.DataFrame({"source": p["source"], "shard": p["shard"], "blocks": p["blocks"], "uses": q})
-
-    shared = per_shard.join(given, "source").select("source", "shard", "blocks", "quota", "cap").groupBy("source").applyInPandas(to_shards, "source string, shard int, blocks long, uses long")
-    rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("block", "shard", F.lit(seed + 2)), "block"))
-    drawn = blocks.drop("tokens").withColumn("rank", rank).join(shared, ["source", "shard"])
-    drawn = drawn.withColumn("repeats", F.floor(F.col("uses") / F.col("blocks")) + (F.col("rank") <= F.col("uses") % F.col("blocks")).cast("long")).filter("repeats > 0")
+    rows = sorted(goal.join(per_shard.groupBy("source").agg(F.sum("total").alias("tokens"), F.max("longest").alias("longest")), "source").collect(), key=lambda r: r["source"])
+    weights = [max(0.0, float(r["target_weight"] or 0)) for r in rows]
+    repeats = [max(0, int(r["max_repeats"] or 0)) for r in rows]
+    caps = [int(r["tokens"]) * m // block_tokens if int(r["tokens"]) * m >= block_tokens else min(1, m) for r, m in zip(rows, repeats)]
+    total = sum(int(r["tokens"]) for r, x in zip(rows, weights) if x > 0) if total_tokens is None else total_tokens
+    quota = sainte_lague(weights, caps, total // block_tokens)
+    coarse = max((i for i in range(len(rows)) if 0 < quota[i] < caps[i]), key=lambda i: rows[i]["longest"], default=None)
+    if coarse is not None and rows[coarse]["longest"] > block_tokens:
+        source = rows[coarse]["source"]
+        first = _drawn(blocks.filter(F.col("source") == source), per_shard, {source: (quota[coarse], repeats[coarse])}, block_tokens, seed)
+        reached = first.agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] or 0
+        scale = reached / (quota[coarse] * block_tokens)
+        rest = [0.0 if i == coarse else w for i, w in enumerate(weights)]
+        others = sum(q for i, q in enumerate(quota) if i != coarse)
+        again = sainte_lague(rest, caps, round(others * scale))
+        quota = [q if i == coarse else again[i] for i, q in enumerate(quota)]
+    drawn = _drawn(blocks, per_shard, {r["source"]: (q, m) for r, q, m in zip(rows, quota, repeats)}, block_tokens, seed)
     out = d.join(drawn.select("source", "shard", "block", "repeats"), ["source", "shard", "block"]).select("doc", "source", "tokens", "repeats")
-    got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("docs"))
+    got = cut(out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("docs")))
     have = docs.groupBy("source").agg(F.sum("tokens").alias("held_tokens"))
-    every = Window.partitionBy(F.lit(0))  # one row a source
+    all_drawn = got.agg(F.sum("drawn_tokens")).first()[0] or 0
+    all_weight = goal.agg(F.sum(F.when(F.col("target_weight") > 0, F.col("target_weight")))).first()[0] or 0.0
     report = goal.join(have, "source", "full").join(got, "source", "left").fillna(0, ["held_tokens", "drawn_tokens", "most_repeats", "docs"])
     positive = F.when(F.col("target_weight") > 0, F.col("target_weight")).otherwise(0.0)
     report = report.select(
         "source", "target_weight", "max_repeats", "held_tokens", "drawn_tokens", "docs", "most_repeats",
-        F.try_divide(positive, F.sum(positive).over(every)).alias("target_share"), F.coalesce(F.try_divide("drawn_tokens", F.sum("drawn_tokens").over(every)), F.lit(0.0)).alias("reached_share"),
+        F.try_divide(positive, F.lit(float(all_weight))).alias("target_share"), F.coalesce(F.try_divide("drawn_tokens", F.lit(int(all_drawn))), F.lit(0.0)).alias("reached_share"),
     )
     return out, report
