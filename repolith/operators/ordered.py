@@ -27,12 +27,13 @@ def neighbours(
     after_min: Sequence[str] = (),
     up_to_max: Sequence[str] = (),
     number: str | None = None,
+    up_to_sum: Sequence[str] = (),
 ) -> DataFrame:
     """Add values of neighbouring rows in ``order`` within ``keys``.
 
     ``prev_c``/``next_c``: the value of the row before/after (null at the ends).
     ``max_before_c``: maximum over all earlier rows; ``min_after_c``: minimum over all
-    later rows; ``max_upto_c``: maximum over earlier rows and this one. ``number``: name
+    later rows; ``max_upto_c``, ``sum_upto_c``: over earlier rows and this one. ``number``: name
     of a row number from 0. ``bucket`` must not decrease along ``order``. Rows whose keys
     are null are dropped. ``order`` should be total; ties come in any order.
     """
@@ -66,6 +67,10 @@ def neighbours(
         aggs.append(F.min(c).alias(f"_mn_{c}"))
         over.append(F.min(f"_mn_{c}").over(wb_ahead).alias(f"_mn_{c}"))
         local.append(F.min(c).over(ahead).alias(f"_am_{c}"))
+    for c in up_to_sum:
+        aggs.append(F.sum(c).alias(f"_sm_{c}"))
+        over.append(F.coalesce(F.sum(f"_sm_{c}").over(wb_back), F.lit(0)).alias(f"_sm_{c}"))
+        local.append(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_us_{c}"))
     if number:
         over.append(F.coalesce(F.sum("_n").over(wb_back), F.lit(0)).alias("_off"))
         local.append((F.row_number().over(w) - 1).alias("_rn"))
@@ -80,6 +85,7 @@ def neighbours(
     cols += [larger(F.col(f"_bm_{c}"), F.col(f"_mx_{c}")).alias(f"max_before_{c}") for c in before_max]
     cols += [larger(F.col(f"_um_{c}"), F.col(f"_mx_{c}")).alias(f"max_upto_{c}") for c in up_to_max]
     cols += [smaller(F.col(f"_am_{c}"), F.col(f"_mn_{c}")).alias(f"min_after_{c}") for c in after_min]
+    cols += [(F.col(f"_us_{c}") + F.col(f"_sm_{c}")).alias(f"sum_upto_{c}") for c in up_to_sum]
     if number:
         cols.append((F.col("_off") + F.col("_rn")).alias(number))
     return out.select(*cols)
