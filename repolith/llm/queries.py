@@ -75,18 +75,29 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at the thresholds: exact counts of those that can reach them, each held against the null."""
     rows = _commits(spark, d)
-    pairs = cooccurrence.pair_counts(cut(cooccurrence.incidence(rows, "repo", "sha", "path")))
-    return cooccurrence.names(rows, pairs, "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"))
+    inc = cut(cooccurrence.incidence(rows, "repo", "sha", "path"))
+    pairs, cases = cooccurrence.against_null(inc, cut(cooccurrence.pair_counts(inc)))
+    out = pairs.join(cases, ["g", "ki", "kj", "c"]).filter("p_value is not null").drop("ki", "kj", "pairs")
+    return cooccurrence.names(rows, out, "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"))
 
 
 def p7_surprise(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs that change together with count, ratio, lift, and the p and q value under the configuration null."""
+    """All pairs that change together with count, ratio, lift, the count expected, and the p and q value under the configuration null."""
     rows = _commits(spark, d)
     inc = cut(cooccurrence.incidence(rows, "repo", "sha", "path"))
     out = cooccurrence.surprise(inc, cut(cooccurrence.all_pairs(inc)))
     ratio, lift = F.col("c") / F.col("n_i"), F.col("c") * F.col("total") / (F.col("n_i") * F.col("n_j"))
-    return cooccurrence.names(rows, out.withColumns({"ratio": ratio, "lift": lift}), "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift", "p_value", "q_value")
+    return cooccurrence.names(rows, out.withColumns({"ratio": ratio, "lift": lift}), "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift", "expected", "p_value", "q_value")
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that change together with their exact count, its ratio to the rarer file and the lift."""
+    rows = _commits(spark, d)
+    out = cooccurrence.all_pairs(cut(cooccurrence.incidence(rows, "repo", "sha", "path")))
+    ratio, lift = F.col("c") / F.col("n_i"), F.col("c") * F.col("total") / (F.col("n_i") * F.col("n_j"))
+    return cooccurrence.names(rows, out.withColumns({"ratio": F.round(ratio, 9), "lift": F.round(lift, 6)}), "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -160,11 +171,12 @@ s as (select doc_id, least(400, coalesce(lead(k) over (partition by doc_id order
 t as (select doc_id, sum(g) g from s group by 1)
 select doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(g, 0)::bigint shared_chars from documents left join t using (doc_id)
 """
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p7_counts": p7_counts, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = {
     "p2_found": P2_SQL + "select anchor_id, matched_id from f",
     "p2_distance": P2_SQL + "select k pair_kind, count(*) pairs, sum(d)::bigint distance_us, max(d) farthest_us from f group by 1",
     "p7_found": P7_SQL,
+    "p7_counts": P7_SQL.partition("select p.repo, pa path_a")[0] + "select p.repo, pa path_a, pb path_b, c, round(c/least(x.n,y.n),9) ratio, round(c*t/(x.n*y.n),6) lift from p join n x on x.repo=p.repo and x.path=pa join n y on y.repo=p.repo and y.path=pb join t on t.repo=p.repo",
     "p8_found": P8_SQL + "select * from f",
     "p10_found": P10_SQL + "select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from w a join w b on a.h = b.h and a.doc_id < b.doc_id",
     "p10_shared": P10_SQL + P10_SHARED,
