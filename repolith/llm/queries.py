@@ -132,6 +132,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(_texts(spark, d)).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
+def p10_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts that share a span, each text by the smallest document that has it."""
+    return spans.sharing_classes(_texts(spark, d))[0].select(F.col("ra").alias("class_a"), F.col("rb").alias("class_b"))
+
+
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per document its class of equal texts and the number of documents it shares a span with."""
+    return spans.link_counts(_texts(spark, d)).select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "links")
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     """Per document how many of its characters lie in spans that another one has too."""
     return spans.shared_characters(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
@@ -154,7 +164,7 @@ select p.repo, pa path_a, pb path_b from p join n x on x.repo=p.repo and x.path=
 where c>=4 and c>=0.5*least(x.n,y.n) and c*t>=2*x.n*y.n
 """
 P8_SQL = """
-with w(k) as (select unnest(range(0, 4000))),
+with w(k) as (select unnest(range(0, (select max(length(text)) from (select text from documents union all select text from eval_items)))) ),
 i as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text,'')), '[^\\p{L}\\p{N}]+'), lambda x: x<>'') w from eval_items),
 iw as (select distinct item_id, array_to_string(w[k+1:k+12],' ') s from i join w on k+12<=len(w)),
 d as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text,'')), '[^\\p{L}\\p{N}]+'), lambda x: x<>''),' ') || ' ' w from documents),
@@ -165,13 +175,17 @@ f as (select distinct doc_id, item_id from dg join iw using (s))
 P10_SQL = """
 with w as (select doc_id, k, md5(substr(text, k+1, 400)) h from (select doc_id, text, unnest(range(0, length(text)-399)) k from documents where length(text) >= 400))
 """
+P10_CLASSES = """
+, s as (select doc_id, min(doc_id) over (partition by text) class_id from documents where length(text) >= 400),
+p as (select distinct a.doc_id x, b.doc_id y from w a join w b on a.h = b.h and a.doc_id <> b.doc_id)
+"""
 P10_SHARED = """
 , m as (select h from w group by h having count(distinct doc_id) > 1),
 s as (select doc_id, least(400, coalesce(lead(k) over (partition by doc_id order by k) - k, 400)) g from w where h in (select h from m)),
 t as (select doc_id, sum(g) g from s group by 1)
 select doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(g, 0)::bigint shared_chars from documents left join t using (doc_id)
 """
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p7_counts": p7_counts, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_verdicts": p1_verdicts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_distance": p2_distance, "p7_found": p7_found, "p7_surprise": p7_surprise, "p7_counts": p7_counts, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared, "p10_class_pairs": p10_class_pairs, "p10_links": p10_links}
 SQL = {
     "p2_found": P2_SQL + "select anchor_id, matched_id from f",
     "p2_distance": P2_SQL + "select k pair_kind, count(*) pairs, sum(d)::bigint distance_us, max(d) farthest_us from f group by 1",
@@ -180,5 +194,7 @@ SQL = {
     "p8_found": P8_SQL + "select * from f",
     "p10_found": P10_SQL + "select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from w a join w b on a.h = b.h and a.doc_id < b.doc_id",
     "p10_shared": P10_SQL + P10_SHARED,
+    "p10_class_pairs": P10_SQL + P10_CLASSES + "select distinct a.class_id class_a, b.class_id class_b from p join s a on a.doc_id = x join s b on b.doc_id = y where a.class_id < b.class_id",
+    "p10_links": P10_SQL + P10_CLASSES + "select s.doc_id, s.class_id, count(y) links from s left join p on p.x = s.doc_id group by 1, 2",
     "p8_items": P8_SQL + "select item_id, count(*) docs from f group by 1",
 }

@@ -4,9 +4,11 @@
    characters is an anchor, so two documents with a common span share an anchor at the
    same place of it. Around each anchor, passages of ``span - STEP`` characters on a grid
    are hashed; a common span contains the same passage in both documents.
-2. Passages that recur are confirmed; per block of documents they are compiled into
-   Aho-Corasick automata, and the block's documents are streamed through to locate every
-   occurrence. A document without a recurring passage can hold no common span.
+2. Passages that recur are confirmed, as hashes without places. Documents go on with the
+   hashes they hold, in blocks; each recurring passage of a block is cut from one holder,
+   passages are compiled into sharded Aho-Corasick automata, and all the block's documents
+   are streamed through these, which alone say where passages occur. A document without a recurring
+   passage can hold no common span.
 3. Each occurrence is cut finer (``span - FINE`` characters) and keeps FINE characters of
    context on either side, which decide exactly whether ``span`` characters agree.
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from repolith.session import cut
 
 GRAM, STEP, FINE = 32, 64, 8
-#: Characters hashed at once, and passages of one automaton.
-CHUNK, SHARD = 1 << 21, 1500
+#: Characters hashed at once; leading characters of a passage in an automaton, and passages of one.
+CHUNK, LEAD, SHARD = 1 << 21, 64, 8000
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -103,38 +105,61 @@ def passages(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return text, (x ^ (x >> np.uint64(32))).view("i8"), (a - first[text]).astype("i4")
 
 
+def _hashed(texts: list[str], span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, which of those after it, hash, start) of at most about CHUNK characters at a time."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= CHUNK or i == len(texts) - 1:
+            yield at, *passages(texts[at : i + 1], span)
+            at, held = i + 1, 0
+
+
 def _fingerprints(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            docs, texts, at, held = d["doc"].to_numpy(), d["text"].tolist(), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= CHUNK or i == len(texts) - 1:
-                    which, key, start = passages(texts[at : i + 1], span)
-                    yield pd.DataFrame({"doc": docs[at + which], "key": key, "start": start})
-                    at, held = i + 1, 0
+            docs = d["doc"].to_numpy()
+            for at, which, key, _ in _hashed(d["text"].tolist(), span):
+                yield pd.DataFrame({"doc": docs[at + which], "key": key}).drop_duplicates()
 
     return run
 
 
+def locate(texts: list[str], phrases: list[str]) -> list[set[int]]:
+    """Per text where any of the phrases occurs: automata of SHARD phrases' leads, each hit compared in full."""
+    found: list[set[int]] = [set() for _ in texts]
+    for i in range(0, len(phrases), SHARD):
+        leads: dict[str, list[str]] = {}
+        for p in phrases[i : i + SHARD]:
+            leads.setdefault(p[:LEAD], []).append(p)
+        automaton = ahocorasick.Automaton()
+        for lead, same in leads.items():
+            automaton.add_word(lead, (len(lead), same))
+        automaton.make_automaton()
+        for k, t in enumerate(texts):
+            for end, (size, same) in automaton.iter(t):
+                if any(t.startswith(p, end + 1 - size) for p in same):
+                    found[k].add(end + 1 - size)
+    return found
+
+
 def _located(span: int):
     size = span - STEP
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             docs, texts = d["doc"].tolist(), d["text"].tolist()
-            phrases = list(dict.fromkeys(t[s : s + size] for t, starts in zip(texts, d["starts"]) for s in starts))
-            found: list[set[int]] = [set() for _ in docs]
-            for i in range(0, len(phrases), SHARD):
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-                for p in phrases[i : i + SHARD]:
-                    automaton.add_word(p)
-                automaton.make_automaton()
-                for k, t in enumerate(texts):
-                    found[k].update(end - size + 1 for end, _ in automaton.iter(t))
+            wanted = np.unique(np.concatenate([np.asarray(k, "i8") for k in d["keys"]])) if len(d) else np.empty(0, "i8")
+            phrases, had = [], set()
+            for at, which, key, start in _hashed(texts, span):
+                key, first = np.unique(key, return_index=True)
+                for k, j in zip(key[np.isin(key, wanted)], first[np.isin(key, wanted)]):
+                    if k not in had:  # the block's first holder says what the passage is
+                        had.add(k)
+                        phrases.append(texts[at + which[j]][start[j] : start[j] + size])
             fine = span - FINE
             rows = []
-            for doc, t, places in zip(docs, texts, found):
+            for doc, t, places in zip(docs, texts, locate(texts, phrases)):
                 for s in sorted({s - FINE * q for s in places for q in range(STEP // FINE + 1)}):
                     if 0 <= s and s + fine <= len(t):
                         rows.append((doc, xxhash.xxh3_128_digest(t[s : s + fine].encode()), s, t[max(0, s - FINE) : s], t[s + fine : s + span]))
@@ -153,10 +178,10 @@ def occurrences(docs: DataFrame, span: int = 400) -> tuple[DataFrame, DataFrame]
     """Recurring fine passages (doc, key, start, before, after) of representatives, and ``copies``."""
     d = docs.filter("doc is not null and text is not null").filter(F.length("text") >= span)
     same = cut(copies(d, span))
-    keys = d.mapInPandas(_fingerprints(span), "doc long, key long, start int").join(same.filter("doc <> rep").select("doc"), "doc", "left_anti")
+    keys = cut(d.mapInPandas(_fingerprints(span), "doc long, key long").join(same.filter("doc <> rep").select("doc"), "doc", "left_anti"))
     twice = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("key")
-    starts = cut(keys.join(twice, "key", "left_semi").groupBy("doc").agg(F.collect_set("start").alias("starts")))
-    found = d.join(starts, "doc").mapInPandas(_located(span), "doc long, key binary, start int, before string, after string")
+    held = keys.join(twice, "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    found = d.join(held, "doc").mapInPandas(_located(span), "doc long, key binary, start int, before string, after string")
     return cut(found), same
 
 
@@ -174,20 +199,38 @@ def _agrees(x: str, y: str) -> Column:
     return out
 
 
-def sharing_pairs(docs: DataFrame, span: int = 400) -> DataFrame:
-    """Pairs (doc_a < doc_b) of documents with at least ``span`` equal characters in a row.
+def sharing_classes(docs: DataFrame, span: int = 400) -> tuple[DataFrame, DataFrame]:
+    """Pairs (ra < rb) of different texts with ``span`` equal characters in a row, each text by the
+    smallest id that has it, and the membership (doc, rep) of documents of at least ``span`` characters.
 
     ``docs``: doc (long, unique), text. Null ids, null and shorter texts share nothing.
     """
     found, same = occurrences(docs, span)
     x, y = found.alias("x"), found.alias("y")
     reps = x.join(y, F.expr("x.key = y.key and x.doc < y.doc")).filter(_agrees("x", "y")).select(F.col("x.doc").alias("ra"), F.col("y.doc").alias("rb")).distinct()
+    return reps, same
+
+
+def sharing_pairs(docs: DataFrame, span: int = 400) -> DataFrame:
+    """``sharing_classes`` with copies expanded: all pairs (doc_a < doc_b)."""
+    reps, same = sharing_classes(docs, span)
     twins = same.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rep").alias("ra"), F.col("rep").alias("rb"))
     a, b = same.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), same.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
     out = reps.unionByName(twins).join(a, "ra").join(b, "rb").filter("ra <> rb or a < b")
     return out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
 
 
+def link_counts(docs: DataFrame, span: int = 400) -> DataFrame:
+    """Per document of at least ``span`` characters (doc, rep, links): its class of equal texts, and with how many other documents it shares a span."""
+    reps, same = sharing_classes(docs, span)
+    size = same.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    reps = cut(reps)
+    both = reps.select(F.col("ra").alias("rep"), F.col("rb").alias("other")).unionByName(reps.select(F.col("rb").alias("rep"), F.col("ra").alias("other")))
+    linked = both.join(size.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
+    per = size.join(linked, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    return same.join(per, "rep").select("doc", "rep", "links")
+
+
 def shared_characters(docs: DataFrame, span: int = 400) -> DataFrame:
     """Per document (doc, n_chars, shared_chars): characters that lie in spans shared with another one."""
     found, same = occurrences(docs, span)
