@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and description pairs, trivial ones dropped."""
-    return sourcefiles.documented(table(spark, d, "files")).filter("meaningful").drop("meaningful")
+    return sourcefiles.documented(table(spark, d, "files"), code=True).filter("meaningful").drop("meaningful")
 
 
 def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:

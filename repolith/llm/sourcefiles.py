@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from repolith.session import cut
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +118,7 @@ def _coalesced(*cols: Column) -> Column:
     return out
 
 
-def documented(files: DataFrame) -> DataFrame:
+def documented(files: DataFrame, code: bool = False) -> DataFrame:
     """Functions and methods of valid files with their documentation comment.
 
     ``files``: file_id, path, file_text. Gives file_id, language, symbol_name, kind
@@ -128,9 +131,16 @@ def documented(files: DataFrame) -> DataFrame:
     Documentation opens an island that ends at the next brace outside parentheses; its
     tokens make up the declaration's head. A docstring is the string right after a
     ``def`` head, found with lag.
+
+    With ``code`` come end_line and code, the declaration with its body. Braces of one depth
+    alternate, so a block ends at the next brace of its depth; blocks that follow one
+    another on a line (a type, then the body) are one island. An expression or a declaration without body ends at
+    its semicolon or line. In Python a body ends before the next line that isn't deeper
+    than its ``def``; lines within strings and brackets don't count.
     """
     valid = files.select("file_id", "path", "file_text").mapInPandas(_valid_texts, "file_id long, language string, file_text string")
     t = valid.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_text", F.regexp_replace("file_text", "\r\n?", "\n")).repartition("uid")
+    t = cut(t) if code else t
     w = Window.partitionBy("uid").orderBy("pos")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     c, py = F.col("tok"), F.col("language") == "python"
@@ -157,6 +167,8 @@ def documented(files: DataFrame) -> DataFrame:
     })
     tok = tok.withColumn("doc", F.last(F.when(F.col("is_doc"), F.struct("pos", "parens")), ignorenulls=True).over(upto))
     closing = (F.col("class") == "b") & (F.col("parens") == F.col("doc.parens"))
+    if code:
+        tok = _block_ends(tok, w)
     tok = tok.withColumn("closed", F.coalesce(F.max(F.when(closing, F.col("pos"))).over(before), F.lit(-1)))
     # documentation inside: a string right after a def head that nothing is done with
     is_def = F.col("head").rlike(r"^(?:async[ \t]+)?def[ \t]")
@@ -166,7 +178,7 @@ def documented(files: DataFrame) -> DataFrame:
     text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).otherwise(c)
     parts = F.array_sort(F.collect_list(F.when(~is_text, F.struct("pos", text.alias("x")))))
     isle = isle.groupBy("uid", "file_id", "language", F.when(py, F.col("pos")).otherwise(F.col("doc.pos")).alias("at")).agg(
-        F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + lines)).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
+        F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + lines)).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), *([F.max_by("end", "pos").alias("end"), F.max_by("end_at", "pos").alias("end_at"), F.max(F.when(is_text, F.col("off") + F.length("tok"))).alias("doc_off")] if code else []), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
     )
     isle = isle.filter(py | F.col("rest").rlike(r"^[ \t]*\n[ \t]*[^\s\x01]") | (script & F.col("rest").rlike(r"^[ \t]*[^\s\x01]")))
     isle = isle.withColumns({"body": F.regexp_replace(F.regexp_replace("rest", r"^\s+", ""), r"[{}]$", ""), "brace": F.substring("rest", -1, 1)})
@@ -183,14 +195,69 @@ def documented(files: DataFrame) -> DataFrame:
     text_of = F.when(go, F.regexp_replace("raw", r"(?m)^[ \t]*// ?", "")).when(rust, F.regexp_replace("raw", r"(?m)^[ \t]*/// ?", "")).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^/\*\*+|\*+/$", ""), r"(?m)^[ \t]*\*+(?!/) ?", ""), r"^[ \t]+", ""))
     quotes = r"^(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')$"
     head_lines = F.length("head") - F.length(F.replace("head", F.lit("\n")))
+    parts_of = {"block_end": F.when(~py & (F.col("brace") == "{"), F.col("end")), "block_line": F.col("end_at"), "loose": F.when(~py, _until_end(F.col("decl"), js & (arrow != ""))), "doc_off": F.when(~py, F.col("doc_off"))} if code else {}
     out = isle.select(
         "file_id", "language", F.when(py, F.regexp_extract("head", r"def[ \t]+(\w+)", 1)).otherwise(name).alias("symbol_name"),
         F.when(py, F.when(F.col("head").rlike(r"\(\s*(?:self|cls)\b"), "method").otherwise("function")).otherwise(kind).alias("kind"),
         F.when(py, F.col("doc_line") - head_lines).otherwise(F.col("doc_end") + lead_lines + skipped).cast("long").alias("line"),
-        F.when(py, F.regexp_replace("raw", quotes, "")).otherwise(text_of).alias("text"),
+        F.when(py, F.regexp_replace("raw", quotes, "")).otherwise(text_of).alias("text"), *(["uid"] if code else []), *[c.alias(k) for k, c in parts_of.items()],
     ).filter("symbol_name <> ''")
     out = out.withColumn("description", F.trim(F.regexp_replace(F.regexp_replace("text", _SECTION, ""), r"\s+", " "))).drop("text")
-    return out.withColumn("meaningful", meaningful(F.col("description"), F.col("symbol_name"))).distinct()
+    out = out.withColumn("meaningful", meaningful(F.col("description"), F.col("symbol_name")))
+    return (_sliced(out, t, tok) if code else out).distinct()
+
+
+def _block_ends(tok: DataFrame, w: WindowSpec) -> DataFrame:
+    """Add off (characters before the token) and, to opening braces, end and end_at: characters up to and line of the end of their block."""
+    c, brace = F.col("tok"), F.col("class") == "b"
+    level = F.when(brace, F.col("depth") - F.when(c == "}", 1).otherwise(0)).otherwise(-1)
+    # on one line with the block before it, as a body is with a return type in braces
+    joined = (F.lag("tok").over(w) == "}") | (F.lag("tok").over(w).rlike(r"^[ \t\[\]>]*$") & (F.lag("tok", 2).over(w) == "}"))
+    tok = tok.withColumns({"off": F.coalesce(F.sum(F.length("tok")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "level": level, "fresh": F.when(brace & (c == "{") & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)})
+    at = Window.partitionBy("uid", "level").orderBy("pos")
+    tok = tok.withColumn("run", F.sum("fresh").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("uid", "level", "run")
+    closes = F.when(brace & (c == "}"), F.struct("pos", (F.col("off") + 1).alias("off"), "line"))
+    return tok.withColumn("last", F.max(closes).over(whole)).withColumns({"end": F.when(brace, F.col("last.off")), "end_at": F.when(brace, F.col("last.line"))}).drop("last", "run", "fresh", "level")
+
+
+def _until_end(decl: Column, arrow: Column) -> Column:
+    """What of a head belongs to a declaration without a block of its own; null if a block follows."""
+    plain = F.regexp_replace(decl, r"\[[^\[\]]*\]", "[]")
+    # the expression of an arrow ends at a semicolon or where a line doesn't go on
+    short = F.regexp_extract(decl, r"^[\s\S]*?=>\s*[^\s;][\s\S]*?(?=;|\n(?!\s*[.?:+*/%&|,)\]-])|$)", 0)
+    return F.when(arrow & ~decl.rlike(r"=>\s*\(?\s*$"), short).when(~arrow & plain.rlike(";"), F.regexp_extract(decl, r"^[^;\[]*(?:\[[^\[\]]*\][^;\[]*)*;", 0))
+
+
+def _sliced(found: DataFrame, t: DataFrame, tok: DataFrame) -> DataFrame:
+    """Give declarations their end_line and code."""
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    loose_line = F.col("line") + newlines(F.coalesce("loose", F.lit("")))
+    end_line = F.when(F.col("loose").isNotNull(), loose_line).otherwise(F.coalesce("block_line", F.col("line")))
+    braces = found.filter("language <> 'python'").withColumn("end_line", end_line).withColumn("end", F.when(F.col("loose").isNull(), F.col("block_end")))
+    defs = found.filter("language = 'python'")
+    # python: every line closes the levels of def that aren't shallower than it
+    masked = F.when(F.col("class") == "s", F.concat(F.lit("x"), F.repeat(F.lit("\n\x01"), newlines(F.col("tok"))))).when(F.startswith("tok", F.lit("#")), F.lit("")).otherwise(F.regexp_replace("tok", r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*", ""))
+    py = tok.filter("language = 'python'").groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", masked.alias("x")))), lambda p: p["x"]), "").alias("text"))
+    lines = py.select("uid", F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumns({"line": (F.col("n") + 1).cast("long"), "indent": F.length(F.regexp_extract("text", r"^[ \t]*", 0))})
+    opened = F.length(F.regexp_replace("text", r"[^(\[{]", "")) - F.length(F.regexp_replace("text", r"[^)\]}]", ""))
+    inside = F.coalesce(F.sum(opened).over(Window.partitionBy("uid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    lines = lines.withColumn("inside", inside).filter(F.col("text").rlike(r"[^\s]"))
+    starts = defs.select("uid", "line").distinct().join(lines.select("uid", "line", "indent"), ["uid", "line"])
+    levels = starts.groupBy("uid").agg(F.collect_set("indent").alias("levels"))
+    # the line after a def's header may be inside of brackets; the last line that holds anything ends the body
+    solid = lines.join(levels, "uid").withColumn("closes", F.when(F.col("inside") | F.startswith("text", F.lit("\x01")), F.array().cast("array<int>")).otherwise(F.filter("levels", lambda k: k >= F.col("indent"))))
+    solid = solid.withColumn("before", F.lag("line").over(Window.partitionBy("uid").orderBy("line")))
+    last = lines.groupBy("uid").agg(F.max("line").alias("last"))
+    events = solid.select("uid", "line", "before", F.explode("closes").alias("level"))
+    events = events.withColumn("next_before", F.lead("before").over(Window.partitionBy("uid", "level").orderBy("line")))
+    ends = starts.withColumnRenamed("indent", "level").join(events, ["uid", "line", "level"], "left").join(last, "uid")
+    defs = defs.join(ends.select("uid", "line", F.coalesce("next_before", "last").alias("end_line")), ["uid", "line"]).withColumn("end", F.lit(None).cast("long"))
+    d = braces.unionByName(defs).join(t.select("uid", "file_text"), "uid")
+    d = d.withColumn("begin", F.greatest(F.expr("case when line > 1 then length(substring_index(file_text, '\n', int(line - 1))) + 1 else 0 end"), F.coalesce("doc_off", F.lit(0))))
+    d = d.withColumn("end", F.coalesce("end", F.expr("length(substring_index(file_text, '\n', int(end_line)))")))
+    code = F.regexp_replace(F.substring("file_text", F.col("begin") + 1, F.col("end") - F.col("begin")), r"^[ \t]*\n?[ \t]*|\s+$", "")
+    return d.select("file_id", "language", "symbol_name", "kind", "line", F.col("end_line").cast("long").alias("end_line"), "description", "meaningful", code.alias("code"))
 
 
 def meaningful(text: Column, name: Column) -> Column:
