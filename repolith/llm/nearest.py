@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from repolith.operators.ordered import neighbours
 
 DAY = 86_400_000_000
+#: Ratio of the slot widths of successive levels of the interval index.
+WIDEN = 16
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
@@ -19,19 +21,28 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int) -> Dat
     pair. Gives anchor_id, matched_id, distance_us.
 
     Each right time owns the interval up to the midpoints with its neighbours, cut at the
-    tolerance. Intervals are indexed by slots as wide as the entity's mean interval, so
-    a slot holds few of them however dense the entity is; left times are range-joined
-    within their slot.
+    tolerance, so an entity's intervals don't overlap. Intervals are indexed by their size:
+    level l holds those longer than WIDEN^(l-1) and no longer than WIDEN^l, in slots of WIDEN^l, of
+    which no more than WIDEN + 1 meet a slot, however dense the entity is there. Left times
+    are range-joined within their slot of every level that the entity has.
     """
     r = right.select("entity", "t", "matched_id").dropna().groupBy("entity", "t").agg(F.min("matched_id").alias("matched_id"))
     r = neighbours(r, ["entity"], ["t"], F.floor(F.col("t") / F.lit(DAY)), prev=["t"], nxt=["t"])
     lo = F.greatest(F.col("t") - tolerance_us, F.ceil((F.col("prev_t") + F.col("t")) / 2))
     hi = F.least(F.col("t") + tolerance_us, F.floor((F.col("next_t") + F.col("t")) / 2))
     r = r.select("entity", F.col("t").alias("rt"), "matched_id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-    width = r.groupBy("entity").agg(F.ceil(F.avg(F.col("hi") - F.col("lo") + 1)).cast("long").alias("w"))
-    slot = lambda c: F.floor(F.col(c) / F.col("w"))
-    r = r.join(width, "entity").select("entity", "rt", "matched_id", "lo", "hi", F.explode(F.sequence(slot("lo"), slot("hi"))).alias("slot"))
-    a = left.select("entity", "t", "anchor_id").dropna().distinct().join(width, "entity").withColumn("slot", slot("t")).drop("w")
-    hit = a.join(r, ["entity", "slot"]).filter("t between lo and hi")
+    hit = _met(left.select("entity", "t", "anchor_id").dropna().distinct(), r).filter("t between lo and hi")
     best = F.min(F.struct(F.abs(F.col("t") - F.col("rt")).alias("d"), F.col("matched_id").alias("m"))).alias("x")
     return hit.groupBy("anchor_id").agg(best).select("anchor_id", F.col("x.m").alias("matched_id"), F.col("x.d").alias("distance_us"))
+
+
+def _met(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Points (entity, t, ...) with the disjoint intervals (entity, lo, hi, ...) whose slot they are in."""
+    powers = F.array(*[F.lit(WIDEN**k) for k in range(12)])
+    level = F.array_position(F.transform(powers, lambda x: F.col("hi") - F.col("lo") + 1 <= x), True).cast("int") - 1
+    slot = lambda c: F.floor(F.col(c) / F.element_at(powers, F.col("level") + 1)).cast("long")
+    r = intervals.filter("lo <= hi").withColumn("level", level)
+    levels = r.groupBy("entity").agg(F.collect_set("level").alias("levels"))  # a dozen at most
+    r = r.withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))
+    a = points.join(levels, "entity").withColumn("level", F.explode("levels")).withColumn("slot", slot("t")).drop("levels")
+    return a.join(r, ["entity", "level", "slot"])
