@@ -1,5 +1,5 @@
 """Named queries, each with the SQL that checks it."""
 
-from repolith.plans import data, graphs, reports, search
+from repolith.plans import code, data, graphs, reports, search
 
-ALL = [data, reports, graphs, search]
+ALL = [data, reports, code, graphs, search]

@@ -16,6 +16,12 @@ def sem_01_tokens(s: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("terms"), F.size(F.array_distinct("t")).cast("long").alias("distinct_terms"))
 
 
+def agg_25_document_frequency(s: SparkSession, d: str) -> DataFrame:
+    """In how many documents each token occurs."""
+    t = rel.docs(s, d).select(F.explode(F.array_distinct(search.tokens("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("docs"))
+
+
 def sem_02_vectors(s: SparkSession, d: str) -> DataFrame:
     return search.hashed_vectors(rel.docs(s, d), "doc_id", "text").select("doc_id", "idx", F.round("value", 4).alias("value"))
 
@@ -78,7 +84,7 @@ def tmp_04_clusters(s: SparkSession, d: str) -> DataFrame:
     return greedy.star_clusters(p, "repo", "path_a", "path_b", "shared")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:4] in ("sem_", "lrn_", "cog_", "tst_", "tmp_") and callable(v)}
+QUERIES = {k: v for k, v in list(globals().items()) if k[:4] in ("agg_", "sem_", "lrn_", "cog_", "tst_", "tmp_") and callable(v)}
 
 _STOP = ",".join(f"'{w}'" for w in search.STOPWORDS)
 _TOK = f"t as (select doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text,''),'([a-z0-9])([A-Z])','\\1 \\2','g')),'[^a-z0-9]+'), lambda x: len(x)>=2 and x not in ({_STOP})) w from {{docs}})"
@@ -98,6 +104,7 @@ SQL = {
     k: rel.oracle(v)
     for k, v in {
         "sem_01_tokens": f"with {_TOK} select doc_id, len(w) terms, len(list_distinct(w)) distinct_terms from t",
+        "agg_25_document_frequency": f"with {_TOK} select token, count(*) docs from (select unnest(list_distinct(w)) token from t) x group by 1",
         "sem_02_vectors": f"with {_TOK}, x as (select doc_id, unnest(w) token from t), c as (select doc_id, token, count(*) n from x group by 1,2), f as (select token, count(*) df from c group by 1), "
         f"k as (select token, df, {_HASH} h from f), v as (select doc_id, abs(h)%96 idx, sum((ln(n)+1)*(ln(((select count(*) from {{docs}})+1)/(df+1))+1)*(case when h%2=0 then 1 else -1 end)) v from c join k using (token) group by 1,2), "
         "z as (select doc_id, idx, v/sqrt(sum(v*v) over (partition by doc_id)) v from v) select doc_id, idx, round(v,4) as value from z where v <> 0",

@@ -6,6 +6,7 @@ relation for Spark; ``SQL`` states it for the oracle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,9 +84,9 @@ def sources(s: SparkSession, d: str) -> DataFrame:
 
 
 def source_lines(s: SparkSession, d: str) -> DataFrame:
-    """(file_id, path, ext, n, line), n from 1."""
+    """(file_id, repo, path, ext, n, line), n from 1."""
     t = sources(s, d)
-    return t.select("file_id", "path", "ext", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_id", "path", "ext", (F.col("p") + 1).cast("long").alias("n"), "line")
+    return t.select("file_id", "repo", "path", "ext", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file_id", "repo", "path", "ext", (F.col("p") + 1).cast("long").alias("n"), "line")
 
 
 def symbols(s: SparkSession, d: str) -> DataFrame:
@@ -116,12 +117,26 @@ def events(s: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(cast(timestamp_ntz'1970-01-01' as timestamp))").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def index_files(s: SparkSession, d: str) -> DataFrame:
+    """(path, excerpt) of the files that the vector index knows."""
+    return table(s, d, "semantic_documents").filter("doc_type = 'file'").select("path", "excerpt").distinct()
+
+
+def part_versions(s: SparkSession, d: str) -> DataFrame:
+    """What a supplier ships of a part stands for the version that a package needs of a dependency."""
+    return table(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.concat("l_returnflag", "l_linestatus").alias("version")).distinct()
+
+
 BUILD: dict[str, Build] = {
+    "index_files": index_files, "part_versions": part_versions,
+   
     "commit_files": commit_files, "commits": commits, "prs": prs, "deps": deps, "incs": incs, "changes": changes, "moves": moves, "sources": sources, "source_lines": source_lines, "symbols_": symbols, "nodes": nodes, "edges": edges, "docs": docs, "events_": events,
     "pr_keys": _links("pull_requests", "issue_keys", ("pr", "issue")), "dep_prs": _links("deployments", "linked_pull_request_ids", ("dep", "pr")), "inc_keys": _links("incidents", "issue_keys", ("inc", "issue")), "inc_deps": _links("incidents", "linked_deployment_ids", ("inc", "dep")), "inc_labels": _links("incidents", "labels", ("inc", "label")),
 }
 
 SQL: dict[str, str] = {
+    "index_files": "select distinct path, excerpt from semantic_documents where doc_type = 'file'",
+    "part_versions": "select distinct l_partkey part, l_suppkey supplier, l_returnflag || l_linestatus as version from lineitem",
     "commit_files": f"select {R} repo, sha, {P} path, coalesce(max(additions),0) additions, coalesce(max(deletions),0) deletions, min(author) author, min(epoch_us(committed_at)) as ts, max(is_merge) is_merge, min(status) status from commit_changes where repo is not null and sha is not null and path is not null group by 1,2,3",
     "commits": "select repo, sha, min(author) author, min(ts) as ts, max(is_merge) is_merge, count(*) n_files, sum(additions)::bigint additions, sum(deletions)::bigint deletions from commit_files group by 1,2",
     "prs": f"select id, min({R}) repo, max_by(struct_pack(pr_number,title,author,state,base_branch,head_branch,is_draft,merged_by,head_sha,merge_commit_sha), (coalesce(epoch_us(merged_at),-1), coalesce(epoch_us(closed_at),-1))) x, min(epoch_us(created_at)) created, max(epoch_us(merged_at)) merged, max(epoch_us(closed_at)) closed, min(epoch_us(first_commit_at)) first_commit, min(epoch_us(first_review_at)) first_review, max(coalesce(additions,0)+coalesce(deletions,0)) lines, max(coalesce(changed_files,0))::bigint files, max(coalesce(review_count,0))::bigint reviews from pull_requests group by id",
@@ -130,7 +145,7 @@ SQL: dict[str, str] = {
     "changes": "select distinct history_id, issue_key, project_key, epoch_us(issue_created_at) born, epoch_us(created_at) as ts, lower(trim(field)) field, lower(trim(coalesce(from_string,''))) frm, lower(trim(coalesce(to_string,''))) dest from issue_changes",
     "moves": "select history_id, issue_key, project_key, born, ts, frm, dest from changes where field='status'",
     "sources": f"select *, lower(regexp_extract(path,'\\.(\\w+)$',1)) ext, length(text) chars, length(text)-length(replace(text,chr(10),''))+1 lines from (select file_id, min({R}) repo, min(path) path, replace(coalesce(min(file_text),''),chr(13)||chr(10),chr(10)) as text from files group by 1)",
-    "source_lines": "select file_id, path, ext, generate_subscripts(l,1)::bigint n, unnest(l) line from (select file_id, path, ext, string_split(text,chr(10)) l from sources)",
+    "source_lines": "select file_id, repo, path, ext, generate_subscripts(l,1)::bigint n, unnest(l) line from (select file_id, repo, path, ext, string_split(text,chr(10)) l from sources)",
     "symbols_": f"select distinct file_id, repo, path, y.name as name, y.kind kind, y.line::bigint line, y.end_line::bigint end_line, y.exported exported, y.documentation documentation from (select file_id, {R} repo, path, unnest(symbols) y from files)",
     "nodes": "select p_partkey id, 'src/'||lower(replace(p_brand,'#',''))||'/f'||p_partkey path, lower(replace(p_brand,'#','')) layer, p_size*20 as size from part",
     "edges": "select id src, id//2 dst from nodes where id>0 union select id, id//3 from nodes where id>0 and id%5=0 union select id//2, id from nodes where id>0 and id%97=0",
@@ -145,10 +160,23 @@ SQL: dict[str, str] = {
 NEEDS = {"commits": ["commit_files"], "moves": ["changes"], "source_lines": ["sources"], "edges": ["nodes"]}
 
 
+#: Relations stated once for both engines, in the macros of ``plans.dialect``; see ``derive``.
+DERIVED: dict[str, str] = {}
+
+
+def derive(**statements: str) -> None:
+    """Add relations that are stated over others."""
+    from repolith.plans.dialect import duck_sql, spark_sql
+
+    for name, text in statements.items():
+        DERIVED[name] = text
+        BUILD[name] = lambda s, d, text=text: run(s, d, spark_sql(text))
+        SQL[name] = re.sub(r"\{(\w+)\}", r"\1", duck_sql(text))
+        NEEDS[name] = re.findall(r"\{(\w+)\}", text)
+
+
 def oracle(sql: str) -> str:
     """The DuckDB statement for SQL that names relations as {relation}."""
-    import re
-
     names: list[str] = []
 
     def need(n: str) -> None:
@@ -174,7 +202,5 @@ def oracle(sql: str) -> str:
 
 def run(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """Run SQL that names relations as {relation} over the stored tables."""
-    import re
-
     names = set(re.findall(r"\{(\w+)\}", sql))
     return spark.sql(sql, **{n: BUILD[n](spark, d) for n in names})
