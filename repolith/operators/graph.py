@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from repolith.session import cut
 
+#: Rounds of trimming before the nodes that are left are coloured.
+TRIMS = 6
+
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -74,39 +77,43 @@ def layers(edges: DataFrame, starts: DataFrame, max_depth: int, mode: str = "fir
     return zero.unionByName(one.join(s, "node", "left_anti").select("hop", "node"))
 
 
-def depth_from_roots(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, depth): shortest distance from nodes that nobody imports; 0 where none leads."""
+def depth_from_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, depth): shortest distance from nodes that nobody imports; 0 where none leads.
+
+    Rounds go on until nothing new is reached, so chains may be of any length.
+    """
     e = cut(edges.select("src", "dst").dropna().distinct())
     front = nodes.select("id").join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     seen = cut(front.withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = cut(step.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        # one table again now and then, so that the plan stays short on long chains
+        seen = seen.unionByName(front) if depth % 8 else cut(seen.unionByName(front))
     return nodes.select("id").join(seen, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles; the component is its largest node.
 
-    Nodes without a way in or out are trimmed. Then the largest id that reaches a node
-    colours it, and within a colour what reaches back to that id is a component.
+    Nodes without a way in or out are trimmed, TRIMS times a round at most. Then the largest
+    id that reaches a node colours it, and within a colour what reaches back to that id is a component;
+    each round takes at least the largest remaining node away, so the rounds end.
     """
     e = cut(edges.select("src", "dst").dropna().distinct())
     done = e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e = cut(e.filter("src <> dst"))
     out = None
-    for _ in range(rounds):
-        size = -1
-        while True:  # trim
-            n = e.count()
+    while True:
+        size = e.count()
+        for _ in range(TRIMS):
+            e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            n, size = size, e.count()
             if n == size:
                 break
-            size = n
-            e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if not size:
             break
         colour = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("c", F.col("node")))

@@ -130,9 +130,11 @@ _raw = {
     "gr_04_blast_layered": _walk(_REV, _SEEDS, 2) + f"select 0 hop, s node from {_SEEDS} t(s) union all select distinct depth, node from w",
     "gr_05_blast_first": _walk(_REV, _SEEDS, 3) + _FIRST.replace("{v}", _SEEDS),
     "gr_06_neighbourhood": _walk(_ANY, "(values (48))", 2) + _FIRST.replace("{v}", "(values (48))"),
-    "gr_07_depth": "with recursive w(id, depth) as (select id, 0 from {nodes} where id not in (select dst from {edges}) union select e.dst, w.depth + 1 from w join {edges} e on e.src = w.id where w.depth < 30) select n.id, coalesce(min(depth), 0)::bigint depth from {nodes} n left join w on w.id = n.id group by n.id",
+    "gr_07_depth": "with recursive w(id, depth) as (select id, 0 from {nodes} where id not in (select dst from {edges}) union select e.dst, w.depth + 1 from w join {edges} e on e.src = w.id where w.depth < 200) select n.id, coalesce(min(depth), 0)::bigint depth from {nodes} n left join w on w.id = n.id group by n.id",
     "gr_08_cycles": _REACH + "select x.a node, max(y.b) component from r x join r y on y.a = x.a join r z on z.a = y.b and z.b = x.a where x.a = x.b group by x.a",
-    "gr_09_package_cycles": "with recursive p as (select distinct a.layer src, b.layer dst from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer and e.src % 16 = 0), r(a, b) as (select src, dst from p union select r.a, p.dst from r join p on p.src = r.b) select x.a layer, max(y.b) component from r x join r y on y.a = x.a join r z on z.a = y.b and z.b = x.a where x.a = x.b group by x.a",
+    "gr_09_package_cycles": "with recursive p as (select distinct a.layer src, b.layer dst from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer), r(a, b) as (select src, dst from p union select r.a, p.dst from r join p on p.src = r.b) select x.a layer, max(y.b) component from r x join r y on y.a = x.a join r z on z.a = y.b and z.b = x.a where x.a = x.b group by x.a",
+    # the shortest way of each entry to an exit, the smallest among equals
+    "gr_10_hot_paths": "with recursive ent as (select distinct src from {edges} where src not in (select dst from {edges})), ex as (select distinct dst from {edges} where dst not in (select src from {edges})), w(entry, node, trail, k) as (select src, src, [src], 1 from ent union all select w.entry, e.dst, list_append(w.trail, e.dst), w.k + 1 from w join {edges} e on e.src = w.node where not list_contains(w.trail, e.dst) and w.node not in (select dst from ex)), b as (select entry, min(struct_pack(k := k, trail := trail)) m from w join ex on ex.dst = w.node group by entry) select entry, m.trail[-1] as exit, m.k::bigint steps, array_to_string(m.trail, '>') path from b",
     "gr_12_processes": "with recursive t as (select src s from {edges} group by src order by count(*) desc, src limit 6), w(start, node, depth) as (select t.s, e.dst, 1 from t join {edges} e on e.src = t.s union select w.start, e.dst, w.depth + 1 from w join {edges} e on e.src = w.node where w.depth < 5) select start, node, min(depth) depth from w group by 1, 2",
     "gr_21_paths": _walk(_FWD, "(values (1000),(1455),(1999))", 3) + "select start, node from m",
     "gr_20_ad_hoc": "select n.path, h.n from (select dst, count(*) n from {edges} group by dst) h join {nodes} n on n.id = h.dst where h.n >= 3",

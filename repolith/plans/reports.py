@@ -32,9 +32,7 @@ STATEMENTS: dict[str, str] = {
     "flt_07_lookback": "select id, repo, created from {prs} where created >= NOW - 30 * 86400000000",
     "flt_08_test_files": "select file_id, path, ~match(path, '(_test|\\.test|\\.spec|_spec)\\.') as by_suffix, ~match(path, '(^|/)(__tests__|tests?)/') as by_directory from {sources}",
     "flt_09_test_symbol": "select file_id, name, ~match(lower(name), '^test|test$|spec$|describe|it') as is_test_legacy, ~match(name, '^test_|^Test') as is_test from {symbols_}",
-    "flt_13_ladders": "select file_id, case when lines > 200 then 'critical' when lines > 100 then 'high' when lines > 50 then 'medium' else 'low' end as size_class, case when chars = 0 then 'empty' else 'filled' end as fill from {sources}",
     "prj_01_weighted_score": "select repo, sha, ~r0(~clamp(0.5e0 * n_files * 4 + 0.3e0 * additions / 10 + 0.2e0 * deletions / 10)) as score from {commits}",
-    "prj_02_simple_complexity": "select f.file_id, greatest(1, count(y.name)) as cyclomatic, 2 * count(case when y.kind = 'function' then 1 end) as cognitive, ~r1(greatest(0e0, 100 - max(f.lines) / 10e0 - count(y.name))) as maintainability from {sources} f left join {symbols_} y on y.file_id = f.file_id group by f.file_id",
     "prj_03_path_module": "select distinct path, split_part(path,'/',1) as top, case when split_part(path,'/',2) = '' then path else split_part(path,'/',1) || '/' || split_part(path,'/',2) end as module from {commit_files}",
     "prj_04_snippet": "select l.file_id, y.name, l.n, l.line from {source_lines} l join {symbols_} y on y.file_id = l.file_id and l.n between y.line - 2 and y.line + 2 where y.kind = 'class'",
     "src_04_file_rows": "select file_id, ext, chars, lines from {sources}",
@@ -62,14 +60,12 @@ STATEMENTS: dict[str, str] = {
     "jn_15_missing_tests": "select s.file_id, s.path from (select file_id, path, ~sub(~sub(path, '^.*/', ''), '\\.[a-z]+$', '') as stem from {sources} where not ~match(path, '(_test|\\.test|\\.spec)\\.')) s where not exists (select 1 from (select ~sub(~sub(~sub(path, '^.*/', ''), '\\.[a-z]+$', ''), '_test$', '') as stem from {sources} where ~match(path, '_test\\.')) t where t.stem = s.stem)",
     "jn_16_rules": "select r.rule, f.file_id from {sources} f join (select 'no-underscore' as rule, 'lib/' as prefix, '_' as bad union all select 'no-dash', 'src/', '-' union all select 'no-digits', 'packages/', '9') r on f.path like r.prefix || '%' and position(r.bad in f.path) > 0",
     "jn_17_co_change": f"select a.repo, a.path as path_a, b.path as path_b, count(*) as shared from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) > 2",
-    "jn_18_co_change_of_file": "select b.path, count(*) as together from (select repo, sha from {commit_files} where path = 'CHANGELOG.md') a join {commit_files} b on a.repo = b.repo and a.sha = b.sha where b.path <> 'CHANGELOG.md' group by b.path order by together desc, b.path limit 20",
     "jn_21_mutual_imports": "select a.src, a.dst from {edges} a join {edges} b on a.src = b.dst and a.dst = b.src where a.src < a.dst",
     # --- graph (one hop and counts; fixpoints are in plans.graphs)
     "gr_01_dependents": "select n.id, count(distinct i.src) as dependents, count(distinct o.dst) as dependencies from {nodes} n left join {edges} i on i.dst = n.id left join {edges} o on o.src = n.id group by n.id",
     "gr_13_communities": "select dir, files, symbols, ~r2(~div(inside, links)) as cohesion from (select n.layer as dir, count(distinct n.id) as files, sum(n.size) as symbols from {nodes} n group by n.layer) c join (select a.layer as l, count(*) as links, count(case when a.layer = b.layer then 1 end) as inside from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst group by a.layer) k on k.l = c.dir where files >= 3 order by symbols desc, files desc, dir limit 8",
     "gr_14_hierarchy": "select distinct split_part(path,'/',1) as parent, split_part(path,'/',1) || '/' || split_part(path,'/',2) as child, 'contains' as edge from {sources} union select split_part(path,'/',1) || '/' || split_part(path,'/',2), path, 'contains' from {sources}",
     "gr_16_degrees": "select id, count(*) as degree from (select src as id from {edges} union all select dst from {edges}) x group by id order by degree desc, id limit 10",
-    "gr_17_rollup": "select coalesce(top, '*') as top, coalesce(module, '*') as module, ~r1(avg(lines)) as avg_lines, count(*) as files from (select split_part(path,'/',1) as top, split_part(path,'/',2) as module, lines from {sources}) x group by rollup(top, module)",
     "gr_18_roots_leaves": "select n.id, case when i.dst is null and o.src is null then 'orphan' when i.dst is null then 'root' else 'leaf' end as place from {nodes} n left join (select distinct dst from {edges}) i on i.dst = n.id left join (select distinct src from {edges}) o on o.src = n.id where i.dst is null or o.src is null",
     "gr_19_stats": "select 'files' as item, count(*) as n from {sources} union all select 'symbols', count(*) from {symbols_} union all select 'commits', count(*) from {commits} union all select 'edges', count(*) from {edges} union all select 'pull_requests', count(*) from {prs} union all select 'deployments', count(*) from {deps}",
     # --- aggregation
@@ -124,19 +120,12 @@ STATEMENTS: dict[str, str] = {
     "set_05_difference": "select path from {sources} except select path from {commit_files}",
     "set_06_pair_key": "select least(src, dst) as a, greatest(src, dst) as b, count(*) as n from {edges} group by 1, 2",
     # --- complexity
-    "cpx_01_line_metrics": "select file_id, count(*) as lines, count(case when trim(line) = '' then 1 end) as blank, count(case when ~match(line, '^ *(//|#|/\\*|\\*)') then 1 end) as comments, count(case when ~match(line, '\\breturn\\b') then 1 end) as returns from {source_lines} group by file_id",
-    "cpx_03_cyclomatic": "select file_id, 1 + ~count(text, '\\bif\\b') + ~count(text, '\\bfor\\b') + ~count(text, '\\bwhile\\b') + ~count(text, '\\bcase\\b') + ~count(text, '&&') + ~count(text, '\\bcatch\\b') as cyclomatic from {sources}",
     "cpx_02_extents": f"select y.file_id, y.name, y.line, coalesce(min(case when l.n > y.line and l.total <= s.total - s.d then l.n end), y.line) as end_line from {{symbols_}} y join {_BRACES} s on s.file_id = y.file_id and s.n = y.line join {_BRACES} l on l.file_id = y.file_id and l.n >= y.line where s.d > 0 group by y.file_id, y.name, y.line",
     # the nesting never falls below 0: a running sum less its running minimum
     "cpx_04_cognitive": f"select file_id, sum(case when ~match(line, '\\b(if|else|for|while|switch|try|catch|case|when|match|loop)\\b') then 1 + before_n - least(0, low) else 0 end + case when ~match(line, '\\b(this|self)\\.\\w+\\(') then 1 else 0 end) * 1 as cognitive from (select *, min(before_n) over (partition by file_id order by n rows unbounded preceding) as low from (select *, total - d as before_n from {_BRACES} b) c) e group by file_id",
-    "cpx_05_file_score": "select file_id, ~r2(~clamp(171 - 5.2e0 * ln(chars + 1) - 0.23e0 * cyclo - 16.2e0 * ln(lines + 1))) as maintainability from (select file_id, chars, lines, 1 + ~count(text, '\\bif\\b') + ~count(text, '\\bfor\\b') as cyclo from {sources}) x",
     "cpx_06_coupling": "select n.id, least(100, 5 * (coalesce(i.n, 0) + coalesce(o.n, 0))) as coupling, ~r4(~div(coalesce(o.n, 0), coalesce(i.n, 0) + coalesce(o.n, 0))) as instability from {nodes} n left join (select dst, count(*) as n from {edges} group by dst) i on i.dst = n.id left join (select src, count(*) as n from {edges} group by src) o on o.src = n.id",
-    "cpx_07_signals": "select file_id, 'long-file' as rule from {sources} where lines > 150 union all select file_id, 'deep-branching' from {sources} where ~count(text, '\\bif\\b') > 8 union all select file_id, 'empty' from {sources} where chars = 0",
     # --- history
-    "tmp_01_insights": f"select repo, path, ~r4(n / 180e0) as churn, ~r0(greatest(0e0, 100 - 100 * n / 180e0)) as stability, authors, ~day(NOW - first_at) as age_days, last_at from {_DAYS} x",
     "tmp_02_classifier": f"select kind, count(*) as n, count(case when created >= NOW - 30 * 86400000000 then 1 end) as recent from (select created, {_KIND} as kind from {{prs}}) x group by kind",
-    "tmp_03_hotspots": f"select repo, path, ~r0((100 - greatest(0e0, 100 - 100 * n / 20e0)) / 2 + least(100, churned) / 2e0) as hotspot from {_DAYS} x order by hotspot desc, repo, path limit 10",
-    "tmp_05_volatility": f"select repo, path, ~r2(least(1e0, n / 50e0)) as volatility, ~r2(least(1e0, n / 50e0 * case when authors > 3 then 1e0 else 0.5e0 end + 1e0 / (200 * authors))) as fragility from {_DAYS} x where authors > 0",
     "tmp_06_file_history": f"select repo, path, n, ~r4(n / greatest(1e0, (last_at - first_at) / 8.64e10)) as change_frequency, authors, last_at from {_DAYS} x",
     "tmp_07_related_commits": "select repo, sha, max(ts) as ts from (select repo, path, sha, ts, row_number() over (partition by repo, path order by ts desc, sha) as r from {commit_files}) x where r <= 3 group by repo, sha",
     "tmp_08_calendar": "select hour_of_day, weekday, count(*) as n from (select ~hour(ts) % 24 as hour_of_day, (~day(ts) + 4) % 7 as weekday from {commits}) x group by hour_of_day, weekday",
@@ -146,25 +135,9 @@ STATEMENTS: dict[str, str] = {
     "tmp_11_target_history": "select 'commit' as what, sha as id, ts from {commit_files} where path like 'lib/%' union select 'pull_request', id, merged from {prs} where merged is not null",
     # --- impact, signals, drift, load
     "imp_02_boundary": "select e.src, e.dst, a.layer as src_layer, b.layer as dst_layer from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer and a.layer > b.layer",
-    "imp_03_risk": "select repo, sha, ~r0(least(5e0 * n_files, 30e0) * 0.3e0 + least(additions / 10e0, 30e0) * 0.3e0 + least(deletions / 10e0, 30e0) * 0.25e0) as risk from {commits}",
-    "imp_05_changed_symbols": "select c.sha, y.name, y.file_id from {commit_files} c join {symbols_} y on y.path = c.path and y.repo = c.repo and y.line <= c.additions + 3",
-    "sig_01_signals": "select 'god-class' as rule, path as subject from {nodes} where size > 500 union all select 'orphan', n.path from {nodes} n where not exists (select 1 from {edges} e where e.dst = n.id) union all select 'cycle', n.path from {edges} a join {edges} b on a.src = b.dst and a.dst = b.src join {nodes} n on n.id = a.src",
-    "sig_02_health": "select layer, greatest(0, least(100, 100 - 15 * count(case when size > 900 then 1 end) - 5 * count(case when size > 500 then 1 end))) as health from {nodes} group by layer",
-    "cnv_01_conventions": "select file_id, name, kind, case when kind = 'class' and not ~match(name, '^[A-Z][A-Za-z0-9]*$') then 'class-name' when kind = 'function' and not ~match(name, '^[a-z_][A-Za-z0-9_]*$') then 'function-name' end as broken from {symbols_} where (kind = 'class' and not ~match(name, '^[A-Z][A-Za-z0-9]*$')) or (kind = 'function' and not ~match(name, '^[a-z_][A-Za-z0-9_]*$'))",
-    "inv_01_invariants": "select 'no-import' as rule, file_id, n from {source_lines} where ext in ('ts','js') and ~match(line, '^import .*registry') union all select 'max-lines', file_id, lines from {sources} where lines > 120 union all select 'file-pattern', file_id, 0 from {sources} where not ~match(path, '^(src|lib|packages|tests|internal)/')",
     "inv_01_passed": "select r.rule from (select 'a' as rule, 120 as cap union all select 'b', 100000) r where not exists (select 1 from {sources} f where f.lines > r.cap)",
-    "drf_01_fan": "select id, case when o > 12 then 'fan-out' else 'fan-in' end as signal from (select n.id, count(distinct e.dst) as o, count(distinct i.src) as f from {nodes} n left join {edges} e on e.src = n.id left join {edges} i on i.dst = n.id group by n.id) x where o > 2 or f > 2",
-    "drf_02_heatmap": "select layer, count(*) as files, count(case when size > 500 then 1 end) as violations, ~r0(~div(100 * count(case when size > 500 then 1 end), count(*))) as score from {nodes} group by layer",
     "drf_03_trajectory": "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, ~r1(~clamp(n_files * 2 + additions / 20e0)) as score from {commits}) x",
-    "drf_04_emergent": "select layer, style, n from (select split_part(path,'/',1) as layer, case when ~match(path, '-[^/]*$') then 'kebab' else 'snake' end as style, count(*) as n, sum(count(*)) over (partition by split_part(path,'/',1)) as total from {sources} group by 1, 2) x where n >= 3 and n * 10 >= total * 6",
-    "cog_01_load": f"select f.file_id, ~r1(~clamp(0.4e0 * least(100, f.lines) + 0.3e0 * least(100, 10 * coalesce(y.n, 0)) + 0.3e0 * least(100, 20 * coalesce(h.authors, 0)))) as load from {{sources}} f left join (select file_id, count(*) as n from {{symbols_}} group by file_id) y on y.file_id = f.file_id left join {_DAYS} h on h.repo = f.repo and h.path = f.path",
-    "cog_02_functions": "select y.file_id, y.name, max_by(y.line, y.line) as line, max(f.lines) as file_lines from {symbols_} y join {sources} f on f.file_id = y.file_id where y.kind = 'function' group by y.file_id, y.name",
-    "cog_03_doc_gaps": "select file_id, count(*) as symbols, count(documentation) as documented, ~r1(~div(100 * (count(*) - count(documentation)), count(*))) as gap from {symbols_} group by file_id having count(*) >= 3 order by gap desc, symbols desc, file_id limit 40",
-    "cog_04_implicit_coupling": f"select a.repo, a.path as path_a, b.path as path_b, ~r1(least(100e0, 35e-2 * count(*) + 100e0 * count(*) / least(max(a.n), max(b.n)))) as score from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) >= 3 order by score desc, a.repo, path_a, path_b limit 80",
     "hot_02_hot_impact": "select layer, count(*) as touched, ~r1(~div(100 * count(case when size > 500 then 1 end), count(*))) as hot_pct from {nodes} where id in (select dst from {edges} group by dst having count(*) >= 2) group by layer",
-    "tst_01_suggest": "select y.file_id, y.name, case when y.kind = 'class' then 'unit' else 'function' end as test_type, case when y.exported then 'high' else 'low' end as priority from {symbols_} y join {sources} f on f.file_id = y.file_id where not ~match(f.path, '_test\\.') and y.kind in ('function','class','method')",
-    "tst_02_prioritise": "select path, max(score) as score from (select path, 100 as score from {sources} where ~match(path, '_test\\.') and lines > 50 union all select path, 60 from {sources} where ~match(path, '^tests/') union all select path, 45 from {sources} where ~match(path, 'test')) x group by path",
-    "tst_04_coverage": "select top, ~r1(~div(100 * count(case when t then 1 end), count(*))) as test_share from (select split_part(path,'/',1) as top, ~match(path, '_test\\.') as t from {sources}) x group by top",
     "chg_01_changelog": f"select kind, id, title from (select id, title, merged, {_KIND} as kind from {{prs}} where merged is not null) x where kind not in ('chore','unknown')",
     "mon_01_packages": "select a.layer as src_package, b.layer as dst_package, count(*) as links from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer group by a.layer, b.layer",
     "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",

@@ -19,7 +19,9 @@ class GitLog(DataSource):
     """Commits and changed files of repositories on a shared disk: one partition a repository.
 
     Option ``path``: repositories separated by commas; ``max``: most commits of each. Binary
-    files count as 0 lines. A repository without commits gives no rows.
+    files count as 0 lines. All commits count, those of merged branches too; a merge shows
+    what it changes against its first parent. A repository without commits gives no rows,
+    one that can't be read is an error.
     """
 
     @classmethod
@@ -41,8 +43,10 @@ class _GitReader(DataSourceReader):
         return [InputPartition(r.strip()) for r in self.roots]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        args = ["git", "-C", partition.value, "log", "--numstat", "--no-renames", "-m", "--first-parent", "--format=%x01%H%x02%ae%x02%ct%x02%P%x02%s%x02%b%x03"]
+        args = ["git", "-C", partition.value, "log", "--numstat", "--no-renames", "--diff-merges=first-parent", "--format=%x01%H%x02%ae%x02%ct%x02%P%x02%s%x02%b%x03"]
         done = subprocess.run(args + ([f"-n{int(self.most)}"] if self.most else []), capture_output=True)
+        if done.returncode and b"does not have any commits yet" not in done.stderr:
+            raise RuntimeError(f"git log of {partition.value}: {done.stderr.decode('utf-8', 'replace').strip()}")
         for block in done.stdout.decode("utf-8", "replace").split("\x01")[1:]:
             head, _, files = block.partition("\x03")
             sha, author, at, parents, subject, body = head.split("\x02")

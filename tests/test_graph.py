@@ -51,3 +51,14 @@ def test_empty(spark):
     e = edges(spark, [])
     assert graph.reach(e, starts(spark, [1]), 3).count() == 0
     assert graph.strong_components(e).count() == 0
+
+
+def test_no_limit_of_depth_or_rounds(spark):
+    """A chain of 100 has depth 100; cycles that come one after another are all found."""
+    n = 100
+    chain = [(i, i + 1) for i in range(n)]
+    nodes = spark.createDataFrame([(i,) for i in range(n + 1)], "id long")
+    assert {(r.id, r.depth) for r in graph.depth_from_roots(nodes, edges(spark, chain)).collect()} == {(i, i) for i in range(n + 1)}
+    # ten pairs, each leading to the next by a chain of nine
+    rows = [e for k in range(0, 100, 10) for e in [(k, k + 1), (k + 1, k), *[(k + j, k + j + 1) for j in range(1, 10)]]]
+    assert {(r.node, r.component) for r in graph.strong_components(edges(spark, rows)).collect()} == {(k + j, k + 1) for k in range(0, 100, 10) for j in (0, 1)}
