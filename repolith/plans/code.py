@@ -59,10 +59,10 @@ relations.derive(
   when ext = 'rs' then coalesce(nullif(~get(line, '^\s*(?:pub\s+)?use\s+([\w:]+)'), ''), nullif(~get(line, '^\s*(?:pub\s+)?mod\s+(\w+)\s*;'), '')) end as source
  from (select *, max(case when ext = 'go' and ~match(line, '^import\s+\($') then n end) over (partition by file_id order by n rows unbounded preceding) as opened,
   max(case when ext = 'go' and ~match(line, '^\)') then n end) over (partition by file_id order by n rows unbounded preceding) as closed from {source_lines}) l) m where source is not null""",
-    code_calls=rf"""select file_id, repo, path, ext, n, callee, caller from (select file_id, repo, path, ext, n, ~each(~all(line, '([A-Za-z_$][\w$.]*)\(')) as callee, caller
-  from (select l.file_id, l.repo, l.path, l.ext, l.n, l.line, s.name, ~held(s.name) over (partition by l.file_id order by l.n rows between unbounded preceding and current row) as caller
-   from {{source_lines}} l left join (select file_id, n, name from {{code_symbols}} where kind in ('function','method')) s on s.file_id = l.file_id and s.n = l.n) m
-  where name is null and not ~match(line, '^\s*(//|#|\*|/\*)')) c where callee not in ({_NO_CALL})""",
+    code_calls=rf"""select file_id, repo, path, ext, n, callee, caller from (select file_id, repo, path, ext, n, name, ~each(~all(line, '([A-Za-z_$][\w$.]*)\(')) as callee, caller
+  from (select l.file_id, l.repo, l.path, l.ext, l.n, l.line, s.name, ~held(case when s.kind in ('function','method') then s.name end) over (partition by l.file_id order by l.n rows between unbounded preceding and current row) as caller
+   from {{source_lines}} l left join {{code_symbols}} s on s.file_id = l.file_id and s.n = l.n) m
+  where not ~match(line, '^\s*(//|#|\*|/\*)')) c where callee not in ({_NO_CALL}) and callee <> coalesce(name, '')""",
     hunks="select repo, sha, path, deletions + 1 as new_start, additions as new_lines, status from {commit_files}",
 )
 

@@ -27,7 +27,6 @@ STATEMENTS: dict[str, str] = {
     "flt_02_substring": "select 'file' as type, path from {sources} where lower(path) like '%worker%' union select 'symbol', name from {symbols_} where lower(name) like '%worker%'",
     "flt_03_glob": "select file_id, path from {sources} where ~match(path, 'src/.*/[^/]*_[^/]*\\.py')",
     "flt_04_glob_exact": "select file_id, path from {sources} where path = 'CHANGELOG.md' or ~match(path, 'lib/.*\\.go')",
-    "flt_05_first_layer": f"select file_id, path, {_LAYER} as layer from {{sources}}",
     "flt_06_path_contains": "select sha, path from {commit_files} where position('handler' in path) > 0",
     "flt_07_lookback": "select id, repo, created from {prs} where created >= NOW - 30 * 86400000000",
     "flt_08_test_files": "select file_id, path, ~match(path, '(_test|\\.test|\\.spec|_spec)\\.') as by_suffix, ~match(path, '(^|/)(__tests__|tests?)/') as by_directory from {sources}",
@@ -44,10 +43,7 @@ STATEMENTS: dict[str, str] = {
     "src_09_go_symbols": "select file_id, n, ~get(line, '^func (?:\\([^)]*\\) )?([A-Za-z_][A-Za-z0-9_]*)') as name, ~match(line, '^func \\(') as is_method from {source_lines} where ext = 'go' and ~match(line, '^func ')",
     "src_09_rust_symbols": "select file_id, n, ~get(line, 'fn +([A-Za-z_][A-Za-z0-9_]*)') as name, ~match(line, '^ *pub ') as exported from {source_lines} where ext = 'rs' and ~match(line, '^ *(pub )?(async )?fn ')",
     "src_09_java_types": "select file_id, n, ~get(line, '(?:class|interface|enum) +([A-Za-z_][A-Za-z0-9_]*)') as name from {source_lines} where ext = 'java' and ~match(line, '^(public |final |abstract )*(class|interface|enum) ')",
-    "src_15_commit_records": "select id, title, ~match(title, '(?i)^revert\\b') as is_revert, ~get(title, '(?i)^revert\\b[: ]*(.*)$') as reverts from {prs}",
-    "src_16_diff_status": "select sha, path, case when additions > 0 and deletions = 0 then 'added' when additions = 0 and deletions > 0 then 'deleted' else 'modified' end as status from {commit_files}",
     "src_17_blame": "select repo, path, author, sum(additions) * 1 as lines, ~r0(~div(100 * sum(additions), sum(sum(additions)) over (partition by repo, path))) as pct from {commit_files} where author is not null group by repo, path, author",
-    "src_22_query_predicate": "select distinct issue_key, project_key from {changes} where project_key in ('PAY','OPS','DATA') and born >= NOW - 60 * 86400000000",
     # --- joins
     "jn_02_hash_join": "select p.id, p.repo, count(d.id) as deployments from {prs} p left join {dep_prs} l on l.pr = p.id left join {deps} d on d.id = l.dep group by p.id, p.repo",
     "jn_03_file_context": "select f.file_id, y.kind, y.name, y.line from {sources} f join {symbols_} y on y.file_id = f.file_id where y.kind in ('function','class','method','interface')",
@@ -63,8 +59,6 @@ STATEMENTS: dict[str, str] = {
     "jn_21_mutual_imports": "select a.src, a.dst from {edges} a join {edges} b on a.src = b.dst and a.dst = b.src where a.src < a.dst",
     # --- graph (one hop and counts; fixpoints are in plans.graphs)
     "gr_01_dependents": "select n.id, count(distinct i.src) as dependents, count(distinct o.dst) as dependencies from {nodes} n left join {edges} i on i.dst = n.id left join {edges} o on o.src = n.id group by n.id",
-    "gr_13_communities": "select dir, files, symbols, ~r2(~div(inside, links)) as cohesion from (select n.layer as dir, count(distinct n.id) as files, sum(n.size) as symbols from {nodes} n group by n.layer) c join (select a.layer as l, count(*) as links, count(case when a.layer = b.layer then 1 end) as inside from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst group by a.layer) k on k.l = c.dir where files >= 3 order by symbols desc, files desc, dir limit 8",
-    "gr_14_hierarchy": "select distinct split_part(path,'/',1) as parent, split_part(path,'/',1) || '/' || split_part(path,'/',2) as child, 'contains' as edge from {sources} union select split_part(path,'/',1) || '/' || split_part(path,'/',2), path, 'contains' from {sources}",
     "gr_16_degrees": "select id, count(*) as degree from (select src as id from {edges} union all select dst from {edges}) x group by id order by degree desc, id limit 10",
     "gr_18_roots_leaves": "select n.id, case when i.dst is null and o.src is null then 'orphan' when i.dst is null then 'root' else 'leaf' end as place from {nodes} n left join (select distinct dst from {edges}) i on i.dst = n.id left join (select distinct src from {edges}) o on o.src = n.id where i.dst is null or o.src is null",
     "gr_19_stats": "select 'files' as item, count(*) as n from {sources} union all select 'symbols', count(*) from {symbols_} union all select 'commits', count(*) from {commits} union all select 'edges', count(*) from {edges} union all select 'pull_requests', count(*) from {prs} union all select 'deployments', count(*) from {deps}",
@@ -79,7 +73,6 @@ STATEMENTS: dict[str, str] = {
     "agg_08_distinct": "select repo, count(distinct author) as authors, count(distinct path) as paths from {commit_files} group by repo",
     "agg_09_min_confidence": "select repo, case min(case confidence when 'low' then 0 when 'medium' then 1 else 2 end) when 0 then 'low' when 1 then 'medium' else 'high' end as confidence from {deps} group by repo",
     "agg_10_top_share": "select repo, ~r1(~div(100 * max(n), sum(n))) as top_share from (select repo, author, count(*) as n from {commits} where author is not null group by repo, author) x group by repo",
-    "agg_11_repeat_rate": "select ~r1(~div(100 * sum(case when n > 1 then n else 0 end), sum(n))) as repeat_rate from (select sig, count(*) as n from (select i.id, coalesce(k.keys, ~sub(lower(i.summary), '\\W+', ' ')) as sig from {incs} i left join (select inc, string_agg(issue, '|' order by issue) as keys from {inc_keys} group by inc) k on k.inc = i.id) s group by sig) t".replace("string_agg(issue, '|' order by issue)", "min(issue) || '|' || max(issue)"),
     "agg_12_pivot": "select repo, count(case when severity = 'critical' then 1 end) as critical, count(case when severity = 'high' then 1 end) as high, count(case when severity = 'medium' then 1 end) as medium, count(case when severity = 'low' then 1 end) as low from {incs} group by repo",
     "agg_13_throughput": "select t.field, count(c.history_id) as changed from (select distinct field from {changes}) t left join {changes} c on c.field = t.field and c.ts >= NOW - 14 * 86400000000 group by t.field",
     "agg_14_of_aggregates": "select ~r1(avg(n)) as avg_deployments, min(n) as least, max(n) as most from (select repo, count(*) as n from {deps} where status = 'success' group by repo) x",
@@ -87,7 +80,6 @@ STATEMENTS: dict[str, str] = {
     "agg_16_primary_owner": "select repo, path, author as owner, ~r0(~div(100 * n, total)) as ownership from (select repo, path, author, n, sum(n) over (partition by repo, path) as total, row_number() over (partition by repo, path order by n desc, first_at, author) as r from (select repo, path, author, count(*) as n, min(ts) as first_at from {commit_files} where author is not null group by repo, path, author) x) y where r = 1",
     "agg_17_owner_rollup": "select author, count(*) as files, ~r0(avg(100e0 * n / total)) as avg_ownership from (select repo, path, author, n, sum(n) over (partition by repo, path) as total, row_number() over (partition by repo, path order by n desc, author) as r from (select repo, path, author, count(*) as n from {commit_files} where author is not null group by repo, path, author) x) y where r = 1 group by author",
     "agg_18_buckets": "select count(case when lines <= 20 then 1 end) as small, count(case when lines > 20 and lines <= 50 then 1 end) as medium, count(case when lines > 50 and lines <= 80 then 1 end) as large, count(case when lines > 80 then 1 end) as huge from {sources}",
-    "agg_19_top_three": "select module, path, lines from (select module, path, lines, row_number() over (partition by module order by lines desc, path, file_id) as r from (select split_part(path,'/',1) || '/' || split_part(path,'/',2) as module, path, lines, file_id from {sources}) x) y where r <= 3",
     "agg_20_dominant_style": "select top, style, ~r2(~div(n, total)) as confidence, n from (select top, style, n, sum(n) over (partition by top) as total, row_number() over (partition by top order by n desc, style) as r from (select split_part(path,'/',1) as top, case when ~match(path, '/[a-z0-9]+(-[a-z0-9]+)+\\.[a-z]+$') then 'kebab' when ~match(path, '/[a-z0-9]+(_[a-z0-9]+)+\\.[a-z]+$') then 'snake' else 'mixed' end as style, count(*) as n from {sources} group by 1, 2) x) y where r = 1 and total >= 3",
     "agg_22_weighted_points": "select repo, least(100, greatest(0, ~r0(~div(20 * sum(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end), count(*))))) as score from {incs} group by repo",
     "agg_23_max_per_key": "select id, max(w) as load from (select src as id, size as w from {edges} e join {nodes} n on n.id = e.dst union all select dst, size from {edges} e join {nodes} n on n.id = e.src) x group by id",
@@ -96,12 +88,10 @@ STATEMENTS: dict[str, str] = {
     # --- windows
     "win_01_rank": "select repo, author, n, row_number() over (partition by repo order by n desc, author) as place, rank() over (partition by repo order by n desc) as tied, dense_rank() over (partition by repo order by n desc) as dense from (select repo, author, count(*) as n from {commits} where author is not null group by repo, author) x",
     "win_02_lead_symbol_end": "select y.file_id, y.name, y.line, coalesce(lead(y.line) over (partition by y.file_id order by y.line, y.name) - 1, f.lines) as end_line from {symbols_} y join {sources} f on f.file_id = y.file_id",
-    "win_03_status_durations": "select issue_key, history_id, dest as status, ~r2((coalesce(lead(ts) over (partition by issue_key order by ts, history_id), NOW) - ts) / 3.6e9) as hours from {moves}",
     "win_04_blocked_islands": "select issue_key, min(ts) as from_at, max(until) as until_at from (select issue_key, ts, until, sum(flip) over (partition by issue_key order by ts, history_id rows unbounded preceding) as island, blocked from (select issue_key, history_id, ts, coalesce(lead(ts) over w, NOW) as until, dest = 'blocked' as blocked, case when (dest = 'blocked') = (lag(dest) over w = 'blocked') then 0 else 1 end as flip from {moves} window w as (partition by issue_key order by ts, history_id)) x) y where blocked group by issue_key, island",
     "win_05_rewind": "select issue_key, field, coalesce(min_by(case when ts > NOW - 45 * 86400000000 then frm end, case when ts > NOW - 45 * 86400000000 then ts * 10 + history_id % 10 end), max_by(dest, ts * 10 + history_id % 10)) as value from (select issue_key, field, ts, max(history_id) as history_id, max_by(frm, history_id) as frm, max_by(dest, history_id) as dest from {changes} group by issue_key, field, ts) x group by issue_key, field",
     "win_06_running_sum": "select repo, sha, sum(n_files) over (partition by repo order by ts, sha rows unbounded preceding) * 1 as so_far from {commits}",
     "win_07_last_rows": "select repo, sha, ts from (select repo, sha, ts, row_number() over (partition by repo order by ts desc, sha) as r from {commits}) x where r <= 10",
-    "win_08_first_last": "select repo, max_by(n_files, k) - min_by(n_files, k) as delta, ~r2(~div(max_by(n_files, k) - min_by(n_files, k), count(*) - 1)) as slope from (select repo, n_files, row_number() over (partition by repo order by ts, sha) as k from {commits}) x group by repo",
     "win_09_period_compare": "select repo, count(case when ts >= NOW - 14 * 86400000000 then 1 end) as now_n, count(case when ts < NOW - 14 * 86400000000 and ts >= NOW - 28 * 86400000000 then 1 end) as before_n from {commits} group by repo",
     "win_10_latest": "select repo, max_by(sha, ts) as sha, max(ts) < NOW - 30 * 86400000000 as stale from (select repo, ts, max(sha) as sha from {commits} group by repo, ts) x group by repo",
     "win_11_keep_first": "select file_id, name, line from (select file_id, name, line, row_number() over (partition by file_id, name order by line, kind) as r from {symbols_}) x where r = 1",
@@ -125,35 +115,21 @@ STATEMENTS: dict[str, str] = {
     "cpx_04_cognitive": f"select file_id, sum(case when ~match(line, '\\b(if|else|for|while|switch|try|catch|case|when|match|loop)\\b') then 1 + before_n - least(0, low) else 0 end + case when ~match(line, '\\b(this|self)\\.\\w+\\(') then 1 else 0 end) * 1 as cognitive from (select *, min(before_n) over (partition by file_id order by n rows unbounded preceding) as low from (select *, total - d as before_n from {_BRACES} b) c) e group by file_id",
     "cpx_06_coupling": "select n.id, least(100, 5 * (coalesce(i.n, 0) + coalesce(o.n, 0))) as coupling, ~r4(~div(coalesce(o.n, 0), coalesce(i.n, 0) + coalesce(o.n, 0))) as instability from {nodes} n left join (select dst, count(*) as n from {edges} group by dst) i on i.dst = n.id left join (select src, count(*) as n from {edges} group by src) o on o.src = n.id",
     # --- history
-    "tmp_02_classifier": f"select kind, count(*) as n, count(case when created >= NOW - 30 * 86400000000 then 1 end) as recent from (select created, {_KIND} as kind from {{prs}}) x group by kind",
     "tmp_06_file_history": f"select repo, path, n, ~r4(n / greatest(1e0, (last_at - first_at) / 8.64e10)) as change_frequency, authors, last_at from {_DAYS} x",
-    "tmp_07_related_commits": "select repo, sha, max(ts) as ts from (select repo, path, sha, ts, row_number() over (partition by repo, path order by ts desc, sha) as r from {commit_files}) x where r <= 3 group by repo, sha",
     "tmp_08_calendar": "select hour_of_day, weekday, count(*) as n from (select ~hour(ts) % 24 as hour_of_day, (~day(ts) + 4) % 7 as weekday from {commits}) x group by hour_of_day, weekday",
     "tmp_08_dense_hours": "with recursive h(hour_of_day) as (select 0 union all select hour_of_day + 1 from h where hour_of_day < 23) select h.hour_of_day, count(c.sha) as n from h left join {commits} c on ~hour(c.ts) % 24 = h.hour_of_day group by h.hour_of_day",
     "tmp_09_velocity": "select repo, week, n, coalesce(lag(n) over (partition by repo order by week), 0) as before_n from (select repo, cast(floor((~day(ts) + 3) / 7e0) as bigint) as week, count(*) as n from {commits} group by 1, 2) x",
     "tmp_10_ownership": "select repo, path, authors, owner, pct, pct >= 80 and authors = 1 as high_risk from (select repo, path, author as owner, ~r0(~div(100 * n, sum(n) over (partition by repo, path))) as pct, count(*) over (partition by repo, path) as authors, row_number() over (partition by repo, path order by n desc, author) as r from (select repo, path, author, count(*) as n from {commit_files} where author is not null group by repo, path, author) x) y where r = 1",
-    "tmp_11_target_history": "select 'commit' as what, sha as id, ts from {commit_files} where path like 'lib/%' union select 'pull_request', id, merged from {prs} where merged is not null",
     # --- impact, signals, drift, load
-    "imp_02_boundary": "select e.src, e.dst, a.layer as src_layer, b.layer as dst_layer from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer and a.layer > b.layer",
     "inv_01_passed": "select r.rule from (select 'a' as rule, 120 as cap union all select 'b', 100000) r where not exists (select 1 from {sources} f where f.lines > r.cap)",
     "drf_03_trajectory": "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, ~r1(~clamp(n_files * 2 + additions / 20e0)) as score from {commits}) x",
-    "hot_02_hot_impact": "select layer, count(*) as touched, ~r1(~div(100 * count(case when size > 500 then 1 end), count(*))) as hot_pct from {nodes} where id in (select dst from {edges} group by dst having count(*) >= 2) group by layer",
-    "chg_01_changelog": f"select kind, id, title from (select id, title, merged, {_KIND} as kind from {{prs}} where merged is not null) x where kind not in ('chore','unknown')",
-    "mon_01_packages": "select a.layer as src_package, b.layer as dst_package, count(*) as links from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer group by a.layer, b.layer",
     "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",
     # --- delivery
-    "eng_01_delivery": "select d.repo, count(distinct d.id) as deployments, coalesce(~r0(median((d.created - p.first_commit) / 3.6e9)), 0) as lead_hours, ~r1(~div(100 * count(distinct i.dep), count(distinct d.id))) as failure_pct from {deps} d left join {dep_prs} l on l.dep = d.id left join {prs} p on p.id = l.pr and p.first_commit <= d.created left join {inc_deps} i on i.dep = d.id where d.status = 'success' and d.created >= NOW - 90 * 86400000000 group by d.repo",
     "eng_01_restore": "select repo, ~r1(median((resolved - created) / 3.6e9)) as restore_hours from {incs} where resolved is not null and created is not null group by repo",
-    "eng_03_funnel": "select repo, ~r1(avg((first_review - created) / 3.6e9)) as pickup_hours, ~r1(avg(lines)) as size, ~r1(~div(100 * count(case when lines >= 500 or files >= 20 then 1 end), count(*))) as large_pct, count(case when merged is null and closed is null and created < NOW - 3 * 86400000000 then 1 end) as stale, ~r1(~div(100 * count(case when ~match(lower(title), 'hotfix') then 1 end), count(*))) as hotfix_pct from {prs} group by repo",
     "eng_05_after_hours": "select repo, ~r1(~div(100 * count(case when ~hour(merged) % 24 < 7 or ~hour(merged) % 24 >= 18 or (~day(merged) + 4) % 7 in (0, 6) then 1 end), count(*))) as after_hours from {prs} where merged is not null group by repo",
     "eng_06_timeline": "select d.id, d.repo, d.created, count(i.inc) as incidents from {deps} d left join {inc_deps} i on i.dep = d.id where d.created is not null group by d.id, d.repo, d.created order by d.created desc, d.id limit 50",
     "eng_07_fallback": "select p.repo, p.id, p.merged as created, 'merge_heuristic' as source from {prs} p where p.merged is not null and p.base_branch = 'main' and not exists (select 1 from {deps} d where d.repo = p.repo)",
-    "eng_08_overview": "select count(*) as repos, ~r1(avg(n)) as avg_deployments, sum(n) * 1 as deployments from (select repo, count(*) as n from {deps} group by repo) x",
-    "jir_01_flow": "select status, count(*) as visits, ~r1(sum(hours)) as hours from (select dest as status, (coalesce(lead(ts) over (partition by issue_key order by ts, history_id), NOW) - ts) / 3.6e9 as hours from {moves}) x group by status",
-    "jir_02_work_items": "select issue_key, min(born) as born, min(case when dest in ('in progress','selected for development') then ts end) as started, max(case when dest = 'done' then ts end) as done, count(case when frm = 'done' and dest <> 'done' then 1 end) as reopened from {moves} group by issue_key",
-    "jir_05_projects": "select project_key, count(distinct issue_key) as issues, count(*) as changes, count(distinct field) as fields from {changes} group by project_key",
     "jir_06_severity": "select id, case when ~match(lower(summary), 'sev ?1|critical|outage') then 'critical' when ~match(lower(summary), 'sev ?2|major|stale') then 'high' else 'medium' end as mapped, ~get(summary, '([A-Z]+-[0-9]+)') as issue from {incs}",
-    "lrn_01_plan": "select path, ~r4(score / max(score) over ()) as confidence from (select c.path, sum(1e0 / p.place) as score from (select repo, sha, row_number() over (partition by repo order by n_files desc, sha) as place from {commits}) p join {commit_files} c on c.repo = p.repo and c.sha = p.sha where p.place <= 20 group by c.path) x order by confidence desc, path limit 8",
     "adm_01_status": "select repo, max(ts) as analysed_at, NOW - max(ts) > 86400000000 as stale, count(*) as commits from {commits} group by repo",
     "str_05_tumbling": "select cast(floor(ts / 3.6e9) as bigint) as hour, event_type, count(*) as n from {events_} group by 1, 2",
     "str_05_sliding": "select w * 3600000000 as window_start, count(*) as n from (select ~hour(ts) as w from {events_} union all select ~hour(ts) - 1 from {events_}) x group by w",

@@ -57,13 +57,6 @@ def sem_07_excerpts(s: SparkSession, d: str) -> DataFrame:
     return rel.docs(s, d).select("doc_id", F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 320).alias("excerpt"))
 
 
-def lrn_02_locate(s: SparkSession, d: str) -> DataFrame:
-    """Files of past pull requests whose titles share terms with an intent."""
-    want = F.array(*map(F.lit, search.tokens_of("sync stale handler")))
-    p = rel.prs(s, d).select("id", "repo", F.size(F.array_intersect(search.tokens("title"), want)).alias("shared")).filter("shared > 0")
-    return p.groupBy("repo").agg(F.sum("shared").alias("score"), F.count("*").alias("requests")).orderBy(F.desc("score"), "repo").limit(8)
-
-
 def cog_05_dispersion(s: SparkSession, d: str) -> DataFrame:
     """Over how many top folders the terms of a folder's symbols spread."""
     t = rel.symbols(s, d).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("top"), F.explode(search.tokens("name")).alias("token")).distinct()

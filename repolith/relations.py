@@ -122,13 +122,37 @@ def index_files(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "semantic_documents").filter("doc_type = 'file'").select("path", "excerpt").distinct()
 
 
+def pr_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows of pull requests as they came, repeats and earlier states among them."""
+    t = table(s, d, "pull_requests")
+    return t.select("id", repo_key("repo").alias("repo"), "pr_number", F.lower("state").alias("state"), micros("created_at").alias("created"), micros("merged_at").alias("merged"), micros("closed_at").alias("closed"), micros("first_review_at").alias("first_review"))
+
+
+def dep_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows of deployments as they came."""
+    t = table(s, d, "deployments")
+    return t.select("id", repo_key("repo").alias("repo"), F.lower(F.trim("environment")).alias("env"), F.lower(F.trim("status")).alias("status"), micros("created_at").alias("created"), micros("updated_at").alias("updated"))
+
+
+def sprint_moves(s: SparkSession, d: str) -> DataFrame:
+    """When issues entered and left sprints; equal events are one."""
+    t = table(s, d, "sprint_events").select("issue_key", "project_key", "sprint_id", F.lower(F.trim("event_type")).alias("kind"), micros("event_at").alias("ts"))
+    return t.filter("ts is not null and kind in ('enter', 'leave')").distinct()
+
+
+def doc_lines(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n, line) of documents in unix line ends."""
+    t = table(s, d, "documents").select("doc_id", "source", F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n").alias("l"))
+    return t.select("doc_id", "source", F.posexplode("l").alias("p", "line")).select("doc_id", "source", (F.col("p") + 1).cast("long").alias("n"), "line")
+
+
 def part_versions(s: SparkSession, d: str) -> DataFrame:
     """What a supplier ships of a part stands for the version that a package needs of a dependency."""
     return table(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.concat("l_returnflag", "l_linestatus").alias("version")).distinct()
 
 
 BUILD: dict[str, Build] = {
-    "index_files": index_files, "part_versions": part_versions,
+    "index_files": index_files, "part_versions": part_versions, "pr_rows": pr_rows, "dep_rows": dep_rows, "sprint_moves": sprint_moves, "doc_lines": doc_lines,
    
     "commit_files": commit_files, "commits": commits, "prs": prs, "deps": deps, "incs": incs, "changes": changes, "moves": moves, "sources": sources, "source_lines": source_lines, "symbols_": symbols, "nodes": nodes, "edges": edges, "docs": docs, "events_": events,
     "pr_keys": _links("pull_requests", "issue_keys", ("pr", "issue")), "dep_prs": _links("deployments", "linked_pull_request_ids", ("dep", "pr")), "inc_keys": _links("incidents", "issue_keys", ("inc", "issue")), "inc_deps": _links("incidents", "linked_deployment_ids", ("inc", "dep")), "inc_labels": _links("incidents", "labels", ("inc", "label")),
@@ -136,6 +160,10 @@ BUILD: dict[str, Build] = {
 
 SQL: dict[str, str] = {
     "index_files": "select distinct path, excerpt from semantic_documents where doc_type = 'file'",
+    "pr_rows": f"select id, {R} repo, pr_number, lower(state) state, epoch_us(created_at) created, epoch_us(merged_at) merged, epoch_us(closed_at) closed, epoch_us(first_review_at) first_review from pull_requests",
+    "dep_rows": f"select id, {R} repo, lower(trim(environment)) env, lower(trim(status)) status, epoch_us(created_at) created, epoch_us(updated_at) updated from deployments",
+    "sprint_moves": "select distinct issue_key, project_key, sprint_id, lower(trim(event_type)) kind, epoch_us(event_at) as ts from sprint_events where event_at is not null and lower(trim(event_type)) in ('enter','leave')",
+    "doc_lines": "select doc_id, source, generate_subscripts(l,1)::bigint n, unnest(l) line from (select doc_id, source, string_split(replace(coalesce(text,''),chr(13)||chr(10),chr(10)),chr(10)) l from documents)",
     "part_versions": "select distinct l_partkey part, l_suppkey supplier, l_returnflag || l_linestatus as version from lineitem",
     "commit_files": f"select {R} repo, sha, {P} path, coalesce(max(additions),0) additions, coalesce(max(deletions),0) deletions, min(author) author, min(epoch_us(committed_at)) as ts, max(is_merge) is_merge, min(status) status from commit_changes where repo is not null and sha is not null and path is not null group by 1,2,3",
     "commits": "select repo, sha, min(author) author, min(ts) as ts, max(is_merge) is_merge, count(*) n_files, sum(additions)::bigint additions, sum(deletions)::bigint deletions from commit_files group by 1,2",
