@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from repolith import relations
 
 
+#: Tools by name: the report each runs and the parameters it takes.
+TOOLS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "scan": ("src_04_file_rows", ("file_id",)), "impact": ("imp_05_changed_symbols", ("repo", "path", "sha")), "context": ("jn_03_file_context", ("file_id",)), "validate": ("inv_01_invariants", ("rule", "repo", "path")), "signals": ("sig_01_signals", ("rule", "severity")),
+    "tests": ("tst_02_prioritise", ("repo", "path")), "dependencies": ("gr_01_dependents", ("id",)), "hotpaths": ("hot_01_hot_paths", ("category", "role")), "complexity": ("cpx_05_file_score", ("file_id",)), "refactor_plan": ("ref_01_plan", ()), "memory": ("src_24_memory", ("source",)), "drift": ("drf_01_report", ()),
+    "query": ("", ("text", "limit")), "semantic_search": ("", ("text", "limit")), "review_context": ("imp_06_review_context", ("repo", "sha", "path")), "detect_changes": ("src_12_content_changes", ("change", "path")), "sql": ("", ("text",)), "history": ("tmp_06_file_history", ("repo", "path")),
+    "co_changes": ("jn_17_ratios", ("repo", "path_a", "path_b")), "volatility": ("tmp_05_volatility", ("repo", "path")), "plan": ("lrn_01_plan", ()), "locate": ("lrn_02_locate", ()), "embed_graph": ("sem_02_vectors", ("doc_id",)), "docs_section": ("src_27_sections", ("doc_id", "slug")), "graph_stats": ("gr_19_stats", ()),
+}
+
+
 class Engine:
     """Reports and relations of a data folder.
 
@@ -37,6 +46,36 @@ class Engine:
                 self.relation(name).createOrReplaceTempView(name)
         return self.spark.sql(text.rstrip().rstrip(";"))
 
+    def call(self, tool: str, **params) -> DataFrame:
+        """Run one of TOOLS; parameters that it doesn't have, or lacks, are an error.
+
+        ``path``, ``repo`` and ``name`` keep the rows with that value.
+        """
+        if tool not in TOOLS:
+            raise ValueError(f"unknown tool {tool!r}")
+        report, allowed = TOOLS[tool]
+        if unknown := set(params) - set(allowed):
+            raise ValueError(f"{tool} has no {sorted(unknown)}")
+        if tool == "sql":
+            return self.sql(params["text"])
+        if tool in ("query", "semantic_search"):
+            return self.search(params["text"], int(params.get("limit", 10)), tool == "query")
+        d = self.report(report)
+        for k, v in params.items():
+            if k not in d.columns:
+                raise ValueError(f"{tool} has no {k}")
+            d = d.filter(d[k] == v)
+        return d
+
+    def search(self, text: str, k: int = 10, lexical_too: bool = True) -> DataFrame:
+        """Documents for a question, by hashed vectors, or fused with the lexical ranking."""
+        from repolith.operators import search
+
+        docs = self.relation("docs")
+        if lexical_too:
+            return search.hybrid(docs, "doc_id", "text", [text], k)
+        return search.fused([search.semantic(search.hashed_vectors(docs, "doc_id", "text"), "doc_id", [text])], "doc_id", k)
+
     def reports(self) -> list[str]:
         return sorted(_reports())
 

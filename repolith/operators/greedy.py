@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 def within_budget(items: DataFrame, group: str, item: str, priority: str, cost: str, budget: float) -> DataFrame:
     """(group, item, place): by falling priority each item that still fits the budget; ties by item.
 
-    Only items that can fit at all, and of each cost the ones the budget can hold, go to the
-    group's task; null costs and priorities are left out.
+    Only items that can fit at all go to the group's task, without their other columns; null
+    costs and priorities are left out.
     """
 
     def choose(d: pd.DataFrame) -> pd.DataFrame:
@@ -49,3 +49,17 @@ def star_clusters(pairs: DataFrame, group: str, a: str, b: str, weight: str, mos
         return pd.DataFrame(rows, columns=[group, "anchor", "member"])
 
     return pairs.select(group, a, b, weight).dropna().groupBy(group).applyInPandas(choose, f"{group} string, anchor string, member string")
+
+
+def test_costs(tests: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """(path, seconds, flakiness) of tests (path): by their runs (path, seconds, failed) where there are any.
+
+    Without runs an integration test takes ten seconds, another two. Flakiness is the share
+    of failed runs, 0 below five of them.
+    """
+    usual = F.when(F.col("path").rlike("integration|e2e"), 10.0).otherwise(2.0)
+    if history is None:
+        return tests.select("path", usual.alias("seconds"), F.lit(0.0).alias("flakiness")).distinct()
+    runs = history.groupBy("path").agg(F.avg("seconds").alias("mean"), F.count("*").alias("n"), F.count_if("failed").alias("bad"))
+    flaky = F.when(F.col("n") >= 5, F.col("bad") / F.col("n")).otherwise(0.0)
+    return tests.select("path").distinct().join(runs, "path", "left").select("path", F.coalesce("mean", usual).alias("seconds"), F.coalesce(flaky, F.lit(0.0)).alias("flakiness"))

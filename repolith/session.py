@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "4g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
@@ -27,12 +28,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "4g"
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    the session has none (tests, a laptop) a folder of this machine is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
+    without one (tests, a laptop) gets a folder of this machine; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith(("local[", "local-cluster")) and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="repolith-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 

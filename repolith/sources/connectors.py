@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import re
 import subprocess
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from repolith.sources.text import next_link
+
 _LOG = "sha string, author string, at long, subject string, is_merge boolean, is_revert boolean, reverts_sha string, path string, additions long, deletions long"
 
 
@@ -63,9 +67,10 @@ class PagedJson(DataSource):
     """Rows of a collection that comes in pages: files ``0.json``, ``1.json``, ... below each folder.
 
     A page is a list, or an object with ``values`` and perhaps ``next`` (the next page's
-    name). Options ``path`` (folders, by commas, one partition each) and ``max`` (items of a
-    folder; more set ``truncated``). A page that is named twice ends the reading. The value
-    column holds each item as JSON.
+    name). A Link header kept beside a page (``0.json.link``) names the next one too. Options
+    ``path`` (folders, by commas, one partition each), ``max`` (items of a folder) and
+    ``budget_ms`` (time for a folder); what goes beyond sets ``truncated``. A page that is named
+    twice ends the reading. The value column holds each item as JSON.
     """
 
     @classmethod
@@ -82,24 +87,61 @@ class PagedJson(DataSource):
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folders, self.most = options["path"].split(","), int(options.get("max", 1 << 62))
+        self.budget = float(options.get("budget_ms", "inf")) / 1000
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f.strip()) for f in self.folders]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        folder, page, seen, n = Path(partition.value), "0.json", set(), 0
+        folder, page, seen, n, began = Path(partition.value), "0.json", set(), 0, time.monotonic()
         while page and page not in seen and (folder / page).exists():
             seen.add(page)
             data = json.loads((folder / page).read_text())
             values = data if isinstance(data, list) else data.get("values", [])
             more = f"{int(page.split('.')[0]) + 1}.json" if isinstance(data, list) and re.fullmatch(r"\d+\.json", page) else (data.get("next") if isinstance(data, dict) else None)
+            beside = folder / f"{page}.link"
+            if beside.exists():
+                address = next_link(beside.read_text())
+                more = address.rpartition("/")[2] if address else None
+            late = time.monotonic() - began > self.budget
             for i, v in enumerate(values):
                 if n >= self.most:
                     return
                 n += 1
-                cut_off = n == self.most and (i + 1 < len(values) or bool(more and (folder / more).exists()))
+                last = i + 1 == len(values)
+                cut_off = (n == self.most or late and last) and (i + 1 < len(values) or bool(more and (folder / more).exists()))
                 yield (folder.name, page, json.dumps(v), cut_off)
-            page = more
+            page = None if late else more
+
+
+_REQUEST = "number long, title string, state string, draft boolean, user struct<login string>, created_at timestamp, updated_at timestamp, merged_at timestamp, closed_at timestamp, merge_commit_sha string, head struct<ref string, sha string>, base struct<ref string>, additions long, deletions long, changed_files int, reviews array<struct<submitted_at timestamp, state string>>"
+_DEPLOYMENT = "id long, environment string, sha string, created_at timestamp, statuses array<struct<state string, created_at timestamp>>"
+#: What the states of a deployment mean.
+STATES = {"success": "success", "active": "success", "inactive": "success", "failure": "failure", "error": "failure", "queued": "pending", "pending": "pending", "waiting": "pending", "in_progress": "pending"}
+
+
+def pull_requests(spark: SparkSession, folders: list[str], since_us: int = 0) -> DataFrame:
+    """Requests of repositories (one folder of pages each): the newest state of each number that was updated since then.
+
+    ``first_review`` is the first submitted review; without reviews it is null.
+    """
+    d = spark.read.format("paged_json").option("path", ",".join(folders)).load().select(F.col("collection").alias("repo"), F.from_json("value", _REQUEST).alias("r")).select("repo", "r.*")
+    newest = Window.partitionBy("repo", "number").orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("merged_at"))
+    d = d.filter("number is not null").withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k")
+    state = F.when(F.col("merged_at").isNotNull(), "merged").otherwise(F.col("state"))
+    d = d.filter(F.unix_micros("updated_at") >= since_us).withColumns({"state": state, "first_review": F.array_min(F.transform("reviews", lambda x: x["submitted_at"])), "review_count": F.coalesce(F.size("reviews"), F.lit(0))})
+    return d.select("repo", "number", "title", F.col("user.login").alias("author"), "state", "draft", "created_at", "updated_at", "merged_at", "closed_at", "merge_commit_sha", F.col("head.ref").alias("head_branch"), F.col("head.sha").alias("head_sha"), F.col("base.ref").alias("base_branch"), "additions", "deletions", "changed_files", "first_review", "review_count")
+
+
+def deployments(spark: SparkSession, folders: list[str], since_us: int = 0, environments: list[str] | None = None) -> DataFrame:
+    """Deployments created since then in the given environments (case ignored; all, without a list), with the meaning of their latest state."""
+    d = spark.read.format("paged_json").option("path", ",".join(folders)).load().select(F.col("collection").alias("repo"), F.from_json("value", _DEPLOYMENT).alias("r")).select("repo", "r.*")
+    d = d.filter(F.unix_micros("created_at") >= since_us)
+    if environments:
+        d = d.filter(F.lower("environment").isin([e.lower() for e in environments]))
+    latest = F.element_at(F.array_sort(F.transform("statuses", lambda x: F.struct(x["created_at"].alias("at"), x["state"].alias("state")))), -1)["state"]
+    meaning = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    return d.select("repo", "id", "environment", "sha", "created_at", F.coalesce(meaning[F.when(F.size("statuses") > 0, latest)], F.lit("unknown")).alias("status"))
 
 
 def register(spark: SparkSession) -> None:

@@ -31,6 +31,25 @@ def debounced(changes: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def reanalysed(changes: DataFrame, reports: dict[str, Callable[[DataFrame], DataFrame]], sink: Callable[[str, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run batch reports anew for the paths that each micro-batch changed.
+
+    A report gets the batch's paths with their last change (path, type, at) and joins what it
+    needs; ``sink`` takes its name, its rows and the batch id. A report runs once a batch,
+    however many paths changed.
+    """
+
+    def one(batch: DataFrame, i: int) -> None:
+        last = last_per_path(batch).persist()
+        try:
+            for name, report in reports.items():
+                sink(name, report(last), i)
+        finally:
+            last.unpersist()
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed(events: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts per key in tumbling or sliding windows; rows later than ``late`` are dropped."""
     return events.withWatermark(at, late).groupBy(F.window(at, size, slide) if slide else F.window(at, size), *keys).agg(F.count("*").alias("n"))
