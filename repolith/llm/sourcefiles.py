@@ -70,13 +70,15 @@ def _valid_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 _STR = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
 _BLOCK = r"/\*[\s\S]*?\*/"
+#: Strings that end on their line go with the code around them; a Java text block isn't one.
+_DOUBLE, _SINGLE = r"\"(?!\"\")(?:[^\"\\\n]|\\[^\n])*+\"", r"'(?:[^'\\\n]|\\[^\n])*+'"
 #: Coarse tokens that together are the whole text. Order matters.
 _LEXERS = {
-    "script": rf"{_BLOCK}|//[^\n]*|{_STR}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^{{}}`\"']|{_STR}|`[^`]*`|\{{[^{{}}]*\}})*+\}})*+`"
-    r"|(?<=[=(,:;!&|?\[{}>]\s{0,4}|return\s{1,4})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*|[{}]|[^\"'`/{}]++|[\s\S]",
-    "go": rf"//[^\n]*(?:\n[ \t]*//[^\n]*)*+|{_BLOCK}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*+)'|[{{}}]|[^\"'`/{{}}]++|[\s\S]",
-    "java": rf"{_BLOCK}|//[^\n]*|\"\"\"[\s\S]*?\"\"\"|{_STR}|[{{}}]|[^\"'/{{}}]++|[\s\S]",
-    "rust": rf"///(?!/)[^\n]*(?:\n[ \t]*///(?!/)[^\n]*)*+|//[^\n]*|{_BLOCK}|\br(#+)\"[\s\S]*?\"\1|\br\"[^\"]*\"|\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\"|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F{{}}_]*+)'|[{{}}]|(?:[^\"'/{{}}r]|\Br|r(?![#\"]))++|[\s\S]",
+    "script": rf"{_BLOCK}|//[^\n]*|(?:[^\"'`/{{}}]++|{_DOUBLE}|{_SINGLE})++|{_STR}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^{{}}`\"']|{_STR}|`[^`]*`|\{{[^{{}}]*\}})*+\}})*+`"
+    r"|(?<=[=(,:;!&|?\[{}>]\s{0,4}|return\s{1,4})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*|[{}]|[\s\S]",
+    "go": rf"//[^\n]*(?:\n[ \t]*//[^\n]*)*+|{_BLOCK}|(?:[^\"'`/{{}}]++|{_DOUBLE})++|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*+)'|[{{}}]|[\s\S]",
+    "java": rf"{_BLOCK}|//[^\n]*|(?:[^\"'/{{}}]++|{_DOUBLE}|{_SINGLE})++|\"\"\"[\s\S]*?\"\"\"|{_STR}|[{{}}]|[\s\S]",
+    "rust": rf"///(?!/)[^\n]*(?:\n[ \t]*///(?!/)[^\n]*)*+|//[^\n]*|{_BLOCK}|(?:[^\"'/{{}}r]|\Br|r(?![#\"])|{_DOUBLE})++|\br(#+)\"[\s\S]*?\"\1|\br\"[^\"]*\"|\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\"|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F{{}}_]*+)'|[{{}}]|[\s\S]",
     "python": r"(?<![\w.])(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\[[^\]]*\])?[ \t]*\((?:[^()\"'#]|\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*|\((?:[^()]|\([^()]*\))*+\))*+\)(?:[^:\n\"'#\[]|\[[^\]]*\]|\"[^\"\n]*\"|'[^'\n]*')*+:(?:[ \t]*(?:#[^\n]*)?\n)*+[ \t]*(?:[rRuU](?=[\"']))?"
     r"|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"
     rf"|{_STR}|#[^\n]*|(?:[^\"'#ad]|(?<=\w)[ad]|[ad](?!(?:sync[ \t]+def|ef)[ \t]))++|[\s\S]",
@@ -153,13 +155,17 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     # documentation above: the tokens of the island that begins with it, up to and with the closing brace
     is_doc = (script & starts("/**") & (F.length("tok") > 4)) | (go & starts("//")) | (rust & starts("///") & ~starts("////"))
     is_comment = starts("//") | starts("/*")
-    quoted = is_string | (rust & c.rlike(r'^r#*"'))
+    # a token of its own is only a string that holds a line end, a template or a raw string
+    longer = F.length("tok") > 1
+    quoted = F.when(py, is_string).when(starts("`"), longer).when(starts('"'), longer & ~c.rlike("^" + _DOUBLE)).when(starts("'"), longer & (go | rust | ~c.rlike("^" + _SINGLE))).otherwise(rust & c.rlike(r'^r#*"'))
+    # what stands in the strings of a line doesn't count
+    plain = F.when(py | (F.instr("tok", '"') == 0) & (F.instr("tok", "'") == 0), c).when(go | rust, F.regexp_replace("tok", _DOUBLE, '""')).otherwise(F.regexp_replace("tok", f"{_DOUBLE}|{_SINGLE}", '""'))
     brace = (c == "{") | (c == "}")
     # of a string only its lines are needed, of other code its parentheses too
-    tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")})
-    paren = F.length(F.replace("tok", F.lit(")"))) - F.length(F.replace("tok", F.lit("(")))
+    tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")}).withColumn("plain", F.when(F.col("class") == "w", plain).otherwise(""))
+    paren = F.length(F.replace("plain", F.lit(")"))) - F.length(F.replace("plain", F.lit("(")))
     # of Go, brackets too: a constraint may hold braces
-    square = F.length(F.replace("tok", F.lit("]"))) - F.length(F.replace("tok", F.lit("[")))
+    square = F.length(F.replace("plain", F.lit("]"))) - F.length(F.replace("plain", F.lit("[")))
     paren = paren + F.when(go, square).otherwise(0)
     tok = tok.withColumns({
         "line": line, "parens": F.sum(F.when(F.col("class") == "w", paren).otherwise(0)).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
@@ -175,7 +181,7 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     ends = F.col("then").isNull() | F.col("then").rlike(r"^[ \t]*(?:\n|;|#|$)")
     isle = tok.filter(F.when(py, is_string & is_def & ends).otherwise(F.col("doc").isNotNull() & (F.col("closed") < F.col("doc.pos"))))
     is_text = F.col("is_doc") | py
-    text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).otherwise(c)
+    text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).when(F.col("class") == "w", F.col("plain")).otherwise(c)
     parts = F.array_sort(F.collect_list(F.when(~is_text, F.struct("pos", text.alias("x")))))
     isle = isle.groupBy("uid", "file_id", "language", F.when(py, F.col("pos")).otherwise(F.col("doc.pos")).alias("at")).agg(
         F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + lines)).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), *([F.max_by("end", "pos").alias("end"), F.max_by("end_at", "pos").alias("end_at"), F.max(F.when(is_text, F.col("off") + F.length("tok"))).alias("doc_off")] if code else []), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
