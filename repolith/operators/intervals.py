@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros
-from repolith.operators.ordered import neighbours
+from repolith.operators.ordered import fits, neighbours
 from repolith.session import cut
 
 #: A tile holds 2**TILE ranks, so never more than 2**(TILE + 1) distinct blocks.
@@ -28,7 +28,8 @@ def stays(events: DataFrame, keys: list[str], kind: str, at: str, bucket_us: int
     e = e.withColumn("_in", (F.col("_kind") == "enter").cast("int")).drop("_kind").distinct()
     bucket = F.floor(F.col("_at") / F.lit(bucket_us))
     e = e.withColumn("_out", F.when(F.col("_in") == 0, F.col("_at")))
-    e = neighbours(e, keys, ["_at", "_in"], bucket, prev=["_in"], after_min=["_out"])
+    e = cut(e)
+    e = neighbours(e, keys, ["_at", "_in"], bucket, prev=["_in"], after_min=["_out"], whole=fits(e, keys))
     return e.filter("_in = 1 and coalesce(prev__in, 0) = 0").select(*keys, F.col("_at").alias("start"), F.col("min_after__out").alias("end"))
 
 
@@ -61,7 +62,10 @@ def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_
     d = cut(d)
     bound = d.select(*keys, F.explode(F.array("_s", "_e")).alias("_t")).distinct()
     at = F.when(F.col("_t") == OPEN, F.lit(1 << 40)).otherwise(F.floor(F.col("_t") / F.lit(bucket_us)))
-    ranks = neighbours(bound, keys, ["_t"], at, number="_r").select(*keys, "_t", "_r")
+    # no later table has more rows of a key than there are bounds
+    bound = cut(bound)
+    whole = fits(bound, keys)
+    ranks = cut(neighbours(bound, keys, ["_t"], at, number="_r", whole=whole).select(*keys, "_t", "_r"))
     lo, hi = ranks.withColumnsRenamed({"_t": "_s", "_r": "_lo"}), ranks.withColumnsRenamed({"_t": "_e", "_r": "_hi"})
     d = d.join(lo, [*keys, "_s"]).join(hi, [*keys, "_e"]).select(*keys, "_lo", "_hi").distinct()
     blocks = dyadic_blocks(d, "_lo", "_hi").select(*keys, "level", "idx").distinct()
@@ -83,11 +87,11 @@ def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_
             .select(*keys, "_tile", F.when(F.col("_n") > 1, F.col("_up")).otherwise(F.col("level")).alias("level"), F.when(F.col("_n") > 1, F.col("_ui")).otherwise(F.col("idx")).alias("idx"))
         )
     runs = blocks.select(*keys, "_tile", F.expr("shiftleft(idx, level)").alias("_from"), F.expr("shiftleft(idx + 1, level)").alias("_to"))
-    runs = neighbours(runs, keys, ["_from"], F.col("_tile"), prev=["_to"], nxt=["_from"])
+    runs = neighbours(runs, keys, ["_from"], F.col("_tile"), prev=["_to"], nxt=["_from"], whole=whole)
     edge = F.expr(
         "filter(array(if(prev__to is null or prev__to < _from, struct(_from as _r, 1 as _opens), null), if(next__from is null or next__from > _to, struct(_to as _r, 0 as _opens), null)), x -> x is not null)"
     )
     edges = runs.select(*keys, F.explode(edge).alias("_x")).select(*keys, "_x._r", "_x._opens").join(ranks, [*keys, "_r"])
-    edges = neighbours(edges.drop("_r"), keys, ["_t"], F.when(F.col("_t") == OPEN, F.lit(1 << 40)).otherwise(F.floor(F.col("_t") / F.lit(bucket_us))), nxt=["_t"])
+    edges = neighbours(edges.drop("_r"), keys, ["_t"], F.when(F.col("_t") == OPEN, F.lit(1 << 40)).otherwise(F.floor(F.col("_t") / F.lit(bucket_us))), nxt=["_t"], whole=whole)
     edges = edges.filter("next__t is not null")
     return edges.select(*keys, F.when(F.col("_opens") == 1, "period").otherwise("gap").alias("span_kind"), F.col("_t").alias("start_us"), F.when(F.col("next__t") == OPEN, F.lit(-1)).otherwise(F.col("next__t")).cast("long").alias("end_us"))

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros
-from repolith.operators.ordered import neighbours
+from repolith.operators.ordered import fits, neighbours
+from repolith.session import cut
 
 DAY = 86_400_000_000
 
@@ -92,13 +93,16 @@ def ledger(log: DataFrame, bucket_us: int = DAY) -> DataFrame:
     valid_to/recorded_to are open. Rows that are valid for no time are left out.
     """
     keys, bucket = ["entity", "attr"], F.floor(F.col("v") / F.lit(bucket_us))
+    log = cut(log)
+    whole = fits(log, keys)
     d = log.withColumn("rec", F.struct("r", "seq"))
-    d = neighbours(d, keys, ["v", "seq"], bucket, prev=["v", "seq", "new"], before_max=["rec"], after_min=["rec"])
+    d = neighbours(d, keys, ["v", "seq"], bucket, prev=["v", "seq", "new"], before_max=["rec"], after_min=["rec"], whole=whole)
     # a cut lies before a row if everything earlier in valid order was also recorded earlier
     low = F.when(F.col("min_after_rec").isNull() | (F.col("rec") < F.col("min_after_rec")), F.col("rec")).otherwise(F.col("min_after_rec"))
     d = d.withColumn("cut", F.when(F.col("max_before_rec").isNull() | (F.col("max_before_rec") < low), F.struct("v", "seq")))
-    d = neighbours(d, keys, ["v", "seq"], bucket, nxt=["cut"], up_to_max=["cut"])
+    d = neighbours(d, keys, ["v", "seq"], bucket, nxt=["cut"], up_to_max=["cut"], whole=whole)
     d = d.withColumns({"alone": F.col("cut").isNotNull() & (F.col("next_cut").isNotNull() | F.col("min_after_rec").isNull()), "cut_v": F.col("max_upto_cut.v"), "cut_seq": F.col("max_upto_cut.seq")})
+    d = cut(d)
     cols = ["entity", "attr", "born", "v", "seq", "old", "new", "r"]
     near = d.filter("alone").select(*cols, F.col("prev_v").alias("pv"), F.col("prev_seq").alias("pseq"), F.col("prev_new").alias("pnew"), F.lit(None).cast("long").alias("nv"))
     late = d.filter("not alone").select(*cols, "prev_v", "prev_seq", "prev_new", "cut_v", "cut_seq")
@@ -127,7 +131,9 @@ def versions(book: DataFrame, recorded: int | None = None, bucket_us: int = DAY)
     """Believed versions with successive equal values (trimmed, ignoring case, null as empty) made one."""
     keys, bucket = ["entity", "attr"], F.floor(F.col("valid_from") / F.lit(bucket_us))
     d = as_of(book, recorded).withColumn("norm", F.lower(F.trim(F.coalesce("value", F.lit("")))))
-    d = neighbours(d.select(*keys, "value", "norm", "valid_from"), keys, ["valid_from"], bucket, prev=["norm"])
+    d = cut(d.select(*keys, "value", "norm", "valid_from"))
+    whole = fits(d, keys)
+    d = neighbours(d, keys, ["valid_from"], bucket, prev=["norm"], whole=whole)
     d = d.filter("prev_norm is null or prev_norm <> norm").drop("prev_norm")
-    d = neighbours(d, keys, ["valid_from"], bucket, nxt=["valid_from"])
+    d = neighbours(d, keys, ["valid_from"], bucket, nxt=["valid_from"], whole=whole)
     return d.select(*keys, "value", "valid_from", F.coalesce("next_valid_from", F.lit(-1)).cast("long").alias("valid_to"))

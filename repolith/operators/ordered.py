@@ -1,9 +1,10 @@
 """Ordered analytics on keys that may be hot.
 
-A plain window puts all rows of a key into one task. Here the key's rows are cut
-into buckets of the order (time, position); windows run within buckets and, over one
-summary row a bucket, across them. A key that holds a third of all rows is then spread
-over as many tasks as it has buckets.
+A plain window puts all rows of a key into one task. Where the largest key has been counted
+and fits (``fits``), that is the cheapest plan: one shuffle, however many columns are added.
+Beyond that, the key's rows are cut into buckets of the order (time, position); windows run
+within buckets and, over one summary row a bucket, across them, so a key that holds a third
+of all rows is spread over as many tasks as it has buckets. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,14 @@ from pyspark.sql import functions as F
 
 from repolith.session import cut
 
+#: Rows of a key that one task may order.
+MOST = 100_000
+
+
+def fits(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Has no key more than MOST rows? Counts them all, partly before the shuffle; read ``df`` from a cut or a source."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= MOST
+
 
 def neighbours(
     df: DataFrame,
@@ -28,6 +37,7 @@ def neighbours(
     up_to_max: Sequence[str] = (),
     number: str | None = None,
     up_to_sum: Sequence[str] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """Add values of neighbouring rows in ``order`` within ``keys``.
 
@@ -35,12 +45,21 @@ def neighbours(
     ``max_before_c``: maximum over all earlier rows; ``min_after_c``: minimum over all
     later rows; ``max_upto_c``, ``sum_upto_c``: over earlier rows and this one. ``number``: name
     of a row number from 0. ``bucket`` must not decrease along ``order``. Rows whose keys
-    are null are dropped. ``order`` should be total; ties come in any order.
+    are null are dropped. ``order`` should be total; ties come in any order. ``whole`` is for
+    keys that ``fits`` has counted: plain windows then, without buckets.
     """
     keys, order = list(keys), list(order)
-    d = df.withColumn("_b", bucket)
+    d = df
     for k in keys:
         d = d.filter(F.col(k).isNotNull())
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        back, ahead, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+        add = [F.lag(c).over(w).alias(f"prev_{c}") for c in prev] + [F.lead(c).over(w).alias(f"next_{c}") for c in nxt]
+        add += [F.max(c).over(back).alias(f"max_before_{c}") for c in before_max] + [F.max(c).over(upto).alias(f"max_upto_{c}") for c in up_to_max]
+        add += [F.min(c).over(ahead).alias(f"min_after_{c}") for c in after_min] + [F.sum(c).over(upto).alias(f"sum_upto_{c}") for c in up_to_sum]
+        return d.select("*", *add, *([(F.row_number().over(w) - 1).cast("long").alias(number)] if number else []))
+    d = d.withColumn("_b", bucket)
     d = cut(d.repartition(*keys, "_b"))  # read twice below: without the cut, chained calls would double the work each time
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)

@@ -31,7 +31,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def rolling_hash(token: Column) -> Column:
-    """The 32-bit hash h = 31 h + c with wrap-around, as a signed long."""
+    """The 32-bit hash h = 31 h + c with wrap-around, as a signed long. ASCII only, as ``tokens`` are."""
     wrap = lambda h, c: F.pmod(h * 31 + F.ascii(c).cast("long") + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
     return F.aggregate(F.split(token, ""), F.lit(0).cast("long"), wrap)
 
@@ -43,21 +43,29 @@ def hash_of(token: str) -> int:
     return h
 
 
+def _weighted(docs: DataFrame, key: str, text: str, per_token: list[Column]) -> DataFrame:
+    """(key, token, weight) and what ``per_token`` makes of each distinct token."""
+    t = docs.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    df = t.groupBy("token").agg(F.count("*").alias("df")).select("*", *per_token)
+    total = docs.count()
+    w = (F.log("n") + 1) * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)
+    return t.join(df, "token").withColumn("weight", w).drop("n", "df")
+
+
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, weight): tf 1 + ln n times idf ln((N + 1) / (df + 1)) + 1."""
-    t = docs.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    df = t.groupBy("token").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))  # one row
-    w = (F.log("n") + 1) * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
-    return t.join(df, "token").crossJoin(F.broadcast(total)).select(key, "token", w.alias("weight"))
+    return _weighted(docs, key, text, []).select(key, "token", "weight")
 
 
 def hashed_vectors(docs: DataFrame, key: str, text: str, dims: int = DIMENSIONS) -> DataFrame:
-    """(key, idx, value): nonzero entries of the normalised hashed vectors. Texts without terms have none."""
-    w = term_weights(docs, key, text)
-    h = w.select("token").distinct().withColumn("h", rolling_hash(F.col("token")))
-    h = h.select("token", (F.abs("h") % dims).alias("idx"), F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    v = w.join(h, "token").groupBy(key, "idx").agg(F.sum(F.col("weight") * F.col("sign")).alias("value"))
+    """(key, idx, value): nonzero entries of the normalised hashed vectors. Texts without terms have none.
+
+    A token is hashed once, however many documents have it; a document's entries are summed
+    and normalised in one partition.
+    """
+    w = _weighted(docs, key, text, [rolling_hash(F.col("token")).alias("h")])
+    part = F.col("weight") * F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
+    v = w.select(key, (F.abs("h") % dims).alias("idx"), part.alias("part")).repartition(key).groupBy(key, "idx").agg(F.sum("part").alias("value"))
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
     return v.select(key, "idx", F.try_divide("value", norm).alias("value")).filter("value <> 0")
 
@@ -114,6 +122,7 @@ def fused(lists: list[DataFrame], key: str, k: int, constant: int = RRF) -> Data
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def hybrid(docs: DataFrame, key: str, text: str, queries: list[str], k: int = 10) -> DataFrame:
-    """Lexical and semantic ranking fused."""
-    return fused([lexical(docs, key, text, queries), semantic(hashed_vectors(docs, key, text), key, queries)], key, k)
+def hybrid(docs: DataFrame, key: str, text: str, queries: list[str], k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+    """Lexical and semantic ranking fused. ``vectors`` is a kept index (``store.read_index``); without one they are made."""
+    vectors = hashed_vectors(docs, key, text) if vectors is None else vectors
+    return fused([lexical(docs, key, text, queries), semantic(vectors, key, queries)], key, k)

@@ -14,3 +14,12 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     return s
+
+
+@pytest.fixture(params=["keys fit", "keys are split"])
+def sizes(request, monkeypatch):
+    """Run a test with plain windows and with keys cut into buckets."""
+    from repolith.operators import ordered
+
+    if request.param == "keys are split":
+        monkeypatch.setattr(ordered, "MOST", 0)

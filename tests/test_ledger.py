@@ -28,7 +28,7 @@ def replay(rows, recorded):
     return out
 
 
-def test_ledger_at_every_recorded_time(spark):
+def test_ledger_at_every_recorded_time(spark, sizes):
     rng = random.Random(5)
     rows = []
     for h in range(60):
@@ -42,17 +42,17 @@ def test_ledger_at_every_recorded_time(spark):
     assert now == replay(rows, 10**9)
 
 
-def test_nothing_is_overwritten(spark):
+def test_nothing_is_overwritten(spark, sizes):
     rows = [(1, "a", 0, 10, "f", "x", "y", 11), (2, "a", 0, 30, "f", "y", "z", 31), (3, "a", 0, 20, "f", "y", "w", 50)]
     book = [(r.value, r.valid_from, r.valid_to, r.recorded_from, r.recorded_to) for r in ledger.ledger(log(spark, rows)).collect()]
     assert ("y", 10, 30, 31, 50) in book and ("y", 10, 20, 50, None) in book and ("w", 20, 30, 50, None) in book
 
 
-def test_versions_merge_equal_values_and_ties(spark):
+def test_versions_merge_equal_values_and_ties(spark, sizes):
     rows = [(1, "a", 0, 10, " Status", None, "Open ", 10), (1, "a", 0, 10, "status", None, "Open ", 12), (2, "a", 0, 20, "STATUS", "Open", "open", 20), (3, "a", 0, 30, "status", "open", "x", 30), (4, "a", 0, 30, "status", "x", "done", 30), (5, None, 0, 1, "status", "", "", 1), (6, "a", 0, 5, None, "", "", 1)]
     got = sorted((r.value, r.valid_from, r.valid_to) for r in ledger.versions(ledger.ledger(log(spark, rows))).collect() if r.value is not None)
     assert got == [("Open ", 10, 30), ("done", 30, -1)]
 
 
-def test_empty(spark):
+def test_empty(spark, sizes):
     assert ledger.versions(ledger.ledger(log(spark, []))).count() == 0
