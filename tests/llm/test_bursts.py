@@ -1,7 +1,7 @@
 from repolith.llm import nearest
 
 
-def test_bursts_and_voids_meet_few(spark):
+def test_bursts_and_voids_meet_few(spark, sizes):
     """Half of the times come a microsecond apart, half a minute apart: a mean slot would hold the whole burst."""
     n, minute = 3000, 60_000_000
     times = [k for k in range(n)] + [10**9 + k * minute for k in range(n)]

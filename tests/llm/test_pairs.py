@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repolith.llm import cooccurrence, leaks, mixing, nearest, spans, vectors
 
 
-def test_nearest_like_brute_force(spark):
+def test_nearest_like_brute_force(spark, sizes):
     rng = random.Random(4)
     left = [(f"a{i}", rng.choice(["x", "y", None]), rng.choice([None, *range(0, 400, 3)])) for i in range(60)]
     right = [(f"b{i}", rng.choice(["x", "x", "y", "z"]), rng.choice([None, *range(0, 400, 5)])) for i in range(60)]
