@@ -149,7 +149,7 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     starts = lambda s: F.startswith(c, F.lit(s))
     lexed = lambda d: d.select("uid", "file_id", "language", F.posexplode(_lexed(F.col("file_text"))).alias("pos", "tok"))
     lines = F.length("tok") - F.length(F.replace("tok", F.lit("\n")))
-    line = F.lit(1) + F.coalesce(F.sum(lines).over(before), F.lit(0))
+    line = F.lit(1) + F.coalesce(F.sum("nl").over(before), F.lit(0))
     is_string = (starts('"') | starts("'") | starts("`")) & (F.length("tok") > 1)
     script, go, rust = F.col("language").isin("typescript", "javascript", "java"), F.col("language") == "go", F.col("language") == "rust"
     # documentation above: the tokens of the island that begins with it, up to and with the closing brace
@@ -161,14 +161,16 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     # what stands in the strings of a line doesn't count
     plain = F.when(py | (F.instr("tok", '"') == 0) & (F.instr("tok", "'") == 0), c).when(go | rust, F.regexp_replace("tok", _DOUBLE, '""')).otherwise(F.regexp_replace("tok", f"{_DOUBLE}|{_SINGLE}", '""'))
     brace = (c == "{") | (c == "}")
-    # of a string only its lines are needed, of other code its parentheses too
-    tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w")}).withColumn("plain", F.when(F.col("class") == "w", plain).otherwise(""))
-    paren = F.length(F.replace("plain", F.lit(")"))) - F.length(F.replace("plain", F.lit("(")))
+    tok = lexed(t).withColumns({"is_doc": ~py & is_doc, "class": F.when(is_comment, "c").when(quoted, "s").when(brace, "b").otherwise("w"), "size": F.length("tok"), "nl": lines})
+    # what travels of a comment is a mark, of a string its lines
+    marks = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), F.col("nl")), F.lit('"'))).when(F.col("class") == "w", plain).otherwise(c)
+    tok = tok.withColumn("tok", F.when(py | F.col("is_doc"), c).otherwise(marks))
+    paren = F.length(F.replace("tok", F.lit(")"))) - F.length(F.replace("tok", F.lit("(")))
     # of Go, brackets too: a constraint may hold braces
-    square = F.length(F.replace("plain", F.lit("]"))) - F.length(F.replace("plain", F.lit("[")))
-    paren = paren + F.when(go, square).otherwise(0)
+    square = F.length(F.replace("tok", F.lit("]"))) - F.length(F.replace("tok", F.lit("[")))
+    paren = F.when((F.col("class") == "w") & ~py, paren + F.when(go, square).otherwise(0)).otherwise(0)
     tok = tok.withColumns({
-        "line": line, "parens": F.sum(F.when(F.col("class") == "w", paren).otherwise(0)).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
+        "line": line, "parens": F.sum(paren).over(upto), "depth": F.coalesce(F.sum(F.when(c == "{", 1).when(c == "}", -1)).over(before), F.lit(0)),
         "head": F.when(py, F.lag("tok").over(w)), "then": F.when(py, F.lead("tok").over(w)),
     })
     tok = tok.withColumn("doc", F.last(F.when(F.col("is_doc"), F.struct("pos", "parens")), ignorenulls=True).over(upto))
@@ -181,10 +183,9 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     ends = F.col("then").isNull() | F.col("then").rlike(r"^[ \t]*(?:\n|;|#|$)")
     isle = tok.filter(F.when(py, is_string & is_def & ends).otherwise(F.col("doc").isNotNull() & (F.col("closed") < F.col("doc.pos"))))
     is_text = F.col("is_doc") | py
-    text = F.when(F.col("class") == "c", "\x01").when(F.col("class") == "s", F.concat(F.lit('"'), F.repeat(F.lit("\n"), lines), F.lit('"'))).when(F.col("class") == "w", F.col("plain")).otherwise(c)
-    parts = F.array_sort(F.collect_list(F.when(~is_text, F.struct("pos", text.alias("x")))))
+    parts = F.array_sort(F.collect_list(F.when(~is_text, F.struct("pos", c.alias("x")))))
     isle = isle.groupBy("uid", "file_id", "language", F.when(py, F.col("pos")).otherwise(F.col("doc.pos")).alias("at")).agg(
-        F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + lines)).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), *([F.max_by("end", "pos").alias("end"), F.max_by("end_at", "pos").alias("end_at"), F.max(F.when(is_text, F.col("off") + F.length("tok"))).alias("doc_off")] if code else []), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
+        F.max("head").alias("head"), F.max(F.when(py, F.col("line"))).alias("doc_line"), F.max(F.when(is_text, c)).alias("raw"), F.max(F.when(is_text, F.col("line") + F.col("nl"))).alias("doc_end"), F.max(F.when(is_text, F.col("depth"))).alias("depth"), *([F.max_by("end", "pos").alias("end"), F.max_by("end_at", "pos").alias("end_at"), F.max(F.when(is_text, F.col("off") + F.col("size"))).alias("doc_off")] if code else []), F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("rest")
     )
     isle = isle.filter(py | F.col("rest").rlike(r"^[ \t]*\n[ \t]*[^\s\x01]") | (script & F.col("rest").rlike(r"^[ \t]*[^\s\x01]")))
     isle = isle.withColumns({"body": F.regexp_replace(F.regexp_replace("rest", r"^\s+", ""), r"[{}]$", ""), "brace": F.substring("rest", -1, 1)})
@@ -219,7 +220,7 @@ def _block_ends(tok: DataFrame, w: WindowSpec) -> DataFrame:
     level = F.when(brace, F.col("depth") - F.when(c == "}", 1).otherwise(0)).otherwise(-1)
     # on one line with the block before it, as a body is with a return type in braces
     joined = (F.lag("tok").over(w) == "}") | (F.lag("tok").over(w).rlike(r"^[ \t\[\]>]*$") & (F.lag("tok", 2).over(w) == "}"))
-    tok = tok.withColumns({"off": F.coalesce(F.sum(F.length("tok")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "level": level, "fresh": F.when(brace & (c == "{") & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)})
+    tok = tok.withColumns({"off": F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "level": level, "fresh": F.when(brace & (c == "{") & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)})
     at = Window.partitionBy("uid", "level").orderBy("pos")
     tok = tok.withColumn("run", F.sum("fresh").over(at.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("uid", "level", "run")
