@@ -7,7 +7,7 @@
 ~all(x, 'p')    first groups of all matches  ~each(list)        one row an entry
 ~held(x)        last x that isn't null, of the window that follows
 ~split(x, 'p')  parts between matches        ~len(list)         ~sha(x)  sha256 in hex
-~names(x)       values of a group in order, by commas
+~names(x)       values of a group in order, by commas       ~seq(a, b)   whole numbers from a to b
 ~chr(n)              the character of that number
 NOW                  the reports' present: 2025-12-01T00:00Z
 """
@@ -48,11 +48,11 @@ _BOTH = {
     "day": lambda x: f"cast(floor(({x})/8.64e10) as bigint)", "hour": lambda x: f"cast(floor(({x})/3.6e9) as bigint)", "clamp": lambda x: f"greatest(0e0,least(100e0,{x}))",
 }
 _SPARK = {
-    "all": lambda x, p: f"regexp_extract_all({x}, r{p}, 1)", "each": lambda x: f"explode({x})", "held": lambda x: f"last_value({x}) ignore nulls", "split": lambda x, p: f"split({x}, r{p})", "len": lambda x: f"cast(size({x}) as bigint)", "sha": lambda x: f"sha2({x}, 256)", "names": lambda x: f"array_join(array_sort(collect_list({x})), ',')",
+    "all": lambda x, p: f"regexp_extract_all({x}, r{p}, 1)", "each": lambda x: f"explode({x})", "held": lambda x: f"last_value({x}) ignore nulls", "split": lambda x, p: f"split({x}, r{p})", "len": lambda x: f"cast(size({x}) as bigint)", "sha": lambda x: f"sha2({x}, 256)", "seq": lambda a, b: f"sequence({a}, {b})", "names": lambda x: f"array_join(array_sort(collect_list({x})), ',')",
     "chr": lambda x: f"char({x})", "match": lambda x, p: f"regexp_like({x}, r{p})", "sub": lambda x, p, r: f"regexp_replace({x}, r{p}, {r})", "count": lambda x, p: f"cast(regexp_count({x}, r{p}) as bigint)", "get": lambda x, p: f"regexp_extract({x}, r{p}, 1)"
 }
 _DUCK = {
-    "all": lambda x, p: f"regexp_extract_all({x}, {p}, 1)", "each": lambda x: f"unnest({x})", "held": lambda x: f"last_value({x} ignore nulls)", "split": lambda x, p: f"regexp_split_to_array({x}, {p})", "len": lambda x: f"len({x})", "sha": lambda x: f"sha256({x})", "names": lambda x: f"string_agg({x}, ',' order by {x})",
+    "all": lambda x, p: f"regexp_extract_all({x}, {p}, 1)", "each": lambda x: f"unnest({x})", "held": lambda x: f"last_value({x} ignore nulls)", "split": lambda x, p: f"regexp_split_to_array({x}, {p})", "len": lambda x: f"len({x})", "sha": lambda x: f"sha256({x})", "seq": lambda a, b: f"generate_series(cast({a} as bigint), cast({b} as bigint))", "names": lambda x: f"string_agg({x}, ',' order by {x})",
     "chr": lambda x: f"chr({x})", "match": lambda x, p: f"regexp_matches({x}, {p})", "sub": lambda x, p, r: f"regexp_replace({x}, {p}, {r}, 'g')", "count": lambda x, p: f"len(regexp_extract_all({x}, {p}))", "get": lambda x, p: f"regexp_extract({x}, {p}, 1)"
 }
 

@@ -65,9 +65,13 @@ def gr_10_hot_paths(s: SparkSession, d: str) -> DataFrame:
 
 
 def gr_12_processes(s: SparkSession, d: str) -> DataFrame:
-    """From the six modules that import most, the modules within a bounded walk."""
+    """From the six modules that import most, the twelve nearest of a walk of five steps; walks of one step are none."""
     top = rel.edges(s, d).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(6).select(F.col("src").alias("start"))
-    return graph.reach(rel.edges(s, d), top, 5)
+    from pyspark.sql import Window
+
+    steps = Window.partitionBy("start")
+    near = graph.reach(rel.edges(s, d), top, 5).withColumn("place", F.row_number().over(steps.orderBy("depth", "node"))).filter("place <= 12")
+    return near.withColumn("n", F.count("*").over(steps)).filter("n >= 2").select("start", "node", "depth", "place")
 
 
 def gr_21_paths(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +139,7 @@ _raw = {
     "gr_09_package_cycles": "with recursive p as (select distinct a.layer src, b.layer dst from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where a.layer <> b.layer), r(a, b) as (select src, dst from p union select r.a, p.dst from r join p on p.src = r.b) select x.a layer, max(y.b) component from r x join r y on y.a = x.a join r z on z.a = y.b and z.b = x.a where x.a = x.b group by x.a",
     # the shortest way of each entry to an exit, the smallest among equals
     "gr_10_hot_paths": "with recursive ent as (select distinct src from {edges} where src not in (select dst from {edges})), ex as (select distinct dst from {edges} where dst not in (select src from {edges})), w(entry, node, trail, k) as (select src, src, [src], 1 from ent union all select w.entry, e.dst, list_append(w.trail, e.dst), w.k + 1 from w join {edges} e on e.src = w.node where not list_contains(w.trail, e.dst) and w.node not in (select dst from ex)), b as (select entry, min(struct_pack(k := k, trail := trail)) m from w join ex on ex.dst = w.node group by entry) select entry, m.trail[-1] as exit, m.k::bigint steps, array_to_string(m.trail, '>') path from b",
-    "gr_12_processes": "with recursive t as (select src s from {edges} group by src order by count(*) desc, src limit 6), w(start, node, depth) as (select t.s, e.dst, 1 from t join {edges} e on e.src = t.s union select w.start, e.dst, w.depth + 1 from w join {edges} e on e.src = w.node where w.depth < 5) select start, node, min(depth) depth from w group by 1, 2",
+    "gr_12_processes": "with recursive t as (select src s from {edges} group by src order by count(*) desc, src limit 6), w(start, node, depth) as (select t.s, e.dst, 1 from t join {edges} e on e.src = t.s union select w.start, e.dst, w.depth + 1 from w join {edges} e on e.src = w.node where w.depth < 5), m as (select start, node, min(depth) depth from w group by 1, 2), k as (select *, row_number() over (partition by start order by depth, node) place from m) select start, node, depth, place from (select *, count(*) over (partition by start) n from k where place <= 12) x where n >= 2",
     "gr_21_paths": _walk(_FWD, "(values (1000),(1455),(1999))", 3) + "select start, node from m",
     "gr_20_ad_hoc": "select n.path, h.n from (select dst, count(*) n from {edges} group by dst) h join {nodes} n on n.id = h.dst where h.n >= 3",
     "gr_22_subgraph": _walk(_ANY, "(values (12))", 2) + ", k as (select node from m union select 12) select e.src, e.dst, n.size from {edges} e join {nodes} n on n.id = e.dst where e.src in (select node from k) and e.dst in (select node from k) order by n.size desc, e.src, e.dst limit 10",

@@ -39,11 +39,13 @@ relations.derive(
     # sums up to each line; those of a symbol are differences
     line_sums=rf"""select file_id, n, sum(flow) over ({_FILE}) as flow, sum(word) over ({_FILE}) as word, sum(word * depth) over ({_FILE}) as deep, sum(extra) over ({_FILE}) as extra, depth from (
  select file_id, n, {_flow("line")} as flow, case when ~match(line, '{_KEYWORD}') then 1 else 0 end as word, case when ~match(line, '\b(break|continue|goto)\s+\w+') then 1 else 0 end + case when ~match(line, '\b(this|self)\.\w+\(|\brecurs') then 1 else 0 end as extra, sum(delta) over ({_FILE}) - delta as depth from {{line_kinds}}) x""",
+    line_depths=f"select file_id, n, delta, sum(delta) over ({_FILE}) as after_n from {{line_kinds}}",
+    # a line that closes blocks ends all levels down to its depth; a block ends at the next such line of its level
+    block_ends="""select file_id, n, close_n from (select file_id, n, opens, min(case when not opens then n end) over (partition by file_id, level order by n rows between 1 following and unbounded following) as close_n
+ from (select file_id, n, after_n - delta as level, true as opens from {line_depths} where delta > 0 union all select file_id, n, ~each(~seq(after_n, after_n - delta - 1)), false from {line_depths} where delta < 0) x) y where opens""",
     # a symbol ends where the braces it opens close; without any it is its line, in python it lasts to the next symbol
-    symbol_extents=f"""select s.file_id, s.repo, s.path, s.ext, s.name, s.kind, s.n, case when s.ext = 'py' then coalesce(s.nxt - 1, s.lines) else coalesce(min(case when l.n > s.n and l.after_n <= l0.after_n - l0.delta then l.n end), s.n) end as end_n
- from (select c.file_id, c.repo, c.path, c.ext, c.name, c.kind, c.n, f.lines, lead(c.n) over (partition by c.file_id order by c.n) as nxt from {{code_symbols}} c join {{sources}} f on f.file_id = c.file_id where c.kind <> 'impl') s
- left join (select file_id, n, delta, sum(delta) over ({_FILE}) as after_n from {{line_kinds}}) l0 on l0.file_id = s.file_id and l0.n = s.n
- left join (select file_id, n, sum(delta) over ({_FILE}) as after_n from {{line_kinds}} where ext <> 'py') l on l.file_id = s.file_id and l.n >= s.n and l0.delta > 0 group by s.file_id, s.repo, s.path, s.ext, s.name, s.kind, s.n, s.nxt, s.lines""",
+    symbol_extents="""select s.file_id, s.repo, s.path, s.ext, s.name, s.kind, s.n, case when s.ext = 'py' then coalesce(s.nxt - 1, s.lines) else coalesce(b.close_n, s.n) end as end_n
+ from (select c.file_id, c.repo, c.path, c.ext, c.name, c.kind, c.n, f.lines, lead(c.n) over (partition by c.file_id order by c.n) as nxt from {code_symbols} c join {sources} f on f.file_id = c.file_id where c.kind <> 'impl') s left join {block_ends} b on b.file_id = s.file_id and b.n = s.n""",
     symbol_metrics="""select e.file_id, e.repo, e.path, e.name, e.kind, e.n, e.end_n - e.n + 1 as lines, 1 + z.flow - coalesce(a.flow, 0) as cyclomatic, (z.word - coalesce(a.word, 0)) + (z.deep - coalesce(a.deep, 0)) - b.depth * (z.word - coalesce(a.word, 0)) + (z.extra - coalesce(a.extra, 0)) as cognitive
  from {symbol_extents} e join {line_sums} z on z.file_id = e.file_id and z.n = e.end_n join {line_sums} b on b.file_id = e.file_id and b.n = e.n left join {line_sums} a on a.file_id = e.file_id and a.n = e.n - 1""",
     file_scores="""select x.*, ~clamp((100 - least(1e2, cyc * 5)) * 25e-2 + (100 - least(1e2, cog * 3)) * 25e-2 + mi * 3e-1 + cohesion * 1e1 + (1 - least(1e0, nesting / 1e1)) * 1e1) as overall from (
@@ -114,6 +116,7 @@ STATEMENTS: dict[str, str] = {
     "sig_03_attention": "select path, ~r0(overall) as overall, case when overall > 80 then 'very high complexity' when overall > 50 then 'high complexity' when cohesion < 3e-1 then 'low cohesion' else 'large file' end as reason from {file_scores} where overall > 50 or cohesion < 3e-1 or lines > 500 order by overall desc, path, file_id limit 10",
     "cnv_01_conventions": _CONVENTIONS,
     "inv_01_invariants": _INVARIANTS,
+    "inv_01_passed": f"select r.rule from (select 'no-import' as rule union all select 'require-import' union all select 'layer-boundary' union all select 'naming-pattern' union all select 'max-dependencies' union all select 'annotation-required' union all select 'file-pattern' union all select 'symbol-required') r where not exists (select 1 from ({_INVARIANTS}) v where v.rule = r.rule)",
     "drf_01_signals": _DRIFT,
     "drf_01_report": f"select sum(case when category = 'boundary' then weighted * 35e-2 when category = 'naming' then weighted * 2e-1 when category = 'structural' then weighted * 25e-2 else weighted * 2e-1 end) as composite, max(case when category = 'boundary' then weighted end) as boundary, max(case when category = 'naming' then weighted end) as naming, max(case when category = 'structural' then weighted end) as structural, max(case when category = 'dependency' then weighted end) as dependency from (select category, least(1e2, ~r0(sum({_POINTS}) * 20e0 / max(greatest(1, k.n)))) as weighted from ({_DRIFT}) d join (select count(*) as n from {{sources}}) k on k.n >= 0 group by category) x",
     "drf_02_heatmap": f"select top, count(distinct path) as files, count(subject) as violations, least(1e2, ~r0(sum(coalesce({_POINTS}, 0) * case when subject is null then 0 else 1 end) * 20e0 / count(distinct path))) as score from (select split_part(f.path,'/',1) as top, f.path, d.subject, d.severity from {{sources}} f left join ({_DRIFT}) d on d.subject = f.path) x group by top",

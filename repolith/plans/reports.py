@@ -6,10 +6,14 @@ in names so that they are total.
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from repolith import relations
+from repolith.functions.scalars import glob_regex
+from repolith.plans import code  # noqa: F401  (its relations are used here)
 from repolith.plans.dialect import duck_sql, spark_sql
+from repolith.sources.code import IGNORED
 
 _LAYER = "case when path like 'src/%' then 'core' when path like 'lib/%' then 'lib' when path like 'tests/%' then 'tests' when path like 'packages/%' then 'packages' else 'other' end"
 _KIND = (
@@ -25,8 +29,8 @@ STATEMENTS: dict[str, str] = {
     # --- filters and projections
     "flt_01_symbol_lookup": "select file_id, name, kind, line from {symbols_} where exported and kind = 'function'",
     "flt_02_substring": "select 'file' as type, path from {sources} where lower(path) like '%worker%' union select 'symbol', name from {symbols_} where lower(name) like '%worker%'",
-    "flt_03_glob": "select file_id, path from {sources} where ~match(path, 'src/.*/[^/]*_[^/]*\\.py')",
-    "flt_04_glob_exact": "select file_id, path from {sources} where path = 'CHANGELOG.md' or ~match(path, 'lib/.*\\.go')",
+    "flt_03_glob": f"select file_id, path from {{sources}} where ~match(path, '{glob_regex('src/**/*_*.py')}')",
+    "flt_04_glob_exact": f"select file_id, path from {{sources}} where path = 'CHANGELOG.md' or ~match(path, '{glob_regex('lib/**/*.go')}')",
     "flt_06_path_contains": "select sha, path from {commit_files} where position('handler' in path) > 0",
     "flt_07_lookback": "select id, repo, created from {prs} where created >= NOW - 30 * 86400000000",
     "flt_08_test_files": "select file_id, path, ~match(path, '(_test|\\.test|\\.spec|_spec)\\.') as by_suffix, ~match(path, '(^|/)(__tests__|tests?)/') as by_directory from {sources}",
@@ -35,8 +39,8 @@ STATEMENTS: dict[str, str] = {
     "prj_03_path_module": "select distinct path, split_part(path,'/',1) as top, case when split_part(path,'/',2) = '' then path else split_part(path,'/',1) || '/' || split_part(path,'/',2) end as module from {commit_files}",
     "prj_04_snippet": "select l.file_id, y.name, l.n, l.line from {source_lines} l join {symbols_} y on y.file_id = l.file_id and l.n between y.line - 2 and y.line + 2 where y.kind = 'class'",
     "src_04_file_rows": "select file_id, ext, chars, lines from {sources}",
-    "src_02_ignored": "select distinct path from {commit_files} where not ~match(path, '(^|/)(node_modules|dist|build|vendor|target|bin|obj|venv)/')",
-    "src_03_registry": "select ext, case ext when 'ts' then 'typescript' when 'js' then 'javascript' when 'py' then 'python' when 'go' then 'go' when 'java' then 'java' when 'rs' then 'rust' else 'unknown' end as provider, count(*) as files from {sources} group by ext",
+    "src_02_ignored": f"select distinct path from {{commit_files}} where not ~match(path, '(^|/)({'|'.join(map(re.escape, IGNORED))})/')",
+    "src_03_registry": """select ext, case when ext in ('ts','tsx') then 'typescript' when ext in ('js','jsx','mjs') then 'javascript' when ext = 'py' then 'python' when ext = 'go' then 'go' when ext = 'java' then 'java' when ext = 'rs' then 'rust' when ext = 'rb' or ~match(path, '(^|/)(Rakefile|Gemfile)$') then 'ruby' when ext = 'cs' then 'csharp' when ext in ('kt','kts') then 'kotlin' when ext = 'swift' then 'swift' when ext = 'php' then 'php' when ext in ('c','cc','cpp','h','hpp') then 'cpp' else 'unknown' end as provider, count(*) as files from {sources} group by 1, 2""",
     "src_06_script_exports": "select file_id, n, ~get(line, '^export (?:default )?(?:async )?(?:function|class|const|let|interface|type) +([A-Za-z_$][A-Za-z0-9_$]*)') as name from {source_lines} where ext in ('ts','js') and ~match(line, '^export ')",
     "src_06_script_imports": "select file_id, n, ~get(line, '^import .*from .([^;]+).;') as source from {source_lines} where ext in ('ts','js') and ~match(line, '^import ')",
     "src_08_python_symbols": "select file_id, n, ~get(line, '^ *(?:async )?(?:def|class) +([A-Za-z_][A-Za-z0-9_]*)') as name, case when ~match(line, '^ +(async )?def ') then 'method' when ~match(line, 'class ') then 'class' else 'function' end as kind from {source_lines} where ext = 'py' and ~match(line, '^ *(async )?(def|class) ')",
@@ -47,14 +51,12 @@ STATEMENTS: dict[str, str] = {
     # --- joins
     "jn_02_hash_join": "select p.id, p.repo, count(d.id) as deployments from {prs} p left join {dep_prs} l on l.pr = p.id left join {deps} d on d.id = l.dep group by p.id, p.repo",
     "jn_03_file_context": "select f.file_id, y.kind, y.name, y.line from {sources} f join {symbols_} y on y.file_id = f.file_id where y.kind in ('function','class','method','interface')",
-    "jn_04_left_pattern": "select f.file_id, coalesce(y.name, '') as name, coalesce(m.name, '') as member from {sources} f left join {symbols_} y on y.file_id = f.file_id and y.kind = 'class' left join {symbols_} m on m.file_id = f.file_id and m.kind = 'method' and m.line > y.line",
-    "jn_05_interval_overlap": "select a.file_id, a.name as outer_name, b.name as inner_name from {symbols_} a join {symbols_} b on a.file_id = b.file_id and a.line <= b.end_line and b.line <= a.end_line and a.line < b.line",
     "jn_09_unique_export": "select y.file_id, y.name from {symbols_} y join (select name from {symbols_} where exported group by name having count(*) = 1) u on u.name = y.name where y.exported",
     "jn_12_linked_ids": "select l.dep, p.id as pr, ~r1((d.created - p.first_commit) / 3.6e9) as lead_hours from {dep_prs} l join {deps} d on d.id = l.dep join {prs} p on p.id = l.pr",
     "jn_13_by_sha": "select d.id as dep, p.id as pr from {deps} d join {prs} p on p.merge_commit_sha = d.sha where p.merged is not null union select d.id, p.id from {deps} d join {prs} p on p.head_sha = d.sha where p.merged is not null",
     "jn_14_incident_deployments": "select id from {deps} d where exists (select 1 from {inc_deps} i where i.dep = d.id) or exists (select 1 from {dep_prs} l join {pr_keys} k on k.pr = l.pr join {inc_keys} i on i.issue = k.issue where l.dep = d.id)",
-    "jn_15_missing_tests": "select s.file_id, s.path from (select file_id, path, ~sub(~sub(path, '^.*/', ''), '\\.[a-z]+$', '') as stem from {sources} where not ~match(path, '(_test|\\.test|\\.spec)\\.')) s where not exists (select 1 from (select ~sub(~sub(~sub(path, '^.*/', ''), '\\.[a-z]+$', ''), '_test$', '') as stem from {sources} where ~match(path, '_test\\.')) t where t.stem = s.stem)",
-    "jn_16_rules": "select r.rule, f.file_id from {sources} f join (select 'no-underscore' as rule, 'lib/' as prefix, '_' as bad union all select 'no-dash', 'src/', '-' union all select 'no-digits', 'packages/', '9') r on f.path like r.prefix || '%' and position(r.bad in f.path) > 0",
+    "jn_15_missing_tests": "select s.repo, s.file_id, s.path from (select repo, file_id, path, ~sub(~sub(path, '^.*/', ''), '\\.[a-z]+$', '') as stem from {sources} where not ~match(path, '(_test|\\.test|\\.spec)\\.')) s where not exists (select 1 from (select repo, ~sub(~sub(path, '^.*/', ''), '(_test|\\.test|\\.spec)\\.[a-z]+$', '') as stem from {sources} where ~match(path, '(_test|\\.test|\\.spec)\\.')) t where t.repo = s.repo and t.stem = s.stem)",
+    "jn_16_rules": "select r.rule, i.repo, i.path, i.source from {code_imports} i join (select 'no-secret' as rule, 'lib/' as prefix, 'secret' as bad union all select 'no-session', 'src/', 'session' union all select 'no-registry', 'packages/', 'registry') r on i.path like r.prefix || '%' and position(r.bad in i.source) > 0",
     "jn_17_co_change": f"select a.repo, a.path as path_a, b.path as path_b, count(*) as shared from {_SEVERAL} a join {_SEVERAL} b on a.repo = b.repo and a.sha = b.sha and a.path < b.path group by a.repo, a.path, b.path having count(*) > 2",
     "jn_21_mutual_imports": "select a.src, a.dst from {edges} a join {edges} b on a.src = b.dst and a.dst = b.src where a.src < a.dst",
     # --- graph (one hop and counts; fixpoints are in plans.graphs)
@@ -105,12 +107,11 @@ STATEMENTS: dict[str, str] = {
     "srt_07_page_filter": "select y.file_id, y.name from {symbols_} y where y.file_id in (select file_id from {sources} order by lines desc, file_id limit 30)",
     "set_01_union": "select name, 'symbol' as what from {symbols_} union select path, 'file' from {sources}",
     "set_03_distinct": "select distinct repo, author from {commits}",
-    "set_04_intersection": "select a.author as author_a, b.author as author_b, count(*) as shared from (select distinct author, path from {commit_files} where author is not null) a join (select distinct author, path from {commit_files} where author is not null) b on a.path = b.path and a.author < b.author group by a.author, b.author",
+    "set_04_intersection": "select a.author as author_a, b.author as author_b, count(*) as shared from (select distinct author, repo, path from {commit_files} where author is not null) a join (select distinct author, repo, path from {commit_files} where author is not null) b on a.repo = b.repo and a.path = b.path and a.author < b.author group by a.author, b.author",
     "set_04_intersect": "select path from {sources} intersect select path from {commit_files}",
     "set_05_difference": "select path from {sources} except select path from {commit_files}",
     "set_06_pair_key": "select least(src, dst) as a, greatest(src, dst) as b, count(*) as n from {edges} group by 1, 2",
     # --- complexity
-    "cpx_02_extents": f"select y.file_id, y.name, y.line, coalesce(min(case when l.n > y.line and l.total <= s.total - s.d then l.n end), y.line) as end_line from {{symbols_}} y join {_BRACES} s on s.file_id = y.file_id and s.n = y.line join {_BRACES} l on l.file_id = y.file_id and l.n >= y.line where s.d > 0 group by y.file_id, y.name, y.line",
     # the nesting never falls below 0: a running sum less its running minimum
     "cpx_04_cognitive": f"select file_id, sum(case when ~match(line, '\\b(if|else|for|while|switch|try|catch|case|when|match|loop)\\b') then 1 + before_n - least(0, low) else 0 end + case when ~match(line, '\\b(this|self)\\.\\w+\\(') then 1 else 0 end) * 1 as cognitive from (select *, min(before_n) over (partition by file_id order by n rows unbounded preceding) as low from (select *, total - d as before_n from {_BRACES} b) c) e group by file_id",
     "cpx_06_coupling": "select n.id, least(100, 5 * (coalesce(i.n, 0) + coalesce(o.n, 0))) as coupling, ~r4(~div(coalesce(o.n, 0), coalesce(i.n, 0) + coalesce(o.n, 0))) as instability from {nodes} n left join (select dst, count(*) as n from {edges} group by dst) i on i.dst = n.id left join (select src, count(*) as n from {edges} group by src) o on o.src = n.id",
@@ -121,7 +122,6 @@ STATEMENTS: dict[str, str] = {
     "tmp_09_velocity": "select repo, week, n, coalesce(lag(n) over (partition by repo order by week), 0) as before_n from (select repo, cast(floor((~day(ts) + 3) / 7e0) as bigint) as week, count(*) as n from {commits} group by 1, 2) x",
     "tmp_10_ownership": "select repo, path, authors, owner, pct, pct >= 80 and authors = 1 as high_risk from (select repo, path, author as owner, ~r0(~div(100 * n, sum(n) over (partition by repo, path))) as pct, count(*) over (partition by repo, path) as authors, row_number() over (partition by repo, path order by n desc, author) as r from (select repo, path, author, count(*) as n from {commit_files} where author is not null group by repo, path, author) x) y where r = 1",
     # --- impact, signals, drift, load
-    "inv_01_passed": "select r.rule from (select 'a' as rule, 120 as cap union all select 'b', 100000) r where not exists (select 1 from {sources} f where f.lines > r.cap)",
     "drf_03_trajectory": "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, ~r1(~clamp(n_files * 2 + additions / 20e0)) as score from {commits}) x",
     "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",
     # --- delivery
