@@ -44,7 +44,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return sourcefiles.documented(table(spark, d, "files")).filter("meaningful").select("file_id", "symbol_name", "line")
+    return sourcefiles.functions(table(spark, d, "files")).filter("meaningful").select("file_id", "symbol_name", "line").distinct()
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -121,12 +121,17 @@ def _coalesced(*cols: Column) -> Column:
 
 
 def documented(files: DataFrame, code: bool = False) -> DataFrame:
+    """``functions`` of each file, once however often it is repeated."""
+    return functions(files, code).distinct()
+
+
+def functions(files: DataFrame, code: bool = False) -> DataFrame:
     """Functions and methods of valid files with their documentation comment.
 
     ``files``: file_id, path, file_text. Gives file_id, language, symbol_name, kind
     (function, method or arrow), line, description (without comment marks, up to the first
     section) and meaningful. Files that don't parse, null and empty texts give no rows; a
-    repeated file counts once.
+    repeated file gives its rows again.
 
     The text is lexed into coarse tokens (comments, strings, braces, the code between),
     one row each. Running sums give a token's line, its brace and its parenthesis (of Go, bracket too) depth.
@@ -211,7 +216,7 @@ def documented(files: DataFrame, code: bool = False) -> DataFrame:
     ).filter("symbol_name <> ''")
     out = out.withColumn("description", F.trim(F.regexp_replace(F.regexp_replace("text", _SECTION, ""), r"\s+", " "))).drop("text")
     out = out.withColumn("meaningful", meaningful(F.col("description"), F.col("symbol_name")))
-    return (_sliced(out, t, tok) if code else out).distinct()
+    return _sliced(out, t, tok) if code else out
 
 
 def _block_ends(tok: DataFrame, w: WindowSpec) -> DataFrame:
@@ -269,7 +274,7 @@ def _sliced(found: DataFrame, t: DataFrame, tok: DataFrame) -> DataFrame:
 
 def meaningful(text: Column, name: Column) -> Column:
     """At least four words, no TODO, FIXME, XXX or TBD at the start, more than the name and fillers."""
-    counted = F.size(F.filter(F.split(text, r"\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    counted = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]\S*"))
     parts = F.split(F.lower(F.regexp_replace(name, r"([\p{Ll}\d])(\p{Lu})|(\p{Lu})(\p{Lu}\p{Ll})|_", "$1$3 $2$4")), r"\s+")
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
     own = F.concat(F.array(*map(F.lit, FILLERS)), F.array(F.lower(name)), parts)
