@@ -118,7 +118,7 @@ STATEMENTS: dict[str, str] = {
     "inv_01_invariants": _INVARIANTS,
     "inv_01_passed": f"select r.rule from (select 'no-import' as rule union all select 'require-import' union all select 'layer-boundary' union all select 'naming-pattern' union all select 'max-dependencies' union all select 'annotation-required' union all select 'file-pattern' union all select 'symbol-required') r where not exists (select 1 from ({_INVARIANTS}) v where v.rule = r.rule)",
     "drf_01_signals": _DRIFT,
-    "drf_01_report": f"select sum(case when category = 'boundary' then weighted * 35e-2 when category = 'naming' then weighted * 2e-1 when category = 'structural' then weighted * 25e-2 else weighted * 2e-1 end) as composite, max(case when category = 'boundary' then weighted end) as boundary, max(case when category = 'naming' then weighted end) as naming, max(case when category = 'structural' then weighted end) as structural, max(case when category = 'dependency' then weighted end) as dependency from (select category, least(1e2, ~r0(sum({_POINTS}) * 20e0 / max(greatest(1, k.n)))) as weighted from ({_DRIFT}) d join (select count(*) as n from {{sources}}) k on k.n >= 0 group by category) x",
+    "drf_01_report": f"select ~r2(sum(case when category = 'boundary' then weighted * 35e-2 when category = 'naming' then weighted * 2e-1 when category = 'structural' then weighted * 25e-2 else weighted * 2e-1 end)) as composite, max(case when category = 'boundary' then weighted end) as boundary, max(case when category = 'naming' then weighted end) as naming, max(case when category = 'structural' then weighted end) as structural, max(case when category = 'dependency' then weighted end) as dependency from (select category, least(1e2, ~r0(sum({_POINTS}) * 20e0 / max(greatest(1, k.n)))) as weighted from ({_DRIFT}) d join (select count(*) as n from {{sources}}) k on k.n >= 0 group by category) x",
     "drf_02_heatmap": f"select top, count(distinct path) as files, count(subject) as violations, least(1e2, ~r0(sum(coalesce({_POINTS}, 0) * case when subject is null then 0 else 1 end) * 20e0 / count(distinct path))) as score from (select split_part(f.path,'/',1) as top, f.path, d.subject, d.severity from {{sources}} f left join ({_DRIFT}) d on d.subject = f.path) x group by top",
     "drf_04_emergent": f"select top, style, n, ~r2(n * 1e0 / total) as confidence from (select top, style, count(*) as n, sum(count(*)) over (partition by top) as total from (select split_part(path,'/',1) as top, {_STYLE} as style from (select path, ~sub(~sub(path, '^.*/', ''), '\\.[^.]+$', '') as stem from {{sources}}) s) x group by top, style) y where n >= 3 and n * 10 >= total * 7 and style <> 'mixed'",
     "drf_05_mapping": f"select rule, case when rule in ('layer-boundary','no-import','require-import') then 'boundary' when rule = 'naming-pattern' then 'naming' when rule = 'max-dependencies' then 'dependency' else 'structural' end as category, count(*) as n from ({_INVARIANTS}) v group by 1, 2",
@@ -128,6 +128,10 @@ STATEMENTS: dict[str, str] = {
     "cog_03_doc_gaps": "select path, file_id, gap from (select path, file_id, ~clamp(100 - overall) as burden, 100 - documentation_load as documentation, ~r0(~clamp(6e-1 * ~clamp(100 - overall) + 4e-1 * documentation_load)) as gap from {load_scores}) x where burden >= 25 and documentation <= 45 order by gap desc, path, file_id limit 40",
     "cog_03_onboarding": "select path, file_id, ~r0(~clamp(score * 55e-2 + churn_load * 25e-2 + risk * 2e-1)) as difficulty from {load_scores}",
     "cog_04_implicit_coupling": "select c.repo, c.path_a, c.path_b, ~r1(c.score) as score from {coupled} c where not exists (select 1 from {resolved} r where r.repo = c.repo and ((r.path = c.path_a and r.target = c.path_b))) and not exists (select 1 from {resolved} r where r.repo = c.repo and r.path = c.path_b and r.target = c.path_a) order by score desc, c.repo, c.path_a, c.path_b limit 80",
+    # files that the rarest word of a file's name finds, six at most: over how many top folders, and how many outside of its own
+    "cog_05_dispersion": """select file_id, ~r4(7e-1 * tops / hits + 3e-1 * outside / hits) as dispersion from (select a.file_id, count(*) as hits, count(distinct a.other_top) as tops, count(case when a.other_top <> a.top then 1 end) as outside
+ from (select q.file_id, q.top, w.top as other_top, row_number() over (partition by q.file_id order by w.path, w.file_id) as place from (select repo, file_id, top, word from (select f.*, row_number() over (partition by f.file_id order by d.n, f.word) as r from {name_words} f join (select repo, word, count(*) as n from {name_words} group by repo, word) d on d.repo = f.repo and d.word = f.word) x where r = 1) q
+  join {name_words} w on w.repo = q.repo and w.word = q.word) a where place <= 6 group by a.file_id) y""",
     "gr_17_rollup": "select coalesce(top, '*') as top, coalesce(module, '*') as module, ~r1(avg(score)) as load, count(*) as files from (select split_part(path,'/',1) as top, split_part(path,'/',2) as module, score from {load_scores}) x group by rollup(top, module)",
     "srt_02_multi_key": "select y.path, y.kind, y.name, ~len(~split(y.path, '/')) as depth from {code_symbols} y order by depth, kind, name, path, n limit 60",
     "srt_03_by_field": "select path, file_id, ~r2(mi) as maintainability, ~r2(cyc) as cyclomatic from {file_scores} order by maintainability, cyclomatic desc, path, file_id limit 25",
@@ -143,6 +147,7 @@ STATEMENTS: dict[str, str] = {
 }
 
 relations.derive(
+    name_words=r"select distinct repo, file_id, path, top, word from (select repo, file_id, path, split_part(path,'/',1) as top, ~each(~split(~sub(~sub(path, '^.*/', ''), '\.[a-z]+$', ''), '[^A-Za-z0-9]+')) as word from {sources}) x where length(word) >= 2",
     tests=r"select repo, path, ~sub(path, '/[^/]*$', '') as folder, ~sub(~sub(path, '^.*/', ''), '(_test|\.test|\.spec)?\.[a-z]+$', '') as stem from {sources} where ~match(path, '(_test|\.test|\.spec)\.|(^|/)(__tests__|tests?)/')",
     recent=r"select distinct repo, path, ~sub(path, '/[^/]*$', '') as folder, ~sub(~sub(path, '^.*/', ''), '\.[a-z]+$', '') as stem from {commit_files} where ts >= NOW - 30 * 86400000000 and not ~match(path, '(_test|\.test|\.spec)\.')",
 )
