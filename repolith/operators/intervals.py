@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros
-from repolith.operators.ordered import fits, neighbours
+from repolith.operators.ordered import by_time, fits, neighbours
 from repolith.session import cut
 
 #: A tile holds 2**TILE ranks, so never more than 2**(TILE + 1) distinct blocks.
 TILE = 8
 #: Stands for an end that isn't known yet.
 OPEN = (1 << 62) - 1
-DAY = 86_400_000_000
 
 
-def stays(events: DataFrame, keys: list[str], kind: str, at: str, bucket_us: int = DAY) -> DataFrame:
+def stays(events: DataFrame, keys: list[str], kind: str, at: str, bucket_us: int | None = None) -> DataFrame:
     """Turn enter/leave events into stays (keys, ``start``, ``end``; ``end`` null while open).
 
     Rows without key, time or a known kind are ignored, equal events count once, an
@@ -26,7 +25,7 @@ def stays(events: DataFrame, keys: list[str], kind: str, at: str, bucket_us: int
     k = F.lower(F.trim(F.col(kind)))
     e = events.select(*keys, k.alias("_kind"), micros(at).alias("_at")).filter(F.col("_at").isNotNull() & F.col("_kind").isin("enter", "leave"))
     e = e.withColumn("_in", (F.col("_kind") == "enter").cast("int")).drop("_kind").distinct()
-    bucket = F.floor(F.col("_at") / F.lit(bucket_us))
+    bucket = by_time("_at", bucket_us)
     e = e.withColumn("_out", F.when(F.col("_in") == 0, F.col("_at")))
     e = cut(e)
     e = neighbours(e, keys, ["_at", "_in"], bucket, prev=["_in"], after_min=["_out"], whole=fits(e, keys))
@@ -46,7 +45,7 @@ def dyadic_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return df.filter(f"{hi} > {lo}").select("*", F.explode(F.expr(blocks)).alias("_blk")).select("*", "_blk.level", "_blk.idx").drop("_blk")
 
 
-def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_us: int = DAY) -> DataFrame:
+def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_us: int | None = None) -> DataFrame:
     """Merge intervals [start, end) per key; touching ones are merged too.
 
     Gives keys, ``span_kind`` (``period`` or ``gap``), ``start_us``, ``end_us`` (-1 while
@@ -61,7 +60,7 @@ def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_
     d = df.select(*keys, F.col(start).cast("long").alias("_s"), F.coalesce(F.col(end).cast("long"), F.lit(OPEN)).alias("_e")).filter("_s < _e").distinct()
     d = cut(d)
     bound = d.select(*keys, F.explode(F.array("_s", "_e")).alias("_t")).distinct()
-    at = F.when(F.col("_t") == OPEN, F.lit(1 << 40)).otherwise(F.floor(F.col("_t") / F.lit(bucket_us)))
+    at = by_time("_t", bucket_us, F.col("_t") == OPEN)
     # no later table has more rows of a key than there are bounds
     bound = cut(bound)
     whole = fits(bound, keys)
@@ -92,6 +91,6 @@ def merged_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_
         "filter(array(if(prev__to is null or prev__to < _from, struct(_from as _r, 1 as _opens), null), if(next__from is null or next__from > _to, struct(_to as _r, 0 as _opens), null)), x -> x is not null)"
     )
     edges = runs.select(*keys, F.explode(edge).alias("_x")).select(*keys, "_x._r", "_x._opens").join(ranks, [*keys, "_r"])
-    edges = neighbours(edges.drop("_r"), keys, ["_t"], F.when(F.col("_t") == OPEN, F.lit(1 << 40)).otherwise(F.floor(F.col("_t") / F.lit(bucket_us))), nxt=["_t"], whole=whole)
+    edges = neighbours(edges.drop("_r"), keys, ["_t"], at, nxt=["_t"], whole=whole)
     edges = edges.filter("next__t is not null")
     return edges.select(*keys, F.when(F.col("_opens") == 1, "period").otherwise("gap").alias("span_kind"), F.col("_t").alias("start_us"), F.when(F.col("next__t") == OPEN, F.lit(-1)).otherwise(F.col("next__t")).cast("long").alias("end_us"))

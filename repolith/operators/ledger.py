@@ -19,11 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import micros
-from repolith.operators.ordered import fits, neighbours
+from repolith.operators.ordered import by_time, fits, neighbours
 from repolith.session import cut
 
-DAY = 86_400_000_000
-
 
 def change_log(raw: DataFrame) -> DataFrame:
     """Issue changes as (entity, attr, born, v, seq, old, new, r).
@@ -85,14 +83,14 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(held)
 
 
-def ledger(log: DataFrame, bucket_us: int = DAY) -> DataFrame:
+def ledger(log: DataFrame, bucket_us: int | None = None) -> DataFrame:
     """The whole ledger of a ``change_log``.
 
     Gives entity, attr, owner (id of the change, null for the state before the first one),
     value, valid_from, valid_to, recorded_from, recorded_to, all in microseconds; null
     valid_to/recorded_to are open. Rows that are valid for no time are left out.
     """
-    keys, bucket = ["entity", "attr"], F.floor(F.col("v") / F.lit(bucket_us))
+    keys, bucket = ["entity", "attr"], by_time("v", bucket_us)
     log = cut(log)
     whole = fits(log, keys)
     d = log.withColumn("rec", F.struct("r", "seq"))
@@ -127,9 +125,9 @@ def as_of(book: DataFrame, recorded: int | None = None) -> DataFrame:
     return book.filter("recorded_to is null" if recorded is None else f"recorded_from <= {int(recorded)} and (recorded_to is null or recorded_to > {int(recorded)})")
 
 
-def versions(book: DataFrame, recorded: int | None = None, bucket_us: int = DAY) -> DataFrame:
+def versions(book: DataFrame, recorded: int | None = None, bucket_us: int | None = None) -> DataFrame:
     """Believed versions with successive equal values (trimmed, ignoring case, null as empty) made one."""
-    keys, bucket = ["entity", "attr"], F.floor(F.col("valid_from") / F.lit(bucket_us))
+    keys, bucket = ["entity", "attr"], by_time("valid_from", bucket_us)
     d = as_of(book, recorded).withColumn("norm", F.lower(F.trim(F.coalesce("value", F.lit("")))))
     d = cut(d.select(*keys, "value", "norm", "valid_from"))
     whole = fits(d, keys)

@@ -25,11 +25,18 @@ def fits(df: DataFrame, keys: Sequence[str]) -> bool:
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= MOST
 
 
+def by_time(c: Column | str, width: int | None = None, last: Column | None = None) -> list[Column]:
+    """Buckets of a time in microseconds: days, else hours, minutes, seconds, or only of ``width``. Null times come first, rows with ``last`` in the end."""
+    c = F.col(c) if isinstance(c, str) else c
+    widths = [width] if width else [86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000]
+    return [F.coalesce(F.when(last, F.lit(1 << 60)) if last is not None else F.lit(None).cast("long"), F.floor(c / F.lit(w)), F.lit(-(1 << 60))) for w in widths]
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | Sequence[Column],
     prev: Sequence[str] = (),
     nxt: Sequence[str] = (),
     before_max: Sequence[str] = (),
@@ -44,8 +51,9 @@ def neighbours(
     ``prev_c``/``next_c``: the value of the row before/after (null at the ends).
     ``max_before_c``: maximum over all earlier rows; ``min_after_c``: minimum over all
     later rows; ``max_upto_c``, ``sum_upto_c``: over earlier rows and this one. ``number``: name
-    of a row number from 0. ``bucket`` must not decrease along ``order``. Rows whose keys
-    are null are dropped. ``order`` should be total; ties come in any order. ``whole`` is for
+    of a row number from 0. ``bucket`` must not decrease along ``order``; of several, each
+    finer than the one before, the first is taken whose largest bucket fits a task
+    (``by_time``), so a key with one hot day is split too. Rows whose keys are null are dropped. ``order`` should be total; ties come in any order. ``whole`` is for
     keys that ``fits`` has counted: plain windows then, without buckets.
     """
     keys, order = list(keys), list(order)
@@ -59,7 +67,11 @@ def neighbours(
         add += [F.max(c).over(back).alias(f"max_before_{c}") for c in before_max] + [F.max(c).over(upto).alias(f"max_upto_{c}") for c in up_to_max]
         add += [F.min(c).over(ahead).alias(f"min_after_{c}") for c in after_min] + [F.sum(c).over(upto).alias(f"sum_upto_{c}") for c in up_to_sum]
         return d.select("*", *add, *([(F.row_number().over(w) - 1).cast("long").alias(number)] if number else []))
-    d = d.withColumn("_b", bucket)
+    choices = [bucket] if isinstance(bucket, Column) else list(bucket)
+    if len(choices) > 1:
+        d = cut(d)
+        choices = [b for b in choices[:-1] if fits(d.select(*keys, b.alias("_b")), [*keys, "_b"])][:1] or choices[-1:]
+    d = d.withColumn("_b", choices[0])
     d = cut(d.repartition(*keys, "_b"))  # read twice below: without the cut, chained calls would double the work each time
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolith import relations as rel
+from repolith.functions.scalars import clamp, half_up
 from repolith.operators import intervals, ledger
-from repolith.session import table
+from repolith.operators.ordered import by_time, fits, neighbours
+from repolith.session import cut, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +33,21 @@ def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.ledger(ledger.change_log(table(spark, d, "issue_changes")))
 
 
+def win_06_running_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Files that the commits of a repository changed so far."""
+    c = cut(rel.commits(spark, d).select("repo", "sha", "ts", "n_files"))
+    out = neighbours(c, ["repo"], ["ts", "sha"], by_time("ts"), up_to_sum=["n_files"], whole=fits(c, ["repo"]))
+    return out.select("repo", "sha", F.col("sum_upto_n_files").alias("so_far"))
+
+
+def drf_03_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each commit in order, and its step from the one before."""
+    score = half_up(clamp(F.col("n_files") * 2 + F.col("additions") / F.lit(20.0)), 1)
+    c = cut(rel.commits(spark, d).select("repo", "sha", "ts", score.alias("score")))
+    out = neighbours(c, ["repo"], ["ts", "sha"], by_time("ts"), prev=["score"], number="k", whole=fits(c, ["repo"]))
+    return out.select("repo", "sha", (F.col("k") + 1).alias("k"), "score", (F.col("score") - F.coalesce("prev_score", "score")).alias("step"))
+
+
 P5_SQL = """
 with e as (select distinct issue_key, sprint_id, lower(trim(event_type)) k, epoch_us(event_at) t from sprint_events
            where event_at is not null and lower(trim(event_type)) in ('enter','leave')),
@@ -53,9 +71,14 @@ l as (select *, lag(n) over (partition by i, f order by v) p from a)
 select i issue_key, f field_name, v valid_from_us, coalesce(lead(v) over (partition by i, f order by v), -1) valid_to_us from l where p is null or p <> n
 """
 
-QUERIES = {"p5_found": p5_found, "p5_summary": p5_summary, "p6_found": p6_found, "p6_ledger": p6_ledger}
+QUERIES = {"p5_found": p5_found, "p5_summary": p5_summary, "p6_found": p6_found, "p6_ledger": p6_ledger, "win_06_running_sum": win_06_running_sum, "drf_03_trajectory": drf_03_trajectory}
 SQL = {
     "p5_found": P5_SQL + "select * from r",
     "p5_summary": P5_SQL + "select issue_key, span_kind, count(*) spans, sum(case when end_us>=0 then end_us-start_us else 0 end) closed_us from r group by 1, 2",
     "p6_found": P6_SQL,
+    "win_06_running_sum": rel.oracle("select repo, sha, sum(n_files) over (partition by repo order by ts, sha rows unbounded preceding)::bigint as so_far from {commits}"),
+    "drf_03_trajectory": rel.oracle(
+        "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, "
+        "floor(greatest(0e0, least(100e0, n_files * 2 + additions / 20e0)) * 10 + 0.5) / 10 as score from {commits}) x"
+    ),
 }

@@ -92,7 +92,6 @@ STATEMENTS: dict[str, str] = {
     "win_02_lead_symbol_end": "select y.file_id, y.name, y.line, coalesce(lead(y.line) over (partition by y.file_id order by y.line, y.name) - 1, f.lines) as end_line from {symbols_} y join {sources} f on f.file_id = y.file_id",
     "win_04_blocked_islands": "select issue_key, min(ts) as from_at, max(until) as until_at from (select issue_key, ts, until, sum(flip) over (partition by issue_key order by ts, history_id rows unbounded preceding) as island, blocked from (select issue_key, history_id, ts, coalesce(lead(ts) over w, NOW) as until, dest = 'blocked' as blocked, case when (dest = 'blocked') = (lag(dest) over w = 'blocked') then 0 else 1 end as flip from {moves} window w as (partition by issue_key order by ts, history_id)) x) y where blocked group by issue_key, island",
     "win_05_rewind": "select issue_key, field, coalesce(min_by(case when ts > NOW - 45 * 86400000000 then frm end, case when ts > NOW - 45 * 86400000000 then ts * 10 + history_id % 10 end), max_by(dest, ts * 10 + history_id % 10)) as value from (select issue_key, field, ts, max(history_id) as history_id, max_by(frm, history_id) as frm, max_by(dest, history_id) as dest from {changes} group by issue_key, field, ts) x group by issue_key, field",
-    "win_06_running_sum": "select repo, sha, sum(n_files) over (partition by repo order by ts, sha rows unbounded preceding) * 1 as so_far from {commits}",
     "win_07_last_rows": "select repo, sha, ts from (select repo, sha, ts, row_number() over (partition by repo order by ts desc, sha) as r from {commits}) x where r <= 10",
     "win_09_period_compare": "select repo, count(case when ts >= NOW - 14 * 86400000000 then 1 end) as now_n, count(case when ts < NOW - 14 * 86400000000 and ts >= NOW - 28 * 86400000000 then 1 end) as before_n from {commits} group by repo",
     "win_10_latest": "select repo, max_by(sha, ts) as sha, max(ts) < NOW - 30 * 86400000000 as stale from (select repo, ts, max(sha) as sha from {commits} group by repo, ts) x group by repo",
@@ -122,7 +121,6 @@ STATEMENTS: dict[str, str] = {
     "tmp_09_velocity": "select repo, week, n, coalesce(lag(n) over (partition by repo order by week), 0) as before_n from (select repo, cast(floor((~day(ts) + 3) / 7e0) as bigint) as week, count(*) as n from {commits} group by 1, 2) x",
     "tmp_10_ownership": "select repo, path, authors, owner, pct, pct >= 80 and authors = 1 as high_risk from (select repo, path, author as owner, ~r0(~div(100 * n, sum(n) over (partition by repo, path))) as pct, count(*) over (partition by repo, path) as authors, row_number() over (partition by repo, path order by n desc, author) as r from (select repo, path, author, count(*) as n from {commit_files} where author is not null group by repo, path, author) x) y where r = 1",
     # --- impact, signals, drift, load
-    "drf_03_trajectory": "select repo, sha, k, score, score - coalesce(lag(score) over (partition by repo order by k), score) as step from (select repo, sha, row_number() over (partition by repo order by ts, sha) as k, ~r1(~clamp(n_files * 2 + additions / 20e0)) as score from {commits}) x",
     "mon_01_unused_packages": "select layer from (select distinct layer from {nodes}) l where not exists (select 1 from {edges} e join {nodes} a on a.id = e.src join {nodes} b on b.id = e.dst where b.layer = l.layer and a.layer <> b.layer)",
     # --- delivery
     "eng_01_restore": "select repo, ~r1(median((resolved - created) / 3.6e9)) as restore_hours from {incs} where resolved is not null and created is not null group by repo",

@@ -28,3 +28,12 @@ def test_counts_keys(spark, monkeypatch):
     assert ordered.fits(d, ["k"]) and ordered.fits(d.limit(0), ["k"])
     monkeypatch.setattr(ordered, "MOST", 4)
     assert not ordered.fits(d, ["k"])
+
+
+def test_one_hot_day_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST", 10)
+    rows = [("a", 86_400_000_000 * 7 + 1_000_000 * t, t) for t in range(300)] + [("a", None, -1), ("b", 5, 0)]
+    d = spark.createDataFrame(rows, "k string, t long, v long")
+    out = neighbours(d, ["k"], ["t"], ordered.by_time("t"), prev=["v"], up_to_sum=["v"], number="n").collect()
+    assert sorted((r.k, r.n, r.v, r.prev_v) for r in out) == [("a", 0, -1, None), *[("a", t + 1, t, t - 1) for t in range(300)], ("b", 0, 0, None)]
+    assert {r.sum_upto_v for r in out if r.v == 299} == {299 * 150 - 1}
