@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.operators.ordered import fits, neighbours
+from repolith.operators.ordered import by_time, fits, neighbours
 from repolith.session import cut
 
-DAY = 86_400_000_000
 #: Ratio of the slot widths of successive levels of the interval index.
 WIDEN = 16
 
@@ -29,7 +28,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int) -> Dat
     """
     r = right.select("entity", "t", "matched_id").dropna().groupBy("entity", "t").agg(F.min("matched_id").alias("matched_id"))
     r = cut(r)
-    r = neighbours(r, ["entity"], ["t"], F.floor(F.col("t") / F.lit(DAY)), prev=["t"], nxt=["t"], whole=fits(r, ["entity"]))
+    r = neighbours(r, ["entity"], ["t"], by_time("t"), prev=["t"], nxt=["t"], whole=fits(r, ["entity"]))
     lo = F.greatest(F.col("t") - tolerance_us, F.ceil((F.col("prev_t") + F.col("t")) / 2))
     hi = F.least(F.col("t") + tolerance_us, F.floor((F.col("next_t") + F.col("t")) / 2))
     r = r.select("entity", F.col("t").alias("rt"), "matched_id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
