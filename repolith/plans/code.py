@@ -42,23 +42,26 @@ _EXPORTED = r"""case when ext in ('ts','js') then ~match(line, '^\s*export\b') w
  when ext = 'java' then ~match(line, '\bpublic\b') else ~match(line, '^\s*pub\b') end"""
 _BASE = r"""case when ext in ('ts','js','java') then ~get(line, '\bextends\s+([A-Za-z_$][A-Za-z0-9_$]*)') when ext = 'py' and kind = 'class' then ~get(line, '^\s*class\s+\w+\(\s*([A-Za-z_]\w*)') else '' end"""
 _TRAIT = r"""case when ext in ('ts','js','java') then ~get(line, '\bimplements\s+([A-Za-z_$][A-Za-z0-9_$]*)') when ext = 'rs' and kind = 'impl' then ~get(line, '^\s*impl(?:<[^>]*>)?\s+([A-Za-z_]\w*)[\w:<>]*\s+for\s') else '' end"""
+_NO_SYMBOL = "('if','for','while','switch','catch','return','function','else','constructor')"
+_GO_BLOCK = r"""max(case when ext = 'go' and ~match(line, '^import\s+\($') then n end) over (partition by file_id order by n rows unbounded preceding) as opened,
+  max(case when ext = 'go' and ~match(line, '^\)') then n end) over (partition by file_id order by n rows unbounded preceding) as closed"""
+_SOURCE = r"""case
+  when ext in ('ts','js') then coalesce(nullif(~get(line, '^\s*(?:import|export)\b.*\bfrom\s+[\x27\x22]([^\x27\x22]+)[\x27\x22]'), ''), nullif(~get(line, '^\s*import\s+[\x27\x22]([^\x27\x22]+)[\x27\x22]'), ''), nullif(~get(line, '\brequire\([\x27\x22]([^\x27\x22]+)[\x27\x22]\)'), ''))
+  when ext = 'py' then coalesce(nullif(~get(line, '^\s*from\s+([.\w]+)\s+import\b'), ''), nullif(~get(line, '^\s*import\s+([\w.]+)'), ''))
+  when ext = 'go' then coalesce(nullif(~get(line, '^import\s+(?:\w+\s+)?\x22([^\x22]+)\x22'), ''), case when opened > coalesce(closed, 0) then nullif(~get(line, '^\s+(?:[\w.]+\s+)?\x22([^\x22]+)\x22\s*$'), '') end)
+  when ext = 'java' then nullif(~get(line, '^import\s+(?:static\s+)?([\w.]+)'), '')
+  when ext = 'rs' then coalesce(nullif(~get(line, '^\s*(?:pub\s+)?use\s+([\w:]+)'), ''), nullif(~get(line, '^\s*(?:pub\s+)?mod\s+(\w+)\s*;'), '')) end"""
 
 relations.derive(
     # a class is left as soon as a line of its indentation or less declares something
     code_marks=f"""select file_id, repo, path, ext, n, line, kind, name, indent, {_EXPORTED} as exported, {_BASE} as base, {_TRAIT} as trait
  from (select file_id, repo, path, ext, n, line, {_first(lambda k, p: f"'{k}'")} as kind, {_first(lambda k, p: f"~get(line, '{p}')")} as name, length(line) - length(ltrim(line)) as indent from {{source_lines}}) m
- where kind is not null and name not in ('if','for','while','switch','catch','return','function','else','constructor')""",
+ where kind is not null and name not in {_NO_SYMBOL}""",
     code_symbols="""select file_id, repo, path, ext, n, kind, name, exported, base, trait, case when ext = 'go' and kind = 'method' then ~get(line, '^func\\s+\\(\\s*\\w*\\s*\\*?([A-Za-z_]\\w*)') when owner is not null and indent > owner_indent and kind not in ('class','interface') then owner end as parent
  from (select *, ~held(case when kind in ('class','interface','enum','impl') then name end) over (partition by file_id order by n rows between unbounded preceding and 1 preceding) as owner,
   ~held(case when kind in ('class','interface','enum','impl') then indent end) over (partition by file_id order by n rows between unbounded preceding and 1 preceding) as owner_indent from {code_marks}) m""",
-    code_imports=r"""select file_id, repo, path, ext, n, line as clause, source from (select *, case
-  when ext in ('ts','js') then coalesce(nullif(~get(line, '^\s*(?:import|export)\b.*\bfrom\s+[\x27\x22]([^\x27\x22]+)[\x27\x22]'), ''), nullif(~get(line, '^\s*import\s+[\x27\x22]([^\x27\x22]+)[\x27\x22]'), ''), nullif(~get(line, '\brequire\([\x27\x22]([^\x27\x22]+)[\x27\x22]\)'), ''))
-  when ext = 'py' then coalesce(nullif(~get(line, '^\s*from\s+([.\w]+)\s+import\b'), ''), nullif(~get(line, '^\s*import\s+([\w.]+)'), ''))
-  when ext = 'go' then coalesce(nullif(~get(line, '^import\s+(?:\w+\s+)?\x22([^\x22]+)\x22'), ''), case when opened > coalesce(closed, 0) then nullif(~get(line, '^\s+(?:[\w.]+\s+)?\x22([^\x22]+)\x22\s*$'), '') end)
-  when ext = 'java' then nullif(~get(line, '^import\s+(?:static\s+)?([\w.]+)'), '')
-  when ext = 'rs' then coalesce(nullif(~get(line, '^\s*(?:pub\s+)?use\s+([\w:]+)'), ''), nullif(~get(line, '^\s*(?:pub\s+)?mod\s+(\w+)\s*;'), '')) end as source
- from (select *, max(case when ext = 'go' and ~match(line, '^import\s+\($') then n end) over (partition by file_id order by n rows unbounded preceding) as opened,
-  max(case when ext = 'go' and ~match(line, '^\)') then n end) over (partition by file_id order by n rows unbounded preceding) as closed from {source_lines}) l) m where source is not null""",
+    code_imports=f"""select file_id, repo, path, ext, n, line as clause, source from (select *, {_SOURCE} as source
+ from (select *, {_GO_BLOCK} from {{source_lines}}) l) m where source is not null""",
     code_calls=rf"""select file_id, repo, path, ext, n, callee, caller from (select file_id, repo, path, ext, n, name, ~each(~all(line, '([A-Za-z_$][\w$.]*)\(')) as callee, caller
   from (select l.file_id, l.repo, l.path, l.ext, l.n, l.line, s.name, ~held(case when s.kind in ('function','method') then s.name end) over (partition by l.file_id order by l.n rows between unbounded preceding and current row) as caller
    from {{source_lines}} l left join {{code_symbols}} s on s.file_id = l.file_id and s.n = l.n) m

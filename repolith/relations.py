@@ -228,7 +228,15 @@ def oracle(sql: str) -> str:
     return "with recursive " + ", ".join(ctes) + " " + body
 
 
-def run(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    """Run SQL that names relations as {relation} over the stored tables."""
+def _build(spark: SparkSession, d: str, name: str, done: dict[str, DataFrame]) -> DataFrame:
+    from repolith.plans.dialect import spark_sql
+
+    if name in done:
+        return done[name]
+    return run(spark, d, spark_sql(DERIVED[name]), done) if name in DERIVED else BUILD[name](spark, d)
+
+
+def run(spark: SparkSession, d: str, sql: str, done: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run SQL that names relations as {relation} over the stored tables; ``done`` has those made already, which serve wherever they are named."""
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: BUILD[n](spark, d) for n in names})
+    return spark.sql(sql, **{n: _build(spark, d, n, done or {}) for n in names})
