@@ -1,6 +1,7 @@
 """Items that occur together in baskets, with exact counts and their surprise.
 
-Candidate pairs come from a prefix filter instead of all pairs of a basket. A pair that
+``all_pairs`` counts what the tests against the null need. Where thresholds alone are asked for,
+``pair_counts`` takes candidates from a prefix filter instead of all pairs of a basket. A pair that
 reaches the thresholds shares at least ``need`` baskets of its rarer item; put the rarer
 item's baskets in order of size, and two of the shared ones lie among the first
 ``n - need + 2``. So large baskets serve for counting only, never for pairing.
@@ -73,9 +74,10 @@ def all_pairs(inc: DataFrame) -> DataFrame:
     Baskets spread over the tasks, whatever the group, and each counts its pairs before they meet.
     """
     n, total = frequencies(inc)
-    e = cut(inc.join(n, ["g", "i"]).repartition("g", "b"))
-    pairs = e.join(e.select("g", "b", F.col("i").alias("j"), F.col("n").alias("n_j")), ["g", "b"]).filter("n < n_j or (n = n_j and i < j)")
-    c = pairs.groupBy("g", "i", "j").agg(F.first("n").alias("n_i"), F.first("n_j").alias("n_j"), F.count(F.lit(1)).alias("c"))
+    e = inc.join(n, ["g", "i"])
+    x, y = e.alias("x"), e.alias("y")  # of one shuffle, as both have the same columns
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.b") == F.col("y.b"))).filter("x.n < y.n or (x.n = y.n and x.i < y.i)")
+    c = pairs.groupBy("x.g", "x.i", F.col("y.i").alias("j")).agg(F.first("x.n").alias("n_i"), F.first("y.n").alias("n_j"), F.count(F.lit(1)).alias("c"))
     return c.join(total, "g").select("g", "i", "j", "n_i", "n_j", "c", "total")
 
 
@@ -142,14 +144,17 @@ def poisson_binomial_tail(p: np.ndarray, many: np.ndarray, c: int) -> float:
 def upper_tails(p: np.ndarray, many: np.ndarray, c: np.ndarray) -> np.ndarray:
     """P(X_r >= c_r) for each row r of chances, X_r the successes over many[s] trials of p[r, s].
 
-    Each law is tilted until its mean is c (Newton), then inverted from its characteristic
+    For c above one each law is tilted until its mean is c (Newton), then inverted from its characteristic
     function on as many points as its tail needs, so even tiny tails keep their relative precision.
     """
     p, c = np.clip(p, 1e-300, 1 - 1e-12), np.asarray(c, float)
     out = np.ones(len(c))
     mean = p @ many
-    far = np.flatnonzero((c > 0) & (c <= many.sum()))
+    far = np.flatnonzero((c > 1) & (c <= many.sum()))
     out[c > many.sum()] = 0.0
+    # one success or more: all but none
+    once = (c > 0) & (c <= 1) & (c <= many.sum())
+    out[once] = -np.expm1(np.log1p(-p[once]) @ many)
     if not len(far):
         return out
     odds = p[far] / (1 - p[far])
@@ -230,8 +235,10 @@ def surprise(inc: DataFrame, pairs: DataFrame) -> DataFrame:
     whole = fits(cases, ["g"])
     cases = neighbours(cases, ["g"], by, bucket, up_to_sum=["pairs"], whole=whole)
     cases = cases.withColumn("q_raw", F.least(F.lit(1.0), F.col("p_value") * F.col("tests") / F.col("sum_upto_pairs")))
-    cases = neighbours(cases, ["g"], by, bucket, after_min=["q_raw"], whole=whole)
-    cases = cases.select("g", "ki", "kj", "c", "expected", "p_value", F.least("q_raw", F.coalesce("min_after_q_raw", F.lit(1.0))).alias("q_value"))
+    # the least of a case and all after it, in reverse: a frame that ends with the group is added up anew for every row
+    reverse = {f"from_{c}": -F.col(c) for c in [*by, "q_raw"]}
+    cases = neighbours(cases.withColumns(reverse), ["g"], [f"from_{c}" for c in by], -bucket, up_to_max=["from_q_raw"], whole=whole)
+    cases = cases.select("g", "ki", "kj", "c", "expected", "p_value", (-F.col("max_upto_from_q_raw")).alias("q_value"))
     return d.join(cases, ["g", "ki", "kj", "c"]).drop("ki", "kj")
 
 

@@ -74,22 +74,25 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "commit_changes").select(repo_key("repo").alias("repo"), "sha", path_key("path").alias("path"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at the thresholds: exact counts of those that can reach them, each held against the null."""
+def _p7_report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of commits; and every pair that changes together by keys, with count, ratio, lift, the count expected, p and q value."""
     rows = _commits(spark, d)
     inc = cut(cooccurrence.incidence(rows, "repo", "sha", "path"))
-    pairs, cases = cooccurrence.against_null(inc, cut(cooccurrence.pair_counts(inc)))
-    out = pairs.join(cases, ["g", "ki", "kj", "c"]).filter("p_value is not null").drop("ki", "kj", "pairs")
+    out = cooccurrence.surprise(inc, cut(cooccurrence.all_pairs(inc)))
+    return rows, out.withColumns({"ratio": F.col("c") / F.col("n_i"), "lift": F.col("c") * F.col("total") / (F.col("n_i") * F.col("n_j"))})
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of ``p7_surprise`` at the thresholds: each has its q value, but count, ratio and lift decide."""
+    rows, out = _p7_report(spark, d)
+    out = out.filter("q_value is not null and c >= 4 and 2 * c >= n_i and c * total >= 2 * n_i * n_j")
     return cooccurrence.names(rows, out, "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"))
 
 
 def p7_surprise(spark: SparkSession, d: str) -> DataFrame:
     """All pairs that change together with count, ratio, lift, the count expected, and the p and q value under the configuration null."""
-    rows = _commits(spark, d)
-    inc = cut(cooccurrence.incidence(rows, "repo", "sha", "path"))
-    out = cooccurrence.surprise(inc, cut(cooccurrence.all_pairs(inc)))
-    ratio, lift = F.col("c") / F.col("n_i"), F.col("c") * F.col("total") / (F.col("n_i") * F.col("n_j"))
-    return cooccurrence.names(rows, out.withColumns({"ratio": ratio, "lift": lift}), "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift", "expected", "p_value", "q_value")
+    rows, out = _p7_report(spark, d)
+    return cooccurrence.names(rows, out, "repo", "path").select("repo", F.col("a").alias("path_a"), F.col("b").alias("path_b"), "c", "ratio", "lift", "expected", "p_value", "q_value")
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
