@@ -33,8 +33,7 @@ _WORDS = rf"""case when ~match(line, '{_KEYWORD}') then 1 else 0 end as word, ca
 # rates of a file (m its lines, s its symbols)
 _RATES = "coalesce(s.cyc, 0e0) as cyc, coalesce(s.cog, 0e0) as cog, coalesce(s.abstract_n * 1e0 / nullif(s.abstract_n + s.concrete_n, 0), 0e0) as abstractness"
 _MI = "~clamp(171 - 5.2e0 * ln(m.logical * log2(coalesce(s.symbols, 0) + 1) + 1) - 23e-2 * coalesce(s.cyc, 0e0) - 16.2e0 * ln(m.lines + 1)) as mi"
-_OF_SYMBOLS = """select y.file_id, avg(y.cyclomatic * 1e0) as cyc, avg(y.cognitive * 1e0) as cog, count(*) as symbols, count(case when c.exported then 1 end) as exports, count(distinct y.kind) as kinds, count(case when y.kind in ('interface','type') then 1 end) as abstract_n, count(case when y.kind in ('class','function') then 1 end) as concrete_n
-   from {symbol_metrics} y join {code_symbols} c on c.file_id = y.file_id and c.n = y.n group by y.file_id"""
+_OF_SYMBOLS = "select y.file_id, avg(y.cyclomatic * 1e0) as cyc, avg(y.cognitive * 1e0) as cog, count(*) as symbols, count(case when c.exported then 1 end) as exports, count(distinct y.kind) as kinds, count(case when y.kind in ('interface','type') then 1 end) as abstract_n, count(case when y.kind in ('class','function') then 1 end) as concrete_n"
 
 relations.derive(
     # a block comment that isn't closed on its line lasts until a line that closes one
@@ -60,7 +59,8 @@ relations.derive(
     file_scores=f"""select x.*, ~clamp((100 - least(1e2, cyc * 5)) * 25e-2 + (100 - least(1e2, cog * 3)) * 25e-2 + mi * 3e-1 + cohesion * 1e1 + (1 - least(1e0, nesting / 1e1)) * 1e1) as overall from (
  select f.file_id, f.repo, f.path, m.lines, m.comments, m.nesting, m.avg_function, m.params, {_RATES}, coalesce(1 - s.exports * 1e0 / nullif(s.symbols, 0), 1e0) as cohesion, coalesce(s.symbols, 0) as symbols, coalesce(s.exports, 0) as exports, coalesce(s.kinds, 0) as kinds,
   {_MI}
-  from {{sources}} f join {{line_metrics}} m on m.file_id = f.file_id left join ({_OF_SYMBOLS}) s on s.file_id = f.file_id) x""",
+  from {{sources}} f join {{line_metrics}} m on m.file_id = f.file_id left join ({_OF_SYMBOLS}
+   from {{symbol_metrics}} y join {{code_symbols}} c on c.file_id = y.file_id and c.n = y.n group by y.file_id) s on s.file_id = f.file_id) x""",
     # churn of half a year, who owns how much, who is active
     file_history="""select h.repo, h.path, h.n, h.churn, greatest(0e0, 100 - 100 * h.churn / 180e0) as stability, h.age_days, h.last_at, h.authors, case when o.top_pct > 80 then 50 else 0 end + case when o.active <= 1 then 30 else 0 end + case when o.active = 0 then 20 else 0 end as risk, h.fixes * 1e0 / h.n > 3e-1 and h.n > 5 as regression_prone
  from (select repo, path, count(*) as n, count(case when ts >= NOW - 180 * 86400000000 then 1 end) as churn, ~day(NOW - min(ts)) as age_days, max(ts) as last_at, count(distinct author) as authors, count(case when status = 'modified' and deletions > additions then 1 end) as fixes from {commit_files} group by repo, path) h
@@ -172,15 +172,16 @@ def _any(patterns: list[str]) -> str:
     return "|".join([rf"\b(?:{'|'.join(words)})", *(p for p in patterns if not p.startswith(r"\b"))])
 
 
-_ANY_FLOW = "case ext " + " ".join(f"when '{ext}' then ~match(line, '{_any(ps)}')" for ext, ps in _FLOW.items()) + " else false end"
+_COUNTED = [_KEYWORD, r"\b(break|continue|goto)\s+\w+", r"\b(this|self)\.\w+\(", r"\brecurs"]
+_ANY = "case ext " + " ".join(f"when '{ext}' then ~match(line, '{_any([*ps, *_COUNTED])}')" for ext, ps in _FLOW.items()) + f" else ~match(line, '{_any(_COUNTED)}') end"
 _FILE_FACTS = rf"""select file_id, repo, path, ext, count(*) as lines, count(case when kind = 'logical' then 1 end) as logical, array_sort(collect_list(struct(n, flow, word, deep, extra, depth))) as sums,
   array_sort(collect_list(case when mark is not null then struct(n, mark.kind as kind, mark.exported as exported, close_n) end)) as marks, array_sort(collect_list(case when source is not null then struct(n, clause, source) end)) as imports
  from (select *, case when delta > 0 then min(case when delta < 0 then n end) over (partition by file_id, level order by n desc rows between unbounded preceding and 1 preceding) end as close_n
   from (select *, posexplode(case when delta > 0 then array(depth) when delta < 0 then sequence(depth + delta, depth - 1) else array(cast(null as bigint)) end) as (entry, level)
    from (select file_id, repo, path, ext, n, kind, delta, depth, mark, source, clause, sum(flow) over ({_FILE}) as flow, sum(word) over ({_FILE}) as word, sum(word * depth) over ({_FILE}) as deep, sum(extra) over ({_FILE}) as extra
     from (select file_id, repo, path, ext, n, kind, delta, flow, word, extra, sum(delta) over ({_FILE}) - delta as depth, source, case when source is not null then line end as clause, case when symbol <> 'impl' and name not in {code._NO_SYMBOL} then struct(symbol as kind, {code._EXPORTED} as exported) end as mark
-     from (select file_id, repo, path, ext, n, line, kind, cast(delta as bigint) as delta, case when {_ANY_FLOW} then {_flow("line")} else 0 end as flow, {_WORDS}, found.kind as symbol, found.name as name, {code._SOURCE} as source
-      from (select *, {code._first(lambda k, p: f"struct('{k}' as kind, ~get(line, '{p}') as name)")} as found, {code._GO_BLOCK} from {{line_kinds}}) a) b) c) d) e) f where entry = 0 group by file_id, repo, path, ext"""
+     from (select file_id, repo, path, ext, n, line, kind, cast(delta as bigint) as delta, case when counted then {_flow("line")} else 0 end as flow, {_WORDS.replace("case when ", "case when counted and ")}, found.kind as symbol, found.name as name, {code._SOURCE} as source
+      from (select *, {code._first(lambda k, p: f"struct('{k}' as kind, ~get(line, '{p}') as name)")} as found, {_ANY} as counted, {code._GO_BLOCK} from {{line_kinds}}) a) b) c) d) e) f where entry = 0 group by file_id, repo, path, ext"""
 _SYMBOL_ENDS = "select file_id, repo, path, ext, lines, logical, imports, sums, transform(marks, (s, i) -> struct(s.n, s.kind, s.exported, case when ext = 'py' then coalesce(get(marks, i + 1).n - 1, lines) else coalesce(s.close_n, s.n) end as end_n)) as marks from {facts}"
 _SYMBOL_SUMS = """select file_id, repo, path, ext, lines, logical, imports, transform(marks, s -> struct(s.n, s.kind, s.exported, s.end_n - s.n + 1 as lines, 1 + z(s).flow - coalesce(a(s).flow, 0) as cyclomatic,
  (z(s).word - coalesce(a(s).word, 0)) + (z(s).deep - coalesce(a(s).deep, 0)) - get(sums, int(s.n) - 1).depth * (z(s).word - coalesce(a(s).word, 0)) + (z(s).extra - coalesce(a(s).extra, 0)) as cognitive)) as marks from {facts}""".replace("z(s)", "get(sums, int(s.end_n) - 1)").replace("a(s)", "get(sums, int(s.n) - 2)")
@@ -205,7 +206,8 @@ def cpx_07_signals(spark: SparkSession, d: str) -> DataFrame:
     done = {"sources": facts.select("file_id", "repo", "path", "ext", "lines"), "line_metrics": facts.select("file_id", "lines", "logical")}
     done["symbol_metrics"] = done["code_symbols"] = facts.selectExpr("file_id", "inline(marks)")
     done["code_imports"] = facts.selectExpr("file_id", "repo", "path", "ext", "inline(imports)")
-    scores = f"select f.file_id, f.repo, f.path, {_RATES}, {_MI} from {{sources}} f join {{line_metrics}} m on m.file_id = f.file_id left join ({_OF_SYMBOLS}) s on s.file_id = f.file_id"
+    of_symbols = _OF_SYMBOLS.replace("c.exported", "y.exported") + " from {symbol_metrics} y group by y.file_id"
+    scores = f"select f.file_id, f.repo, f.path, {_RATES}, {_MI} from {{sources}} f join {{line_metrics}} m on m.file_id = f.file_id left join ({of_symbols}) s on s.file_id = f.file_id"
     done["file_scores"] = cut(relations.run(spark, d, spark_sql(scores), done))
     return relations.run(spark, d, spark_sql(STATEMENTS["cpx_07_signals"]), done)
 
